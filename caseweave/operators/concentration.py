@@ -81,7 +81,8 @@ def gini(
     put together by their totals. No task holds a stratum.
 
     Without ``origin`` the piece from (0, 0) to the first row is left out; ``tie``
-    decides which row is first. A stratum with a missing or zero total gets NULL.
+    decides which row is first, and a stratum of one row gets NULL. So does a stratum
+    with a missing or zero total.
     """
     case, pop = F.col(cases).cast("double"), F.col(population).cast("double")
     # Smallest tie value first, NULL last.
@@ -98,6 +99,7 @@ def gini(
         F.sum("_c").alias("_c"),
         F.sum("_p").alias("_p"),
         F.count_if(F.col("_c").isNull() | F.col("_p").isNull()).alias("_unknown"),
+        F.count(F.lit(1)).alias("_rows"),
         *first,
     )
     return gini_of_steps(steps, strata, _rate_block(F.col("_rate")), F.col("_rate"), origin)
@@ -118,7 +120,7 @@ def _rate_block(value: Column) -> Column:
 def gini_of_steps(
     steps: DataFrame, strata: Sequence[str], block: Column, rank: Column, origin: bool = True
 ) -> DataFrame:
-    """Gini index from rows (_c, _p, _unknown, _first) that are one straight piece each.
+    """Gini index from rows (_c, _p, _unknown, _rows, _first) that are one straight piece each.
 
     ``rank`` orders the pieces, highest first, and ``block`` must be a non-decreasing
     function of it. Twice the area under the curve is the sum over blocks of
@@ -128,18 +130,13 @@ def gini_of_steps(
         W.partitionBy(*strata, "_block").orderBy(F.col("_rank").desc_nulls_last())
         .rowsBetween(W.unboundedPreceding, 0)
     )
+    sums = [F.sum(name).alias(name) for name in ("_c", "_p", "_area", "_unknown", "_rows")]
     first = [] if origin else [F.max_by("_first", "_rank").alias("_first")]
     blocks = (
         steps.withColumns({"_block": block, "_rank": rank})
         .withColumn("_area", F.col("_p") * (2 * F.sum("_c").over(inside) - F.col("_c")))
         .groupBy(*strata, "_block")
-        .agg(
-            F.sum("_c").alias("_c"),
-            F.sum("_p").alias("_p"),
-            F.sum("_area").alias("_area"),
-            F.sum("_unknown").alias("_unknown"),
-            *first,
-        )
+        .agg(*sums, *first)
     )
     before = W.partitionBy(*strata).orderBy(F.col("_block").desc()).rowsBetween(W.unboundedPreceding, -1)
     first = [] if origin else [F.max_by("_first", "_block").alias("_first")]
@@ -148,19 +145,14 @@ def gini_of_steps(
             "_area", F.col("_area") + 2 * F.coalesce(F.sum("_c").over(before), F.lit(0.0)) * F.col("_p")
         )
         .groupBy(*strata)
-        .agg(
-            F.sum("_c").alias("_c"),
-            F.sum("_p").alias("_p"),
-            F.sum("_area").alias("_area"),
-            F.sum("_unknown").alias("_unknown"),
-            *first,
-        )
+        .agg(*sums, *first)
     )
-    area = F.col("_area")
+    area, defined = F.col("_area"), F.col("_unknown") == 0
     if not origin:
         area = area - F.col("_first._fc") * F.col("_first._fp")
+        defined = defined & (F.col("_rows") > 1)
     index = F.try_divide(area, F.col("_c") * F.col("_p")) - 1
-    return result.select(*strata, F.when(F.col("_unknown") == 0, index).alias("g"))
+    return result.select(*strata, F.when(defined, index).alias("g"))
 
 
 def as_percent(g: Column | str, digits: int = 3) -> Column:

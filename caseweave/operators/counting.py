@@ -41,15 +41,20 @@ def shares_by(df: DataFrame, keys: Sequence[str], conditions: Mapping[str, Colum
     )
 
 
-def composition(df: DataFrame, bars: Sequence[str], category: str) -> DataFrame:
-    """Count of each category within a bar and its share of the bar; NULL is a category."""
-    counts = count_by(df, [*bars, category])
-    return counts.withColumn("share", F.col("case") / F.sum("case").over(W.partitionBy(*bars)))
+def composition(counts: DataFrame, bars: Sequence[str], category: str, count: str = "case") -> DataFrame:
+    """Share of each category within a bar, from counts by bar and category; NULL is a category."""
+    per_bar = counts.groupBy(*bars, category).agg(F.sum(count).alias("case"))
+    return per_bar.withColumn("share", F.col("case") / F.sum("case").over(W.partitionBy(*bars)))
 
 
-def order_by_mean(df: DataFrame, category: str, score: Column) -> DataFrame:
-    """Categories numbered by the mean of a score, lowest first; ties by name."""
-    means = df.filter(F.col(category).isNotNull()).groupBy(category).agg(F.avg(score).alias("score"))
+def order_by_mean(df: DataFrame, category: str, score: Column, weight: str | None = None) -> DataFrame:
+    """Categories numbered by the mean of a score, lowest first; ties by name.
+
+    ``weight`` holds the number of rows a row stands for.
+    """
+    rows = F.col(weight) if weight else F.lit(1)
+    mean = F.try_divide(F.sum(score * rows), F.sum(F.when(score.isNotNull(), rows)))
+    means = df.filter(F.col(category).isNotNull()).groupBy(category).agg(mean.alias("score"))
     return _numbered(means, category)
 
 

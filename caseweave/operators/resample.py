@@ -102,6 +102,7 @@ def bootstrap_gini(
         "_c",
         "_p",
         (F.col("_c").isNull() | F.col("_p").isNull()).cast("long").alias("_unknown"),
+        F.lit(1).alias("_rows"),
         F.struct(F.col("_c").alias("_fc"), F.col("_p").alias("_fp")).alias("_first"),
     )
     rank = -F.col("_pick")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +17,16 @@ def distinct_units(df: DataFrame, keys: Sequence[str], unit: str, name: str) ->
     return df.select(*keys, unit).distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
 
 
+def distinct_units_of(df: DataFrame, keys: Sequence[str], unit: str, split: str, names: Mapping[object, str]) -> DataFrame:
+    """Number of distinct units per key for several values of ``split`` at once, NULL where there is none.
+
+    ``names`` maps each value to its output column.
+    """
+    seen = df.select(*keys, split, unit).distinct()
+    counts = [F.nullif(F.count_if(F.col(split) == value), F.lit(0)).alias(name) for value, name in names.items()]
+    return seen.groupBy(*keys).agg(*counts)
+
+
 def full_lookup(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Full join on keys where NULL equals NULL, keys kept once."""
     renamed = right.select(*[F.col(c).alias(f"_r_{c}" if c in keys else c) for c in right.columns])
@@ -30,12 +40,11 @@ def full_lookup(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataF
     return joined.select(*merged, *others)
 
 
-def estimate_units(counts: Sequence[tuple[DataFrame, str]], keys: Sequence[str], name: str = "n_hu") -> DataFrame:
-    """Largest of several unit counts per key, ignoring the missing ones."""
-    joined = counts[0][0]
-    for counted, _ in counts[1:]:
-        joined = full_lookup(joined, counted, keys)
-    columns = [column for _, column in counts]
+def estimate_units(
+    observed: DataFrame, official: DataFrame, keys: Sequence[str], columns: Sequence[str], name: str = "n_hu"
+) -> DataFrame:
+    """Largest of several unit counts per key, ignoring the missing ones; keys of either table stay."""
+    joined = full_lookup(observed, official, keys)
     return joined.select(*keys, *columns, F.greatest(*columns).alias(name))
 
 

@@ -14,7 +14,8 @@ from caseweave.operators import concentration, regions, resample, units
 from caseweave.operators.allocate import allocate_mixed
 from caseweave.operators.counting import count_by
 from caseweave.operators.running import lookup
-from caseweave.plans.incidence import PARTS, district_api
+from caseweave.plans.incidence import PARTS
+from caseweave.session import pin
 
 STRATA = ["year_dx", "province", "sp"]
 DISTRICT = ["year_dx", "province", "city"]
@@ -27,21 +28,29 @@ def district_rates(line: DataFrame, population: DataFrame) -> DataFrame:
     return joined.withColumn("api", rate("case", "pop"))
 
 
-def unit_estimate(line: DataFrame, official: DataFrame, years: Sequence[int] = (2020, 2019)) -> DataFrame:
+def unit_counts(line: DataFrame) -> DataFrame:
+    """Cases ``n_case`` by (year, province, city, unit, species).
+
+    All unit-level results start from this table. It is kept in the shared folder, so
+    that the line list is read once however many of them are wanted.
+    """
+    return pin(count_by(line, [*DISTRICT, "health_unit", "sp"], "n_case"))
+
+
+def unit_estimate(counts: DataFrame, official: DataFrame) -> DataFrame:
     """Units per (province, city): the largest of the counts observed in each year and the official one (``n_hu_web``)."""
     place = ["province", "city"]
-    counts = []
-    for year in years:
-        name = f"n_hu_obs{year % 100}"
-        counts.append((units.distinct_units(line.filter(F.col("year_dx") == year), place, "health_unit", name), name))
-    return units.estimate_units([counts[0], (official, "n_hu_web"), *counts[1:]], place, "n_hu")
+    observed = units.distinct_units_of(
+        counts, place, "health_unit", "year_dx", {2020: "n_hu_obs20", 2019: "n_hu_obs19"}
+    )
+    return units.estimate_units(observed, official, place, ["n_hu_obs20", "n_hu_web", "n_hu_obs19"])
 
 
-def unit_rates(line: DataFrame, population: DataFrame, estimate: DataFrame) -> DataFrame:
+def unit_rates(counts: DataFrame, population: DataFrame, estimate: DataFrame) -> DataFrame:
     """Cases and rate per (year, province, city, unit, species) with the population shared equally among units."""
     keys = [*DISTRICT, "health_unit"]
-    counts = allocate_mixed(line, keys, "sp", PARTS, cb.MIXED, missing="zero", value="case_hu")
-    joined = lookup(counts, population, DISTRICT).withColumnRenamed("n", "pop_city")
+    spread = allocate_mixed(counts, keys, "sp", PARTS, cb.MIXED, missing="zero", value="case_hu", count="n_case")
+    joined = lookup(spread, population, DISTRICT).withColumnRenamed("n", "pop_city")
     joined = units.split_population(
         joined, estimate.select("province", "city", "n_hu"), ["province", "city"], "pop_city", "n_hu", "pop_hu"
     )
@@ -83,21 +92,23 @@ def bootstrap_units(padded: DataFrame, **options) -> DataFrame:
 
 
 def gini_per_district(
-    line: DataFrame, population: DataFrame, estimate: DataFrame, origin: bool = True
+    counts: DataFrame, population: DataFrame, estimate: DataFrame, origin: bool = True
 ) -> DataFrame:
     """Gini index across the units of each district, all species together, with the district rate.
 
     ``origin=False`` leaves out the piece before the first unit, as the published figures do.
     """
-    counts = count_by(line, [*DISTRICT, "health_unit"]).withColumn("case", F.col("case").cast("double"))
-    joined = lookup(counts, population, DISTRICT).withColumnRenamed("n", "pop_city")
+    totals = counts.groupBy(*DISTRICT, "health_unit").agg(F.sum("n_case").cast("double").alias("case"))
+    joined = lookup(totals, population, DISTRICT).withColumnRenamed("n", "pop_city")
     shared = units.split_population(
         joined, estimate.select("province", "city", "n_hu"), ["province", "city"], "pop_city", "n_hu", "pop"
     )
     # Units of a district share its population equally, so silent ones can only come last on the curve.
     weighed = units.weigh_missing_units(shared, DISTRICT, "health_unit", "n_hu", "case", "pop")
     index = concentration.gini(weighed, DISTRICT, "case", "pop", ["health_unit"], origin=origin)
-    return lookup(district_api(line, population), index, DISTRICT).select(*DISTRICT, "g", "case", "api")
+    api = lookup(counts.groupBy(*DISTRICT).agg(F.sum("n_case").alias("case")), population, DISTRICT)
+    api = api.withColumn("api", rate("case", "n"))
+    return lookup(api, index, DISTRICT).select(*DISTRICT, "g", "case", "api")
 
 
 def pareto_units(line: DataFrame, species: str, strata: Sequence[str] = ("year_dx",)) -> DataFrame:

@@ -309,13 +309,15 @@ def series_grid_fill(spark, sf_dir):
 # --- Units ------------------------------------------------------------------------
 
 
-def _estimate(spark, sf_dir, line):
-    return heterogeneity.unit_estimate(line, inputs.official_units(spark, sf_dir))
+def _unit_counts(spark, sf_dir):
+    """Counts by unit and the unit estimate that goes with them."""
+    counts = heterogeneity.unit_counts(inputs.line_list(spark, sf_dir))
+    return counts, heterogeneity.unit_estimate(counts, inputs.official_units(spark, sf_dir))
 
 
 def _unit_rates(spark, sf_dir):
-    line = inputs.line_list(spark, sf_dir)
-    return heterogeneity.unit_rates(line, inputs.population(spark, sf_dir), _estimate(spark, sf_dir, line))
+    counts, estimate = _unit_counts(spark, sf_dir)
+    return heterogeneity.unit_rates(counts, inputs.population(spark, sf_dir), estimate)
 
 
 @query
@@ -325,7 +327,7 @@ def distinct_units_with_unnamed(spark, sf_dir):
 
 @query
 def unit_count_estimate(spark, sf_dir):
-    return _estimate(spark, sf_dir, inputs.line_list(spark, sf_dir))
+    return _unit_counts(spark, sf_dir)[1]
 
 
 @query
@@ -373,10 +375,8 @@ def gini_unit(spark, sf_dir):
 
 
 def _per_district(spark, sf_dir, origin):
-    line = inputs.line_list(spark, sf_dir)
-    return heterogeneity.gini_per_district(
-        line, inputs.population(spark, sf_dir), _estimate(spark, sf_dir, line), origin=origin
-    )
+    counts, estimate = _unit_counts(spark, sf_dir)
+    return heterogeneity.gini_per_district(counts, inputs.population(spark, sf_dir), estimate, origin=origin)
 
 
 @query
