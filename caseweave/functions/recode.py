@@ -84,8 +84,10 @@ def title_case(value: Column | str) -> Column:
     other word ends and taken out again.
     """
     value = F.col(value) if isinstance(value, str) else value
-    spaced = F.regexp_replace(value, r"([-/(),&])(?=\p{L})", "$1\u0001 ")
-    return F.replace(F.initcap(spaced), F.lit("\u0001 "), F.lit(""))
+    mark = "\u0001 "
+    for end in "-/(,&":
+        value = F.replace(value, F.lit(end), F.lit(end + mark))
+    return F.replace(F.initcap(value), F.lit(mark), F.lit(""))
 
 
 def drop_suffix(value: Column | str, length: int) -> Column:

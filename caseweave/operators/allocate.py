@@ -67,11 +67,13 @@ def allocate_mixed(
 ) -> DataFrame:
     """Long counts of the parts after allocation: one row per key combination and part.
 
-    Only key combinations with at least one part or mixed row appear.
+    Only key combinations with at least one part or mixed row appear. They are
+    selected after counting: a filter before it would make Spark evaluate a computed
+    category twice per row, and counting is done before the shuffle anyway.
     """
-    listed = df.filter(F.col(category).isin([*parts, mixed]))
     columns = {f"_p{i}": part for i, part in enumerate(parts)} | {"_mixed": mixed}
-    wide = category_counts(listed, keys, category, columns, count)
+    wide = category_counts(df, keys, category, columns, count)
+    wide = wide.filter(F.coalesce(*columns).isNotNull())
     wide = split_mixed(wide, [f"_p{i}" for i in range(len(parts))], "_mixed", weight, missing)
     return to_long(wide, keys, {f"_p{i}": part for i, part in enumerate(parts)}, category, value)
 

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from caseweave.functions.missing import strict_sum
 from caseweave.operators.running import running_totals
 
 # Steps per doubling of the rate; bounds both the number of blocks and what shares one.
@@ -35,33 +34,28 @@ def lorenz(
     """Cumulative case and population shares (c_i, p_i) by descending rate.
 
     ``tie`` orders rows of equal rate and should make rows unique in a stratum.
-    With ``origin`` one (0, 0) row per stratum is added, other columns NULL.
+    With ``origin`` one (0, 0) row per stratum is added, other columns NULL. Shares are
+    NULL in a stratum with a missing or zero total.
     """
+    case, pop = F.col(cases).cast("double"), F.col(population).cast("double")
     ranked = df.withColumn("_rate", curve_rate(cases, population))
     order = [F.col("_rate").desc_nulls_last(), *[F.col(t).asc_nulls_last() for t in tie]]
     summed = running_totals(
         ranked,
         strata,
         order,
-        {"case_cumsum": F.col(cases).cast("double"), "pop_cumsum": F.col(population).cast("double")},
+        {"case_cumsum": case, "pop_cumsum": pop},
+        {"_cases": case, "_population": pop, "_unknown": (case.isNull() | pop.isNull()).cast("int")},
         block_rows,
     )
-    # Shares need the totals of the stratum; they come from a small aggregate, not a window.
-    totals = summed.groupBy(*strata).agg(
-        strict_sum(F.col(cases).cast("double")).alias("_cases"),
-        strict_sum(F.col(population).cast("double")).alias("_population"),
-    )
-    key = F.struct(*strata) if strata else F.lit(0)
-    joined = summed.withColumn("_key", key).join(
-        totals.select(key.alias("_key"), "_cases", "_population"), "_key"
-    )
-    curve = joined.withColumns({
-        "c_i": F.try_divide(F.col("case_cumsum"), F.col("_cases")),
-        "p_i": F.try_divide(F.col("pop_cumsum"), F.col("_population")),
-    }).drop("_key", "_rate", "_cases", "_population")
+    known = F.col("_unknown") == 0
+    curve = summed.withColumns({
+        "c_i": F.when(known, F.try_divide("case_cumsum", "_cases")),
+        "p_i": F.when(known, F.try_divide("pop_cumsum", "_population")),
+    }).drop("_rate", "_cases", "_population", "_unknown")
     if not origin:
         return curve
-    start = totals.select(*strata, F.lit(0.0).alias("c_i"), F.lit(0.0).alias("p_i"))
+    start = curve.select(*strata).distinct().withColumns({"c_i": F.lit(0.0), "p_i": F.lit(0.0)})
     return curve.unionByName(start, allowMissingColumns=True)
 
 
@@ -173,13 +167,9 @@ def pareto(
     """
     counts = df.groupBy(*strata, unit).agg(F.count(F.lit(1)).alias("n"))
     order = [F.col("n").desc(), F.col(unit).asc_nulls_last()]
-    summed = running_totals(counts, strata, order, {"cumsum": F.col("n")}, block_rows)
-    key = F.struct(*strata) if strata else F.lit(0)
-    totals = summed.groupBy(key.alias("_key")).agg(F.sum("n").alias("_total"))
-    joined = summed.withColumn("_key", key).join(totals, "_key")
-    return joined.select(
-        *strata, unit, "n", "cumsum", (F.lit(100.0) * F.col("cumsum") / F.col("_total")).alias("cumprop")
-    )
+    summed = running_totals(counts, strata, order, {"cumsum": F.col("n")}, {"_total": F.col("n")}, block_rows)
+    percent = F.lit(100.0) * F.col("cumsum") / F.col("_total")
+    return summed.select(*strata, unit, "n", "cumsum", percent.alias("cumprop"))
 
 
 def top_units(df: DataFrame, unit: str, k: int) -> DataFrame:

@@ -34,43 +34,49 @@ def running_totals(
     df: DataFrame,
     strata: Sequence[str],
     order: Sequence[Column],
-    totals: Mapping[str, Column],
+    running: Mapping[str, Column],
+    whole: Mapping[str, Column] | None = None,
     block_rows: int | None = None,
 ) -> DataFrame:
-    """Add running sums of ``totals`` within ``strata`` in the given order, ties row by row.
+    """Add running sums within ``strata`` in the given order, ties row by row.
 
-    The input is kept in the shared folder once, so that its size can be checked.
-    Strata that fit a task use one window. Otherwise the rows are range-partitioned
-    by (strata, order) into even blocks, whatever the size of a single stratum;
-    sums run inside each block and are shifted by the totals of the blocks before it.
-    ``order`` should be unique within a stratum.
+    ``running`` holds the sums to run, ``whole`` sums over the complete stratum that
+    every row gets as well. The input is kept in the shared folder once, so that its
+    size can be checked. Strata that fit a task use one window. Otherwise the rows are
+    range-partitioned by (strata, order) into even blocks, whatever the size of a single
+    stratum; sums run inside each block and are shifted by the totals of the blocks
+    before it. ``order`` should be unique within a stratum.
     """
+    whole = whole or {}
     block_rows = block_rows or BLOCK_ROWS
-    inputs = {f"_in_{name}": value for name, value in totals.items()}
+    inputs = {f"_in_{name}": value for name, value in {**running, **whole}.items()}
     rows = pin(df.withColumns(inputs))
     largest = largest_stratum(rows, strata)
     if largest <= block_rows:
-        window = W.partitionBy(*strata).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-        summed = rows.withColumns({name: F.sum(f"_in_{name}").over(window) for name in totals})
-        return summed.drop(*inputs)
+        ordered = W.partitionBy(*strata).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+        complete = W.partitionBy(*strata)
+        sums = {name: F.sum(f"_in_{name}").over(ordered) for name in running}
+        sums |= {name: F.sum(f"_in_{name}").over(complete) for name in whole}
+        return rows.withColumns(sums).drop(*inputs)
 
     blocks = -(-rows.count() // block_rows)
     keys = [F.col(key).asc() for key in strata]
     ranged = rows.repartitionByRange(blocks, *keys, *order)
     # The block of a row must not change between the two uses below.
     ranged = pin(ranged.withColumn(_BLOCK, F.spark_partition_id()))
-
     # One struct key: equal when its NULL parts are, and shared by the window and the join.
     ranged = ranged.withColumn(_KEY, F.struct(*strata) if strata else F.lit(0))
     before = W.partitionBy(_KEY).orderBy(_BLOCK).rowsBetween(W.unboundedPreceding, -1)
+    complete = W.partitionBy(_KEY)
     shifts = ranged.groupBy(_KEY, _BLOCK).agg(*[F.sum(name).alias(name) for name in inputs])
     shifts = shifts.select(
         _KEY,
         _BLOCK,
-        *[F.coalesce(F.sum(f"_in_{name}").over(before), F.lit(0)).alias(f"_shift_{name}") for name in totals],
+        *[F.coalesce(F.sum(f"_in_{name}").over(before), F.lit(0)).alias(f"_shift_{name}") for name in running],
+        *[F.sum(f"_in_{name}").over(complete).alias(name) for name in whole],
     )
-    window = W.partitionBy(_KEY, _BLOCK).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    local = ranged.withColumns({name: F.sum(f"_in_{name}").over(window) for name in totals})
+    inside = W.partitionBy(_KEY, _BLOCK).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    local = ranged.withColumns({name: F.sum(f"_in_{name}").over(inside) for name in running})
     shifted = local.join(shifts, [_KEY, _BLOCK])
-    shifted = shifted.withColumns({name: F.col(name) + F.col(f"_shift_{name}") for name in totals})
-    return shifted.select(*df.columns, *totals)
+    shifted = shifted.withColumns({name: F.col(name) + F.col(f"_shift_{name}") for name in running})
+    return shifted.select(*df.columns, *running, *whole)

@@ -25,7 +25,9 @@ def recoded(
     sex_codes: Mapping[tuple[int, str], str] | None = None,
 ) -> DataFrame:
     """All rows with repaired dates, labels instead of codes and title-cased places."""
-    dated = raw.withColumn("date_dx", dates.repair_date("tglkun", "tahun", "bulankun"))
+    # As a generated column the date is worked out once per row, also when rows are filtered by it.
+    repaired = dates.repair_date("tglkun", "tahun", "bulankun")
+    dated = raw.select("*", F.explode(F.array(repaired)).alias("date_dx"))
     calendar = dated.withColumns({
         "week_dx": F.weekofyear("date_dx"),
         "month_dx": F.month("date_dx"),

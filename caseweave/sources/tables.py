@@ -37,11 +37,11 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode
 def read_month_parts(
     spark: SparkSession, paths: Sequence[str], schema: str, names: Sequence[str] = MONTH_PARTS
 ) -> DataFrame:
-    """One scan over twelve parts, each tagged with the month its file is named after."""
-    stem = F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]+)", 1)
+    """One scan over twelve parts, each tagged with the month its file or folder is named after."""
+    named = F.regexp_extract(F.col("_metadata.file_path"), "[/=](" + "|".join(names) + r")(?=[./])", 1)
     months = {name: i for i, name in enumerate(names, start=1)}
     parts = spark.read.schema(schema).option("header", True).csv(list(paths))
-    return parts.withColumn("month", recode(stem, months))
+    return parts.withColumn("month", recode(named, months))
 
 
 def union_parts(parts: Mapping[str, DataFrame], tag: str) -> DataFrame:

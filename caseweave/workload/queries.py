@@ -15,6 +15,7 @@ from caseweave.operators.running import lookup
 from caseweave.plans import cleaning, harmonise, heterogeneity, incidence, profile
 from caseweave.session import new_table_path
 from caseweave.sources import tables
+from caseweave.sources.schemas import MONTH_PART
 from caseweave.workload import inputs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -136,12 +137,11 @@ def stored_line_list_by_year(spark, sf_dir):
 def month_parts_by_file(spark, sf_dir):
     """Write the twelve month tables as files and read them back in one scan, the month taken from the file."""
     path = new_table_path(spark, "month_parts")
-    parts = inputs.month_parts(spark, sf_dir).drop("month")
-    parts.repartition(1, "part").write.partitionBy("part").option("header", True).csv(path)
-    read = spark.read.schema("`Provinsi` STRING, `Kabupaten/Kota` STRING, `Positif` DOUBLE, part STRING")
-    read = read.option("header", True).csv(path)
-    tagged = read.withColumn("month", recode.recode("part", {n: i for i, n in enumerate(inputs.MONTH_PARTS, 1)}))
-    return tagged.select(
+    parts = inputs.month_parts(spark, sf_dir).drop("month").hint("rebalance", "part")
+    parts.write.partitionBy("part").option("header", True).csv(path)
+    names = inputs.MONTH_PARTS
+    read = tables.read_month_parts(spark, [f"{path}/part={name}" for name in names], MONTH_PART, names)
+    return read.select(
         "month", F.col("Provinsi").alias("province"), F.col("Kabupaten/Kota").alias("city"), F.col("Positif").alias("case")
     )
 
