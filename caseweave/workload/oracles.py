@@ -234,7 +234,8 @@ def _curve(source: str, cases: str, pop: str, tie: str, strata: str = STRATA) ->
     window = f"PARTITION BY {strata} ORDER BY {cases} / {pop} DESC NULLS LAST, {tie}"
     return f"""curve AS (
       SELECT *, sum({cases}) OVER w AS case_cumsum, sum({pop}) OVER w AS pop_cumsum,
-             sum({cases}) OVER w / sum({cases}) OVER t AS c_i, sum({pop}) OVER w / sum({pop}) OVER t AS p_i,
+             sum({cases}) OVER w / nullif(sum({cases}) OVER t, 0) AS c_i,
+             sum({pop}) OVER w / nullif(sum({pop}) OVER t, 0) AS p_i,
              row_number() OVER w AS pos
       FROM {source} WINDOW w AS ({window} ROWS UNBOUNDED PRECEDING), t AS (PARTITION BY {strata}))"""
 
@@ -277,7 +278,7 @@ def _bootstrap(source: str, cases: str, pop: str, tie: str, origin: bool) -> str
     picked AS (SELECT {STRATA}, rep, d, ('0x' || substr(md5({key}), 1, 8))::BIGINT % n AS pick FROM draws),
     drawn AS (
       SELECT {STRATA}, rep, pick, d,
-             sum(c) OVER w / sum(c) OVER t AS c_i, sum(p) OVER w / sum(p) OVER t AS p_i
+             sum(c) OVER w / nullif(sum(c) OVER t, 0) AS c_i, sum(p) OVER w / nullif(sum(p) OVER t, 0) AS p_i
       FROM picked JOIN numbered USING ({STRATA}, pick)
       WINDOW w AS (PARTITION BY {STRATA}, rep ORDER BY pick, d ROWS UNBOUNDED PRECEDING), t AS (PARTITION BY {STRATA}, rep)),
     replicates AS (
