@@ -15,6 +15,7 @@ from caseweave import codebooks as cb
 from caseweave.functions.recode import recode, title_case
 from caseweave.plans.cleaning import clean_line_list, rename_province
 from caseweave.sources.schemas import MONTH_PARTS
+from caseweave.sources.sizing import broadcast_if_small, spread_if_small
 
 # Raw names of the regions by key; the last one lies outside the main study area.
 PROVINCE_OF_REGION = {0: "PAPUA", 1: "PAPUA", 2: "PAPUA", 3: "PAPUA BARAT", 4: "NUSA TENGGARA TIMUR"}
@@ -45,9 +46,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def districts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(n_nationkey, raw province, raw district)."""
+    """(n_nationkey, raw province, raw district); 25 nations at every scale."""
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    joined = nation.join(region, nation.n_regionkey == region.r_regionkey)
+    joined = nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey)
     named = F.coalesce(recode("n_nationkey", DISTRICT_OF_NATION), F.expr("concat('TELUK-', n_name)"))
     return joined.select(
         "n_nationkey", recode("r_regionkey", PROVINCE_OF_REGION).alias("raw_province"), named.alias("raw_district")
@@ -61,8 +62,9 @@ def _array(values: list[str]) -> str:
 def raw_line_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One raw row per order line, with the column names and codes of the original line list."""
     line, supplier = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier")
-    places = supplier.join(districts(spark, sf_dir), supplier.s_nationkey == F.col("n_nationkey"))
-    rows = line.join(places, line.l_suppkey == places.s_suppkey)
+    places = supplier.join(F.broadcast(districts(spark, sf_dir)), supplier.s_nationkey == F.col("n_nationkey"))
+    places = broadcast_if_small(places, supplier)
+    rows = spread_if_small(line, "l_orderkey").join(places, F.col("l_suppkey") == F.col("s_suppkey"))
     year = "CASE WHEN l_orderkey % 997 = 0 THEN 2021 WHEN year(l_shipdate) % 2 = 1 THEN 2019 ELSE 2020 END"
     rows = rows.selectExpr(
         "*", f"{year} AS tahun", "array('-', '/', ' ')[l_linenumber % 3] AS separator",
@@ -110,7 +112,7 @@ def _study_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 def population(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Population ``n`` by (year_dx, province, city): 1000 per customer, 2 % more in the second year."""
     customers = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("customers"))
-    joined = customers.join(_study_places(spark, sf_dir), F.col("c_nationkey") == F.col("n_nationkey"))
+    joined = customers.join(F.broadcast(_study_places(spark, sf_dir)), F.col("c_nationkey") == F.col("n_nationkey"))
     by_year = F.array(*[
         F.struct(F.lit(year).alias("year_dx"), (F.col("customers") * factor).cast("double").alias("n"))
         for year, factor in ((2019, 1000), (2020, 1020))
@@ -121,7 +123,7 @@ def population(spark: SparkSession, sf_dir: str) -> DataFrame:
 def official_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Official number of units ``n_hu_web`` by (province, city), above the suppliers of some districts."""
     suppliers = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("suppliers"))
-    joined = suppliers.join(_study_places(spark, sf_dir), F.col("s_nationkey") == F.col("n_nationkey"))
+    joined = suppliers.join(F.broadcast(_study_places(spark, sf_dir)), F.col("s_nationkey") == F.col("n_nationkey"))
     extra = (F.col("n_nationkey") % 3) * F.lit(3)
     return joined.select("province", "city", (F.col("suppliers") + extra).cast("double").alias("n_hu_web"))
 
@@ -135,11 +137,12 @@ def _orders_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count_if(F.col("o_orderstatus") != "P").alias("by_sex"),
         F.count_if(F.col("o_orderpriority") != "5-LOW").alias("by_species"),
     )
-    joined = monthly.join(customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    owners = broadcast_if_small(customer.select("c_custkey", "c_nationkey"), customer)
+    joined = monthly.join(owners, F.col("o_custkey") == F.col("c_custkey"))
     counts = joined.groupBy("c_nationkey", "YEAR", "MONTH").agg(
         F.sum("by_sex").cast("double").alias("by_sex"), F.sum("by_species").cast("double").alias("by_species")
     )
-    return counts.join(districts(spark, sf_dir), F.col("c_nationkey") == F.col("n_nationkey"))
+    return counts.join(F.broadcast(districts(spark, sf_dir)), F.col("c_nationkey") == F.col("n_nationkey"))
 
 
 def aggregate_series(spark: SparkSession, sf_dir: str) -> DataFrame:
