@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseweave.operators.concentration import curve_rate, gini_of_steps
-from caseweave.operators.running import largest_stratum, running_totals
+from caseweave.operators.running import running_totals
 from caseweave.session import pin
 
 # A stratum up to this size is resampled where its replicate was made.
 INLINE_UNITS = 20_000
-# Unit tables up to this many rows are broadcast; four 8-byte columns keep that below 10 MB.
+# Unit tables up to this many rows are broadcast; three 8-byte columns keep that below 10 MB.
 BROADCAST_UNITS = 200_000
 DRAWS_PER_CHUNK = 50_000
 UNITS_PER_BLOCK = 50_000
@@ -50,8 +50,9 @@ def bootstrap_gini(
     """Gini index of each bootstrap replicate: (strata, rep, g), ``rep`` from 0.
 
     Every replicate draws as many units as its stratum has, with replacement. Units
-    are numbered once by descending rate, so a replicate is sorted by the number
-    drawn, and evenly sized blocks of numbers take even shares of the draws.
+    are numbered once, by stratum and descending rate, so a replicate is sorted by the
+    numbers drawn, and evenly sized blocks of numbers take even shares of the draws.
+    A replicate is known by one number too, which keeps rows, sorts and joins narrow.
     """
     inline_units = INLINE_UNITS if inline_units is None else inline_units
     units_per_block = units_per_block or UNITS_PER_BLOCK
@@ -65,49 +66,57 @@ def bootstrap_gini(
         F.col(population).cast("double").alias("_p"),
         curve_rate(cases, population).alias("_rate"),
     )
-    order = [F.col("_rate").desc_nulls_last(), *[F.col(t).asc_nulls_last() for t in tie]]
-    numbered = running_totals(ranked, strata, order, {"_number": F.lit(1)})
-    key = F.struct(*strata)
-    units = pin(numbered.select(key.alias("_key"), (F.col("_number") - 1).alias("_pick"), "_c", "_p"))
-    sizes = numbered.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n"))
+    order = [
+        *[F.col(key).asc() for key in strata],
+        F.col("_rate").desc_nulls_last(),
+        *[F.col(t).asc_nulls_last() for t in tie],
+    ]
+    numbered = pin(running_totals(ranked, [], order, {"_unit": F.lit(1)}).select(*strata, "_unit", "_c", "_p"))
+    units = numbered.select("_unit", "_c", "_p")
+    # The numbers of a stratum follow each other from its first one.
+    sizes = pin(numbered.groupBy(*strata).agg(F.min("_unit").alias("_base"), F.count(F.lit(1)).alias("_n")))
+    n_units, largest = sizes.agg(F.sum("_n"), F.max("_n")).first()
+    small = (n_units or 0) <= BROADCAST_UNITS
+    inline = (largest or 0) <= inline_units
 
     # Replicates are few, narrow rows that turn into many: spread them by an explicit number of partitions.
     width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     reps = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    inline = largest_stratum(units, ["_key"]) <= inline_units
+    reps = reps.withColumn("_group", F.col("_base") * replicates + F.col("rep"))
     if inline:
         # Rows of a replicate stay together, so the later sort and sums need no further shuffle.
-        reps = reps.repartition(width, *strata, "rep")
+        reps = reps.repartition(width, "_group")
         draws = reps.withColumn("_d", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     else:
-        chunk = F.lit(draws_per_chunk)
+        chunk = F.lit(draws_per_chunk).cast("long")
         chunks = reps.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / chunk))))
-        chunks = chunks.repartition(width * 4, *strata, "rep", "_chunk")
+        chunks = chunks.repartition(width * 4, "_group", "_chunk")
         start = F.col("_chunk") * chunk
         last = F.least(start + chunk, F.col("_n")) - 1
         draws = chunks.withColumn("_d", F.explode(F.sequence(start, last)))
 
-    picked = draws.select(
-        *strata,
-        "rep",
-        key.alias("_key"),
-        F.pmod(draw(seed, strata, F.col("rep"), F.col("_d")), F.col("_n")).alias("_pick"),
-    )
-    if units.count() <= BROADCAST_UNITS:
-        units = F.broadcast(units)
-    steps = picked.join(units, ["_key", "_pick"]).select(
-        *strata,
-        "rep",
-        "_pick",
+    pick = F.col("_base") + F.pmod(draw(seed, strata, F.col("rep"), F.col("_d")), F.col("_n"))
+    # A pick is never NULL; saying so spares a test that would compute it twice.
+    picked = draws.select("_group", F.coalesce(pick, F.lit(0)).alias("_unit"))
+    steps = picked.join(F.broadcast(units) if small else units, "_unit").select(
+        "_group",
+        "_unit",
         "_c",
         "_p",
         (F.col("_c").isNull() | F.col("_p").isNull()).cast("long").alias("_unknown"),
         F.lit(1).alias("_rows"),
         F.struct(F.col("_c").alias("_fc"), F.col("_p").alias("_fp")).alias("_first"),
     )
-    rank = -F.col("_pick")
-    block = F.lit(0) if inline else -F.floor(F.col("_pick") / F.lit(units_per_block))
-    return gini_of_steps(steps, [*strata, "rep"], block, rank, origin)
+    rank = -F.col("_unit")
+    block = F.lit(0) if inline else -F.floor(F.col("_unit") / F.lit(units_per_block))
+    index = gini_of_steps(steps, ["_group"], block, rank, origin)
+    index = index.select(
+        F.expr(f"_group div {int(replicates)}").alias("_base"),
+        (F.col("_group") % replicates).cast("int").alias("rep"),
+        "g",
+    )
+    names = sizes.select("_base", *strata)
+    return index.join(F.broadcast(names) if small else names, "_base").select(*strata, "rep", "g")
 
 
 def percentile_interval(
