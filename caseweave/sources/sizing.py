@@ -12,7 +12,9 @@ SPREAD_BYTES = 256 * 1024 * 1024
 
 
 def scan_bytes(scan: DataFrame) -> int:
-    """Size of the files behind a plain scan, as the optimizer knows it."""
+    """Size of the files behind a plain scan, as the optimizer knows it; unknown counts as large."""
+    if not hasattr(scan, "_jdf"):
+        return 2**62
     return int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 

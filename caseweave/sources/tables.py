@@ -66,21 +66,18 @@ def rows_of_known(df: DataFrame, name: str, known: DataFrame, numeric: Sequence[
     return body
 
 
-def population_by_year(papua: DataFrame, west_papua: DataFrame, suffix: int = 3) -> DataFrame:
-    """(year_dx, province, city, n) from the two wide population tables.
+def population_by_year(papua: DataFrame, west_papua: DataFrame, known: DataFrame, suffix: int = 3) -> DataFrame:
+    """(year_dx, province, city, n) from the two wide population tables as they come.
 
     The numbers of the second table carry a suffix of fixed length.
     """
-    numbers = {c: F.col(c).try_cast("double") for c in ("year_19", "year_20")}
-    trimmed = {c: drop_suffix(c, suffix).try_cast("double") for c in ("year_19", "year_20")}
-    wide = (
-        papua.select("city", "year_19", "year_20").withColumns(numbers).withColumn("province", F.lit("Papua"))
-        .unionByName(
-            west_papua.select("city", "year_19", "year_20").withColumns(trimmed)
-            .withColumn("province", F.lit("West Papua"))
-        )
-    )
-    long = wide.unpivot(["province", "city"], ["year_19", "year_20"], "_year", "n")
+    years = ["year_19", "year_20"]
+    west_papua = west_papua.withColumns({year: drop_suffix(year, suffix) for year in years})
+    parts = {
+        "Papua": rows_of_known(papua.select("city", *years), "city", known, years),
+        "West Papua": rows_of_known(west_papua.select("city", *years), "city", known, years),
+    }
+    long = union_parts(parts, "province").unpivot(["province", "city"], years, "_year", "n")
     return long.select(F.when(F.col("_year") == "year_19", 2019).otherwise(2020).alias("year_dx"), "province", "city", "n")
 
 

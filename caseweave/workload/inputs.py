@@ -120,6 +120,36 @@ def population(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("province", "city", F.inline(by_year)).select("year_dx", "province", "city", "n")
 
 
+def population_sheets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The two wide population tables as text, each with a heading row and a total row among its districts.
+
+    Numbers of the second table end in a fixed suffix.
+    """
+    wide = population(spark, sf_dir).groupBy("province", "city").agg(
+        F.max(F.when(F.col("year_dx") == 2019, F.col("n"))).cast("long").alias("n19"),
+        F.max(F.when(F.col("year_dx") == 2020, F.col("n"))).cast("long").alias("n20"),
+    )
+    sheets = []
+    for province, suffix in (("Papua", ""), ("West Papua", ".00")):
+        body = wide.filter(F.col("province") == province)
+        total = body.agg(F.lit("Jumlah").alias("city"), F.sum("n19").alias("n19"), F.sum("n20").alias("n20"))
+        rows = body.select("city", "n19", "n20").unionByName(total).select(
+            "city", F.col("n19").cast("string").alias("year_18"),
+            F.concat(F.col("n19").cast("string"), F.lit(suffix)).alias("year_19"),
+            F.concat(F.col("n20").cast("string"), F.lit(suffix)).alias("year_20"),
+        )
+        heading = rows.limit(1).select(
+            F.lit(None).cast("string").alias("city"), *[F.lit(f"20{y}").alias(f"year_{y}") for y in (18, 19, 20)]
+        )
+        sheets.append(heading.unionByName(rows))
+    return sheets[0], sheets[1].drop("year_18")
+
+
+def study_cities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of the districts of the study area."""
+    return _study_places(spark, sf_dir).select("city")
+
+
 def official_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Official number of units ``n_hu_web`` by (province, city), above the suppliers of some districts."""
     suppliers = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("suppliers"))

@@ -438,6 +438,7 @@ ORACLES: dict[str, str] = {
     "stored_line_list_by_year": _sql(
         'SELECT year_dx, province, sp, count(*) AS "case" FROM line WHERE year_dx = 2020 GROUP BY ALL'),
     "month_parts_by_file": _sql('SELECT month, prov AS province, city, "case" FROM month_tables'),
+    "population_from_sheets": _sql("SELECT year_dx, province, city, n FROM population"),
     "strict_sum_by_year": _sql("""
         SELECT yr AS YEAR, raw_district AS ADMIN2, CASE WHEN bool_and(by_sex IS NOT NULL) THEN sum(by_sex) END AS strict_total,
                sum(by_sex) AS known_total FROM reported GROUP BY 1, 2"""),

@@ -146,6 +146,13 @@ def month_parts_by_file(spark, sf_dir):
     )
 
 
+@query
+def population_from_sheets(spark, sf_dir):
+    """District population from two wide text tables with heading and total rows."""
+    papua, west_papua = inputs.population_sheets(spark, sf_dir)
+    return tables.population_by_year(papua, west_papua, inputs.study_cities(spark, sf_dir))
+
+
 # --- Missing values, reshaping, allocation --------------------------------------
 
 
@@ -536,7 +543,7 @@ def region_names_unmatched(spark, sf_dir):
 
 @query
 def grid_check(spark, sf_dir):
-    """Cells of month × sex × occupation that no district row fills."""
+    """Cells of (year, district) × month × sex without a case of another species."""
     line = inputs.line_list(spark, sf_dir).filter(F.col("sp") == cb.OTHER)
     return checks.missing_cells(
         line, line.select("year_dx", "city"), {"month_dx": list(range(1, 13)), "sex": cb.SEXES}
