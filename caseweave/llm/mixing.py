@@ -21,15 +21,16 @@ MAX_REPEATS = 3
 SEED = 20_240_601
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, source and the number of words of every text."""
-    narrow = docs.select("doc_id", "source", F.col("text").cast("string").alias("text"))
-    schema = T.StructType([narrow.schema["doc_id"], narrow.schema["source"], T.StructField("size", T.LongType())])
+def word_counts(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, source, ``carry`` and the number of words of every text."""
+    names = ["doc_id", "source", *carry]
+    narrow = docs.select(*names, F.col("text").cast("string").alias("text"))
+    schema = T.StructType([*narrow.schema.fields[:-1], T.StructField("size", T.LongType())])
 
     def count(batches):
         for rows, data, offsets in blocks(batches):
             sizes = pa.array(words_of(data, offsets).counts, pa.int64())
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), sizes], ["doc_id", "source", "size"])
+            yield pa.RecordBatch.from_arrays([*rows.columns[:-1], sizes], [*names, "size"])
 
     return narrow.mapInArrow(count, schema)
 
@@ -87,6 +88,7 @@ def mix_sources(
     shard_slots: int = SHARD_SLOTS,
     repeats: int = MAX_REPEATS,
     seed: int = SEED,
+    carry: Sequence[str] = (),
 ) -> Mixture:
     """Mix all sources to targets given by weights (cycled over the sources in code point order, null last).
 
@@ -98,10 +100,11 @@ def mix_sources(
 
     The one thing gathered on the driver is a row for each source, to which the weights belong anyway.
     Null or wordless texts have size 0 and take no part; an empty table gives no rows; repeated rows count as
-    documents of their own; other columns are ignored. Reruns agree.
+    documents of their own; other columns are ignored, but for those in ``carry``, which go on to both results.
+    Reruns agree.
     """
     spark = docs.sparkSession
-    sized = store(word_counts(docs), "sizes")
+    sized = store(word_counts(docs, carry), "sizes")
     totals = {r[0]: r[1] for r in sized.groupBy("source").agg(F.sum("size")).collect()}
     names = sorted((n for n in totals if n is not None)) + [None] * (None in totals)
     sizes = [totals[n] for n in names]
@@ -117,14 +120,14 @@ def mix_sources(
         ]),
     )
     placed = sized.join(info, F.col("source").eqNullSafe(F.col("name")))
-    placed = placed.select("doc_id", "source", "size", "source_no", "source_size", "target")
+    placed = placed.select("doc_id", "source", *carry, "size", "source_no", "source_size", "target")
     placed = store(with_offsets(placed, ["source_no"], ["doc_id", "size"], "size", "offset"), "placed")
 
     parts = placed.filter("size > 0").withColumn(
         "block", F.explode(F.expr(f"sequence(offset div {block_words}, (offset + size - 1) div {block_words})"))
     )
     parts = parts.select(
-        "source_no", "block", "offset",
+        "source_no", "block", "offset", *carry,
         F.greatest(F.lit(0), F.col("block") * block_words - F.col("offset")).alias("word_start"),
         F.least(F.col("size"), (F.col("block") + 1) * block_words - F.col("offset")).alias("word_end"),
     )
@@ -161,14 +164,15 @@ def mix_sources(
             for row in frame.itertuples():
                 for low in range(row.first, row.first + row.slots, 1 << 16):
                     j = np.arange(low, min(low + (1 << 16), row.first + row.slots))
-                    block = np.empty_like(j)
-                    for turn in np.unique(j // row.n_blocks):
-                        here = j // row.n_blocks == turn
+                    turns, block = j // row.n_blocks, np.empty_like(j)
+                    for turn in np.unique(turns):
                         key = seed + 1_000_003 * int(row.source_no) + 7_919 * int(turn)
-                        block[here] = permuted(j[here] % row.n_blocks, row.n_blocks, key)
-                    yield pd.DataFrame({"shard": row.shard, "source_no": row.source_no, "slot": j, "block": block})
+                        block[turns == turn] = permuted(j[turns == turn] % row.n_blocks, row.n_blocks, key)
+                    yield pd.DataFrame(
+                        {"shard": row.shard, "source_no": row.source_no, "slot": j, "turn": turns, "block": block}
+                    )
 
-    schema = "shard long, source_no long, slot long, block long"
+    schema = "shard long, source_no long, slot long, turn long, block long"
     numbered = counted.filter("slots > 0").select("shard", "source_no", "slots", "first", "n_blocks")
     numbered = numbered.mapInPandas(number, schema)
     return Mixture(placed, numbered.join(parts, ["source_no", "block"]))
@@ -182,3 +186,52 @@ def taken_words(mixture: Mixture) -> DataFrame:
     used = placed.join(taken, ["source_no", "offset"], "left")
     words = F.when(F.col("size") > 0, F.coalesce("words", F.lit(0))).otherwise(0).cast("long")
     return used.select("doc_id", "source", "size", "source_size", "target", words.alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix as documents: a row for each pass over a document in which the mix takes some of it.
+
+    The text holds what that pass takes, in order: all of it unchanged, or runs of its words, one to a line.
+    ``n_chars``, if there, is counted anew; other columns stay. Documents without words, and those that no pass
+    takes, are left out. Options and edge cases are those of ``mix_sources``.
+    """
+    rows = store(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    pieces = mix_sources(rows, carry=["__row"], **options).pieces
+    taken = pieces.groupBy("__row", "turn").agg(
+        F.sort_array(F.collect_list(F.struct("word_start", "word_end"))).alias("__taken")
+    )
+    joined = rows.join(taken.drop("turn"), "__row").select(*[F.col(f"`{c}`") for c in docs.columns], "__taken")
+    names, schema = docs.columns, docs.schema
+    text_at = names.index("text")
+
+    def cut(batches):
+        for part, data, offsets in blocks(batches):
+            words, texts = words_of(data, offsets), []
+            taken = part.column(len(names)).to_pylist()
+            for i, runs in enumerate(taken):
+                first, runs = int(words.first[i]), _merged(runs)
+                if runs == [(0, int(words.counts[i]))]:
+                    texts.append(data[offsets[i] : offsets[i + 1]].tobytes())
+                    continue
+                spans = [(int(words.start[first + a]), int(words.end[first + b - 1])) for a, b in runs]
+                texts.append(b"\n".join(data[a:b].tobytes() for a, b in spans))
+            columns = list(part.columns[: len(names)])
+            columns[text_at] = pa.array([t.decode() for t in texts], columns[text_at].type)
+            if "n_chars" in names:
+                at = names.index("n_chars")
+                columns[at] = pa.array([len(t.decode()) for t in texts], pa.int64()).cast(columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    # The cut names its columns by place, so clashing names of extra columns do no harm.
+    return joined.mapInArrow(cut, schema)
+
+
+def _merged(runs: list[dict]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for run in runs:
+        a, b = int(run["word_start"]), int(run["word_end"])
+        if out and out[-1][1] == a:
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+    return out

@@ -6,8 +6,10 @@ from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from caseweave.llm import exact, mixing, tokens
+import corpus_pipeline
+from caseweave.llm import decontaminate, exact, langid, minhash, mixing, tokens
 
 TOKENIZERS = "/opt/tokenizers"
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -24,6 +26,20 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicate_classes(table(spark, sf_dir, "documents")).drop("key")
+
+
+def op4_contained_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.train(docs))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_table(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
@@ -32,8 +48,13 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "documents")
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op2_mix_sources, op9_token_records, op10_exact_dedup]
+    named = [pipeline, op2_mix_sources, op3_near_duplicates, op4_contained_items, op7_language, op9_token_records, op10_exact_dedup]
     return {function.__name__: function for function in named}
 
 

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Sequence
 
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -30,14 +30,26 @@ def store_by(df: DataFrame, name: str, key: str) -> DataFrame:
     """Like ``store``, in buckets of ``key``: later joins on it move only the other side."""
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex}"
-    buckets = partitions(spark)
-    (
-        df.repartition(buckets, key).write.option("compression", "zstd").option("path", shared_path(spark, name))
-        .bucketBy(buckets, key).saveAsTable(table)
-    )
+    writer = df.write.option("compression", "zstd").option("path", shared_path(spark, name))
+    writer.bucketBy(partitions(spark), key).saveAsTable(table)
     return spark.table(table)
 
 
+def text_key() -> Column:
+    """Stands for a text: its MD5 as 16 bytes; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))
+
+
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """Every text once, stored in buckets of its key: key, text, copies.
+
+    Copies meet before the shuffle where a task has several, so a text that a third of all rows repeat is moved
+    once per task. All later joins on the key leave the texts where they are.
+    """
+    rows = docs.select(text_key().alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    return store_by(rows.groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")), "texts", "key")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
