@@ -17,6 +17,7 @@ WIDTH = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 GROUP = 256
+SMALL = 24
 _INF = np.inf
 
 
@@ -97,7 +98,7 @@ def jaccard(value_a, weight_a, value_b, weight_b) -> float:
 
 @dataclass
 class Duplicates:
-    """``classes``: (key, component) of distinct texts in a class of more than one; ``links``: verified pairs of keys."""
+    """``classes``: (key, component) of distinct texts in a class of more than one; ``links``: verified links, at least a spanning tree of each class."""
 
     links: DataFrame
     classes: DataFrame
@@ -147,7 +148,6 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
                     continue
                 if of != (group, number):
                     raise ValueError("a group without its first text")
-                # Sizes alone rule out most pairs that differ much.
                 score = jaccard(*centre, *own)
                 if score >= least - 1e-9:
                     a.append(group)
@@ -158,12 +158,109 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return rows.select("key", "a", "part", "member", "text").mapInArrow(compare, "a binary, b binary, similarity double")
 
 
+def _block_links(left: list, right: list, least: float) -> list[tuple[bytes, bytes, float]]:
+    """Links between two bounded lists of (key, component, values, weights), one at most for each pair of components.
+
+    Counts of common shingles come from matrix products over the shingles that occur on both sides, some at a time.
+    They give the plain similarity and a bound of the weighted one; what passes is computed exactly.
+    """
+    sides = []
+    for members in (left, right):
+        size = [len(m[2]) for m in members]
+        share = [m[3] / m[3].sum() if len(m[3]) else m[3] for m in members]
+        sides.append((np.repeat(np.arange(len(members)), size), np.concatenate([m[2] for m in members]), np.concatenate(share), np.array(size)))
+    common = np.intersect1d(sides[0][1], sides[1][1])
+    shape = (len(left), len(right))
+    count, mass_a, mass_b = np.zeros(shape, np.float32), np.zeros(shape, np.float32), np.zeros(shape, np.float32)
+    for low in range(0, len(common), 4096):
+        part, dense = common[low : low + 4096], []
+        for row, value, share, size in sides:
+            at = np.minimum(np.searchsorted(part, value), len(part) - 1)
+            hit = part[at] == value
+            here, held = np.zeros((len(size), len(part)), np.float32), np.zeros((len(size), len(part)), np.float32)
+            here[row[hit], at[hit]] = 1
+            held[row[hit], at[hit]] = share[hit]
+            dense.append((here, held))
+        (a, pa_), (b, pb) = dense
+        count += a @ b.T
+        mass_a += pa_ @ b.T
+        mass_b += a @ pb.T
+    plain = count / np.maximum(sides[0][3][:, None] + sides[1][3][None, :] - count, 1)
+    root = {m[1]: m[1] for m in [*left, *right]}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    out = []
+    for i, j in np.argwhere((plain >= least - 1e-6) | (np.minimum(mass_a, mass_b) >= least - 1e-4)):
+        x, y = left[i], right[j]
+        low, high = find(x[1]), find(y[1])
+        if low != high and (score := jaccard(*x[2:], *y[2:])) >= least - 1e-9:
+            root[low] = high
+            out.append((x[0], y[0], score))
+    return out
+
+
+def _linked_in_blocks(open_: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Links between components that share a large bucket.
+
+    Of each bucket, what is outside its largest component is compared with everything in it, in blocks of about
+    ``GROUP`` by ``GROUP`` texts that meet in one group of rows: no pair of texts is ever a row, and a single stray
+    in a bucket of copies costs one comparison with each.
+    """
+    inside = open_.groupBy("band", "component").agg(F.count(F.lit(1)).alias("held"))
+    buckets = inside.groupBy("band").agg(
+        F.sum("held").alias("all"), F.max("held").alias("most"), F.max(F.struct("held", "component"))["component"].alias("main")
+    )
+    rows = open_.join(buckets, "band")
+    outside = F.expr("cast((all - most) / %d as int) + 1" % GROUP)
+    total = F.expr("cast(all / %d as int) + 1" % GROUP)
+    rows = rows.withColumns({"outside": outside, "total": total, "stray": F.col("component") != F.col("main")})
+    own = F.pmod(F.xxhash64("key"), F.col("total"))
+    right = rows.select(
+        "band", F.explode(F.expr("sequence(0, outside - 1)")).alias("i"), own.cast("int").alias("j"), "key", "component", F.lit(True).alias("right")
+    )
+    left = rows.filter("stray").select(
+        "band", F.pmod(F.xxhash64("key", F.lit(1)), F.col("outside")).cast("int").alias("i"),
+        F.explode(F.expr("sequence(0, total - 1)")).alias("j"), "key", "component", F.lit(False).alias("right"),
+    )
+    wanted = left.unionAll(right).join(texts.select("key", "text"), "key")
+    wanted = wanted.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "right")
+    wanted = wanted.select("key", "component", "band", "i", "j", "right", "text")
+
+    def compare(batches):
+        group, sides = None, ([], [])
+
+        def links():
+            found = _block_links(*sides, least) if sides[0] and sides[1] else []
+            a, b, score = zip(*found) if found else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(score, pa.float64())], names=["a", "b", "similarity"])
+
+        for part, data, offsets in blocks(batches):
+            words = words_of(data, offsets)
+            text, value, weight = weighted_shingles(words)
+            bounds = np.searchsorted(text, np.arange(part.num_rows + 1))
+            for i, (key, component, *place, right) in enumerate(zip(*(part.column(c).to_pylist() for c in range(6)))):
+                if place != group:
+                    if group is not None:
+                        yield links()
+                    group, sides = place, ([], [])
+                sides[right].append((key, component, value[bounds[i] : bounds[i + 1]], weight[bounds[i] : bounds[i + 1]]))
+        if group is not None:
+            yield links()
+
+    return wanted.mapInArrow(compare, "a binary, b binary, similarity double")
+
+
 def near_duplicates(texts: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> Duplicates:
     """Classes of similar texts among distinct ``texts`` (key, text).
 
     Texts that share a band meet in a bucket. First every member is compared with one text of the bucket, the one
-    that meets most others in all its bands; this settles large groups of copies with a pair for each member. What is
-    in a bucket but not in one component afterwards is compared pair by pair, so no link that the bands show is lost.
+    that meets most others in all its bands; this settles most groups of copies with a pair for each member. Buckets
+    that still hold several components are compared in full, small ones (up to ``SMALL`` texts) pair by pair, each
+    pair once whatever the number of its buckets, large ones in blocks. So no link between components is lost.
     """
     band = _bands(texts, bands, rows)
     sizes = band.groupBy("band").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
@@ -175,23 +272,25 @@ def near_duplicates(texts: DataFrame, least: float = SIMILARITY, bands: int = BA
     links = store(_verified(first, texts, least), "links")
     found = components(links)
 
-    member = shared.select("band", "key").join(found.withColumnRenamed("node", "key"), "key", "left")
-    member = member.withColumn("component", F.coalesce("component", "key"))
-    # One row for each open bucket and component goes on as it is; buckets of one component are done.
+    member = shared.join(found.withColumnRenamed("node", "key"), "key", "left")
+    member = member.select("band", "key", "members", F.coalesce("component", "key").alias("component"))
+    # Buckets of one component are done.
     open_ = member.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high")
     member = store(member.join(open_.select("band"), "band", "left_semi"), "open")
-    other = member.select("band", F.col("key").alias("key2"), F.col("component").alias("component2"))
-    rest = member.join(other, "band").filter("component < component2")
+    small = member.filter(F.col("members") <= SMALL)
+    other = small.select("band", F.col("key").alias("key2"), F.col("component").alias("component2"))
+    rest = small.join(other, "band").filter("component < component2")
     rest = rest.select(F.col("key").alias("a"), F.col("key2").alias("b")).distinct()
     tried = first.unionAll(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
     rest = store(rest.join(tried, ["a", "b"], "left_anti"), "pairs")
     more = _verified(rest, texts, least)
-    links = store(links.unionAll(more), "links")
+    blocked = _linked_in_blocks(member.filter(F.col("members") > SMALL).drop("members"), texts, least)
+    links = store(links.unionAll(more).unionAll(blocked), "links")
     return Duplicates(links, components(links))
 
 
 def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """One row for each document: doc_id, class_id, class_size, n_links, kept.
+    """One row for each document: doc_id, class_id, class_size, kept, key (of its text).
 
     Two texts are linked when their shingles of five words (a shorter text is one shingle) have a probability
     Jaccard similarity, or a plain one, of at least ``least``; copies of a text belong together. A class is a connected
@@ -199,27 +298,23 @@ def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFr
     Candidates come from 24 bands of 5 ProbMinHash registers: a pair at 0.8 is missed with probability 7e-5.
 
     Documents without words (null, empty or white space only) have no shingles: one text of them is a class.
-    ``n_links`` counts the linked other texts of the comparison made (copies are not expanded). Of rows repeated with
-    the same id one is kept. Other columns are ignored; an empty table gives no rows.
+    Of rows repeated with the same id one is kept. Other columns are ignored; an empty table gives no rows.
     """
     rows = docs.select("doc_id", text_key().alias("key"))
     found = near_duplicates(distinct_texts(docs), least)
-    ends = found.links.select(F.col("a").alias("key")).unionAll(found.links.select(F.col("b").alias("key")))
-    degree = ends.groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
     classes = found.classes.withColumnRenamed("node", "key")
     # Rows are summed for each text first, then for each class: no group of copies meets in one task.
     members = rows.groupBy("key", "doc_id").agg(F.count(F.lit(1)).alias("times"))
-    members = members.join(classes, "key", "left").join(degree, "key", "left")
+    members = members.join(classes, "key", "left")
     members = members.withColumn("component", F.coalesce("component", "key"))
-    members = members.select("doc_id", "key", "component", "times", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-    members = store(members, "members")
+    members = store(members.select("doc_id", "key", "component", "times"), "members")
     groups = members.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.sum("times").alias("class_size"))
     # A kept row is one of the texts with the least id, should several texts carry it.
     one = members.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("one"))
     groups = groups.join(one, "component")
     out = members.join(groups, "component").withColumn("copy", F.explode(F.expr("sequence(1L, times)")))
     kept = (F.col("copy") == 1) & F.col("doc_id").eqNullSafe(F.col("one.doc_id")) & (F.col("key") == F.col("one.key"))
-    return out.select("doc_id", "class_id", "class_size", "n_links", kept.alias("kept"), F.col("key"))
+    return out.select("doc_id", "class_id", "class_size", kept.alias("kept"), F.col("key"))
 
 
 def without_near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
