@@ -194,7 +194,9 @@ def _block_links(left: list, right: list, least: float) -> list[tuple[bytes, byt
         return x
 
     out = []
-    for i, j in np.argwhere((plain >= least - 1e-6) | (np.minimum(mass_a, mass_b) >= least - 1e-4)):
+    # With the shares a and b of both texts that lie in common shingles, the weighted one is 1 / (1/a + 1/b - 1) at most.
+    weighted = 1 / (1 / np.maximum(mass_a, 1e-9) + 1 / np.maximum(mass_b, 1e-9) - 1)
+    for i, j in np.argwhere((plain >= least - 1e-6) | (weighted >= least - 1e-4)):
         x, y = left[i], right[j]
         low, high = find(x[1]), find(y[1])
         if low != high and (score := jaccard(*x[2:], *y[2:])) >= least - 1e-9:
