@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from caseweave.llm import decontaminate, exact, langid, minhash, mixing, tokens
+from caseweave.llm import decontaminate, exact, html_text, langid, minhash, mixing, substrings, tokens, warc
 
 TOKENIZERS = "/opt/tokenizers"
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -34,12 +34,25 @@ def op4_contained_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.without_repeated_windows(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.archived_pages(table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.train(docs))
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op8_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.page_texts(table(spark, sf_dir, "pages"))
+
+
 def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_table(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
@@ -54,7 +67,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [pipeline, op2_mix_sources, op3_near_duplicates, op4_contained_items, op7_language, op9_token_records, op10_exact_dedup]
+    named = [pipeline, op2_mix_sources, op3_near_duplicates, op4_contained_items, op5_substring_dedup, op6_warc, op7_language, op8_page_text, op9_token_records, op10_exact_dedup]
     return {function.__name__: function for function in named}
 
 
@@ -68,5 +81,16 @@ FROM (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents)
 """
 
 
+OP6_SQL = """
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id < top THEN top END AS refers_to
+FROM (
+    SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top
+    FROM (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages)
+)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": OP10_SQL}
+    return {"op6_warc": OP6_SQL, "op10_exact_dedup": OP10_SQL}
