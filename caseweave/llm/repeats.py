@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from caseweave.llm.shared import partitions, store
 from caseweave.llm.words import blocks
@@ -34,22 +34,24 @@ def chosen_minima(values: np.ndarray, least: np.ndarray, span: int) -> np.ndarra
 
 
 def positions(column: pa.Array) -> list[np.ndarray]:
-    """Positions of each row, from a list of packed parts."""
-    return [np.frombuffer(b"".join(parts or []), np.int32) for parts in column.to_pylist()]
+    """Positions of each row, from a packed column; null has none."""
+    return [np.frombuffer(packed or b"", np.int32) for packed in column.to_pylist()]
 
 
 def repeated_windows(source: DataFrame, select: Select) -> DataFrame:
-    """key and the packed positions (``at``: a list of int32 blobs) of the chosen windows whose hash occurs again anywhere.
+    """key and the packed int32 positions ``at`` of the chosen windows whose hash occurs again anywhere.
 
     ``source`` has key, text and what else ``select`` reads. A task sends every hash of a block of texts once, with a
     note if it occurred there twice, so a window that a third of all texts hold costs one entry for each block. Windows
     and their places are packed by hash bucket; the repeated hashes of a bucket then meet its packs, of which a hot
-    bucket has more, none of them larger.
+    bucket has more, none of them larger. What is found goes back to the block of texts in one row for each pack.
     """
     buckets = partitions(source.sparkSession)
 
     def pack(batches):
+        block = TaskContext.get().partitionId() << 32
         for part, data, offsets in blocks(batches):
+            block += 1
             text, at, value = select(part, data, offsets)
             if not len(at):
                 continue
@@ -65,14 +67,14 @@ def repeated_windows(source: DataFrame, select: Select) -> DataFrame:
                 count = np.diff(np.append(np.flatnonzero(first), high - low))
                 texts, number = np.unique(text[low:high], return_inverse=True)
                 rows.append((
-                    int(bucket[low]), own[first].tobytes(), count.astype(np.int32).tobytes(),
+                    block, int(bucket[low]), own[first].tobytes(), count.astype(np.int32).tobytes(),
                     b"".join(keys.take(pa.array(texts)).to_pylist()), number.astype(np.int32).tobytes(), at[low:high].astype(np.int32).tobytes(),
                 ))
-            names = ["bucket", "hashes", "counts", "keys", "texts", "at"]
-            kinds = [pa.int64()] + [pa.binary()] * 5
+            names = ["block", "bucket", "hashes", "counts", "keys", "texts", "at"]
+            kinds = [pa.int64()] * 2 + [pa.binary()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    packed = source.mapInArrow(pack, "bucket long, hashes binary, counts binary, keys binary, texts binary, at binary")
+    packed = source.mapInArrow(pack, "block long, bucket long, hashes binary, counts binary, keys binary, texts binary, at binary")
     packed = store(packed, "windows")
 
     def count(table: pa.Table) -> pa.Table:
@@ -87,19 +89,29 @@ def repeated_windows(source: DataFrame, select: Select) -> DataFrame:
 
     def mark(batches):
         for batch in batches:
-            keys_out, at_out = [], []
-            for hashes, counts, keys, texts, at, again in zip(*(c.to_pylist() for c in batch.columns)):
+            rows = []
+            for block, hashes, counts, keys, texts, at, again in zip(*(c.to_pylist() for c in batch.columns)):
                 hit = np.isin(np.frombuffer(hashes, np.uint64), np.frombuffer(again, np.uint64), assume_unique=True)
                 hit = np.repeat(hit, np.frombuffer(counts, np.int32))
-                text, place = np.frombuffer(texts, np.int32)[hit], np.frombuffer(at, np.int32)[hit]
-                order = np.argsort(text, kind="stable")
-                text, place = text[order], place[order]
-                edges = np.append(np.flatnonzero(np.append(True, text[1:] != text[:-1])[: len(text)]), len(text))
-                for low, high in zip(edges[:-1], edges[1:]):
-                    keys_out.append(keys[16 * text[low] : 16 * text[low] + 16])
-                    at_out.append(place[low:high].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys_out, pa.binary()), pa.array(at_out, pa.binary())], names=["key", "at"])
-
-    joined = packed.join(known, "bucket").select("hashes", "counts", "keys", "texts", "at", "again")
-    marked = joined.mapInArrow(mark, "key binary, at binary")
-    return marked.groupBy("key").agg(F.collect_list("at").alias("at"))
+                if hit.any():
+                    rows.append((block, keys, np.frombuffer(texts, np.int32)[hit].tobytes(), np.frombuffer(at, np.int32)[hit].tobytes()))
+            columns = zip(*rows) if rows else ((), (), (), ())
+            kinds = [pa.int64()] + [pa.binary()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["block", "keys", "texts", "at"])
+
+    def unpack(table: pa.Table) -> pa.Table:
+        found: dict[bytes, list[np.ndarray]] = {}
+        for keys, texts, at in zip(*(table.column(c).to_pylist() for c in ("keys", "texts", "at"))):
+            text, place = np.frombuffer(texts, np.int32), np.frombuffer(at, np.int32)
+            order = np.argsort(text, kind="stable")
+            text, place = text[order], place[order]
+            edges = np.append(np.flatnonzero(np.append(True, text[1:] != text[:-1])), len(text))
+            for low, high in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                start = 16 * int(text[low])
+                found.setdefault(keys[start : start + 16], []).append(place[low:high])
+        packed_at = [np.sort(np.concatenate(parts)).tobytes() for parts in found.values()]
+        return pa.table({"key": pa.array(list(found), pa.binary()), "at": pa.array(packed_at, pa.binary())})
+
+    joined = packed.join(known, "bucket").select("block", "hashes", "counts", "keys", "texts", "at", "again")
+    marked = joined.mapInArrow(mark, "block long, keys binary, texts binary, at binary")
+    return marked.groupBy("block").applyInArrow(unpack, "key binary, at binary")

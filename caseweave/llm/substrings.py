@@ -63,7 +63,7 @@ def _seeds(window: int, before: int | None, width: int, part: pa.RecordBatch, da
 
 
 def repeated_word_windows(texts: DataFrame, window: int = WINDOW, first: int = FIRST) -> DataFrame:
-    """key and positions (list of int32 blobs) of the windows of ``window`` words that occur again among distinct texts or in their own."""
+    """key and packed positions of the windows of ``window`` words that occur again among distinct texts or in their own."""
     found, before = None, None
     for width in levels(first, window):
         source = texts.select("key", "text")
