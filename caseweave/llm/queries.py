@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from caseweave.llm import decontaminate, exact, html_text, langid, minhash, mixing, substrings, tokens, warc
+from caseweave.llm import decontaminate, exact, html_text, langid, minhash, mixing, substrings, suffixes, tokens, warc
 
 TOKENIZERS = "/opt/tokenizers"
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -21,6 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.without_repeated_strings(table(spark, sf_dir, "documents"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.taken_words(mixing.mix_sources(table(spark, sf_dir, "documents")))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -67,7 +71,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [pipeline, op2_mix_sources, op3_near_duplicates, op4_contained_items, op5_substring_dedup, op6_warc, op7_language, op8_page_text, op9_token_records, op10_exact_dedup]
+    named = [pipeline, op1_suffix_dedup, op2_mix_sources, op3_near_duplicates, op4_contained_items, op5_substring_dedup, op6_warc, op7_language, op8_page_text, op9_token_records, op10_exact_dedup]
     return {function.__name__: function for function in named}
 
 
