@@ -362,9 +362,9 @@ def repeated_strings(texts: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def open_(batches):
         for part, data, offsets in blocks(batches):
-            rows = [(_seed_of(data, offsets, n, at, seed), d) for n, at, d in _open(length, part, data, offsets)]
-            values = zip(*rows) if rows else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in values], names=["seed", "distance"])
+            rows = np.array([(offsets[n] + at, d) for n, at, d in _open(length, part, data, offsets)], np.int64).reshape(-1, 2)
+            value = _seed_hashes(data, seed)[rows[:, 0]].view(np.int64) if len(rows) else rows[:, 0]
+            yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(rows[:, 1])], names=["seed", "distance"])
 
     left = texts.join(found, "key").select("key", "text", "found").mapInArrow(open_, "seed long, distance long")
     left = store(left.distinct(), "open")
@@ -373,12 +373,14 @@ def repeated_strings(texts: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def seeds(batches):
         for part, data, offsets in blocks(batches):
-            rows, keys = [], part.column(0).to_pylist()
-            for n, places in enumerate(positions(part.column(2))):
-                rows += [(_seed_of(data, offsets, n, at, seed), keys[n], at, int(offsets[n + 1] - offsets[n])) for at in places.tolist()]
-            columns = zip(*rows) if rows else ((), (), (), ())
-            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["seed", "key", "at", "size"])
+            places = positions(part.column(2))
+            text = np.repeat(np.arange(part.num_rows), [len(p) for p in places])
+            if not len(text):
+                continue
+            at = np.concatenate(places).astype(np.int64)
+            value = _seed_hashes(data, seed)[offsets[text] + at].view(np.int64)
+            columns = [pa.array(value), part.column(0).take(pa.array(text)), pa.array(at), pa.array(np.diff(offsets)[text])]
+            yield pa.RecordBatch.from_arrays(columns, names=["seed", "key", "at", "size"])
 
     # Every text with such an anchor shows the string at this distance: whole strings are sorted once more.
     places = marked.mapInArrow(seeds, "seed long, key binary, at long, size long").join(left, "seed")
@@ -401,11 +403,6 @@ def _joined(found: DataFrame, more: DataFrame) -> DataFrame:
     return both.select("key", F.when(F.col("more").isNull(), F.col("found")).otherwise(F.concat("found", "more")).alias("found"))
 
 
-def _seed_of(data: np.ndarray, offsets: np.ndarray, number: int, at: int, seed: int) -> int:
-    low = int(offsets[number]) + at
-    return int.from_bytes(hashlib.blake2b(data[low : low + seed].tobytes(), digest_size=8).digest(), "little", signed=True)
-
-
 def without_repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Remove every byte that a repeated string of ``length`` bytes covers, judged on the input.
 
