@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import statistics
+import tempfile
 import time
 
 from caseweave.operators import resample
@@ -40,6 +41,8 @@ def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = local_session("bench", cpus, int(cpus) if cpus.isdigit() else 8)
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="bench-"))
     runs = {name: registered.queries()[name] for name in HEADLINE}
     runs["bootstrap_district_10000"] = bootstrap_district
     runs["bootstrap_unit_10000"] = bootstrap_unit

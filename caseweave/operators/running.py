@@ -72,11 +72,13 @@ def running_totals(
     shifts = shifts.select(
         _KEY,
         _BLOCK,
-        *[F.coalesce(F.sum(f"_in_{name}").over(before), F.lit(0)).alias(f"_shift_{name}") for name in running],
+        *[F.sum(f"_in_{name}").over(before).alias(f"_shift_{name}") for name in running],
         *[F.sum(f"_in_{name}").over(complete).alias(name) for name in whole],
     )
     inside = W.partitionBy(_KEY, _BLOCK).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     local = ranged.withColumns({name: F.sum(f"_in_{name}").over(inside) for name in running})
     shifted = local.join(shifts, [_KEY, _BLOCK])
-    shifted = shifted.withColumns({name: F.col(name) + F.col(f"_shift_{name}") for name in running})
+    # As in one window, a total is NULL only while nothing known has been seen in this block or before it.
+    totals = {name: F.coalesce(F.col(name) + F.col(f"_shift_{name}"), name, f"_shift_{name}") for name in running}
+    shifted = shifted.withColumns(totals)
     return shifted.select(*df.columns, *running, *whole)

@@ -69,8 +69,10 @@ def lorenz_districts(rates: DataFrame) -> DataFrame:
     return concentration.lorenz(rates, STRATA, "case", "pop", ["city"])
 
 
-def lorenz_units(padded: DataFrame) -> DataFrame:
-    return concentration.lorenz(padded, STRATA, "case_hu", "pop_hu", ["city", "health_unit", "pad"])
+def lorenz_units(padded: DataFrame, block_rows: int | None = None) -> DataFrame:
+    return concentration.lorenz(
+        padded, STRATA, "case_hu", "pop_hu", ["city", "health_unit", "pad"], block_rows=block_rows
+    )
 
 
 def gini_districts(rates: DataFrame) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,20 +24,14 @@ def local_session(app: str = "caseweave", cpus: str | int = "*", partitions: int
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
-
-    A machine-local folder is made only for a local master that names none.
-    """
+    """Folder every executor can reach, as named by ``spark.checkpoint.dir``; a session without one is refused."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return context.getCheckpointDir()
-    if not context.master.startswith("local"):
+    folder = spark.sparkContext.getCheckpointDir()
+    if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="caseweave-"))
-    return context.getCheckpointDir()
+    return folder
 
 
 def pin(df: DataFrame) -> DataFrame:

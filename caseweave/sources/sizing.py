@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 # Stored size up to which a dimension is broadcast.
 BROADCAST_BYTES = 8 * 1024 * 1024
-# A scan below two read splits leaves most cores idle.
-SPREAD_BYTES = 256 * 1024 * 1024
 
 
 def scan_bytes(scan: DataFrame) -> int:
@@ -24,10 +22,3 @@ def broadcast_if_small(df: DataFrame, scan: DataFrame) -> DataFrame:
     A larger one is joined by a shuffle, in which adaptive execution splits hot keys.
     """
     return F.broadcast(df) if scan_bytes(scan) <= BROADCAST_BYTES else df
-
-
-def spread_if_small(scan: DataFrame, key: str) -> DataFrame:
-    """Spread a scan of only one or two read splits over all cores; larger scans stay as they are."""
-    if scan_bytes(scan) > SPREAD_BYTES:
-        return scan
-    return scan.repartition(scan.sparkSession.sparkContext.defaultParallelism, key)

@@ -56,14 +56,11 @@ def union_parts(parts: Mapping[str, DataFrame], tag: str) -> DataFrame:
 def rows_of_known(df: DataFrame, name: str, known: DataFrame, numeric: Sequence[str]) -> DataFrame:
     """Table body without headings, totals and notes.
 
-    A row belongs to the body when its name is known and every numeric column
-    holds a number; the columns come back as numbers.
+    A row belongs to the body when its name is known. The numeric columns come back as numbers,
+    NULL where a cell is blank or unreadable; such a district keeps its other years.
     """
     body = df.join(known.select(name).distinct(), name, "left_semi")
-    body = body.withColumns({column: F.col(column).try_cast("double") for column in numeric})
-    for column in numeric:
-        body = body.filter(F.col(column).isNotNull())
-    return body
+    return body.withColumns({column: F.col(column).try_cast("double") for column in numeric})
 
 
 def population_by_year(papua: DataFrame, west_papua: DataFrame, known: DataFrame, suffix: int = 3) -> DataFrame:

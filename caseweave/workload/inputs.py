@@ -15,7 +15,7 @@ from caseweave import codebooks as cb
 from caseweave.functions.recode import recode, title_case
 from caseweave.plans.cleaning import clean_line_list, rename_province
 from caseweave.sources.schemas import MONTH_PARTS
-from caseweave.sources.sizing import broadcast_if_small, spread_if_small
+from caseweave.sources.sizing import broadcast_if_small
 
 # Raw names of the regions by key; the last one lies outside the main study area.
 PROVINCE_OF_REGION = {0: "PAPUA", 1: "PAPUA", 2: "PAPUA", 3: "PAPUA BARAT", 4: "NUSA TENGGARA TIMUR"}
@@ -64,7 +64,7 @@ def raw_line_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     line, supplier = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier")
     places = supplier.join(F.broadcast(districts(spark, sf_dir)), supplier.s_nationkey == F.col("n_nationkey"))
     places = broadcast_if_small(places, supplier)
-    rows = spread_if_small(line, "l_orderkey").join(places, F.col("l_suppkey") == F.col("s_suppkey"))
+    rows = line.join(places, F.col("l_suppkey") == F.col("s_suppkey"))
     year = "CASE WHEN l_orderkey % 997 = 0 THEN 2021 WHEN year(l_shipdate) % 2 = 1 THEN 2019 ELSE 2020 END"
     rows = rows.selectExpr(
         "*", f"{year} AS tahun", "array('-', '/', ' ')[l_linenumber % 3] AS separator",

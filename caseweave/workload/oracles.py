@@ -515,6 +515,11 @@ ORACLES: dict[str, str] = {
                {LORENZ_TAIL} FROM curve
         UNION ALL SELECT DISTINCT year_dx, province, NULL, NULL, sp, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 0.0, 0.0
         FROM curve""", UNITS, UNIT_CURVE),
+    "lorenz_unit_blocked": _sql(f"""
+        SELECT {DISTRICT}, health_unit, sp, case_hu, pop_city, n_hu, round(pop_hu, 6) AS pop_hu, round(api_hu, 6) AS api_hu, pad,
+               {LORENZ_TAIL} FROM curve
+        UNION ALL SELECT DISTINCT year_dx, province, NULL, NULL, sp, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 0.0, 0.0
+        FROM curve""", UNITS, UNIT_CURVE),
     "gini_district": _sql(GINI_SELECT, RATES, DISTRICT_CURVE, _gini()),
     "gini_unit": _sql(GINI_SELECT, UNITS, UNIT_CURVE, _gini()),
     "gini_per_district": _sql(
@@ -527,6 +532,7 @@ ORACLES: dict[str, str] = {
     "pareto_units_vivax": _sql(_pareto(f"sp IN ({PV}, {MIXED})", "year_dx")),
     "pareto_units_both_years": _sql(_pareto(f"sp IN ({PF}, {MIXED})")),
     "pareto_units_vivax_published": _sql(_pareto(f"year_dx = 2019 AND sp = {PV} OR sp = {MIXED}")),
+    "pareto_units_vivax_published_2020": _sql(_pareto(f"year_dx = 2020 AND sp = {PV} OR sp = {MIXED}")),
     "top_units": _sql("""
         SELECT health_unit, count(*) AS n FROM line GROUP BY 1 ORDER BY n DESC, health_unit NULLS LAST LIMIT 10"""),
     "bootstrap_replicates_district": _sql(f"SELECT {STRATA}, rep, round(g, 6) AS g FROM replicates", RATES, DISTRICT_BOOT),
@@ -576,6 +582,13 @@ ORACLES: dict[str, str] = {
     "region_rate_class": _sql(
         _region("SELECT city AS NAME_2, api FROM api WHERE year_dx = 2020", "api", cb.MAP_RATE_BREAKS, cb.MAP_RATE_CLASSES, "api_cat"),
         API, REGIONS),
+    "region_rate_class_2019": _sql(
+        _region("SELECT city AS NAME_2, api FROM api WHERE year_dx = 2019", "api", cb.MAP_RATE_BREAKS, cb.MAP_RATE_CLASSES, "api_cat"),
+        API, REGIONS),
+    "region_gini_class_2020": _sql(
+        _region(f"SELECT city AS NAME_2, g FROM api LEFT JOIN gini USING ({DISTRICT}) WHERE year_dx = 2020",
+                "g", cb.GINI_BREAKS, cb.GINI_CLASSES, "gini_cat"),
+        PER_DISTRICT, _gini(DISTRICT, origin=False), API, REGIONS),
     "region_gini_class": _sql(
         _region(f"SELECT city AS NAME_2, g FROM api LEFT JOIN gini USING ({DISTRICT}) WHERE year_dx = 2019",
                 "g", cb.GINI_BREAKS, cb.GINI_CLASSES, "gini_cat"),
@@ -584,13 +597,16 @@ ORACLES: dict[str, str] = {
         SELECT DISTINCT city AS NAME_2, 'values' AS side FROM line WHERE city NOT IN (SELECT NAME_2 FROM map_region)
         UNION ALL SELECT NAME_2, 'regions' FROM map_region WHERE NAME_2 NOT IN (SELECT city FROM line)""", REGIONS),
     "grid_check": _sql("""
-        SELECT year_dx, city, month_dx, sex FROM (
-          SELECT year_dx, city, unnest(range(1, 13)) AS month_dx FROM (SELECT DISTINCT year_dx, city FROM other))
+        SELECT year_dx, province, city, month_dx, sex, sp FROM (
+          SELECT year_dx, province, city, unnest(range(1, 13)) AS month_dx FROM (SELECT DISTINCT year_dx, province, city FROM population))
         CROSS JOIN (VALUES ('Male'), ('Female')) s(sex)
-        EXCEPT SELECT year_dx, city, month_dx, sex FROM other""", OTHER_ROWS),
+        CROSS JOIN (SELECT unnest(%s) AS sp)
+        EXCEPT SELECT year_dx, province, city, month_dx, sex, sp FROM line""" % [cb.PF, cb.PV, cb.OTHER]),
     "group_constant_check": _sql("""
-        SELECT health_unit, count(*) AS rows, min(city) AS smallest, max(city) AS largest FROM line GROUP BY 1
-        HAVING min(city) <> max(city)"""),
+        SELECT year_dx, province, city, count(*) AS rows, min(m) AS smallest, max(m) AS largest
+        FROM (SELECT year_dx, province, city, n + (city LIKE 'T%' AND id LIKE '%1-2')::INT AS m
+              FROM line LEFT JOIN population USING (year_dx, province, city))
+        GROUP BY ALL HAVING min(m) <> max(m)"""),
     "population_known_check": _sql("""
         SELECT year AS year_dx, province, city, 1::BIGINT AS rows FROM (SELECT DISTINCT year, province, city FROM reported_series)
         WHERE year < 2019"""),

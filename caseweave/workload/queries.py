@@ -369,6 +369,13 @@ def lorenz_unit(spark, sf_dir):
     return heterogeneity.lorenz_units(heterogeneity.padded_unit_rates(_unit_rates(spark, sf_dir)))
 
 
+@query
+def lorenz_unit_blocked(spark, sf_dir):
+    """The path of large strata: blocks of a few rows."""
+    padded = heterogeneity.padded_unit_rates(_unit_rates(spark, sf_dir))
+    return heterogeneity.lorenz_units(padded, block_rows=25)
+
+
 @query
 def gini_district(spark, sf_dir):
     index = heterogeneity.gini_districts(_district_rates(spark, sf_dir))
@@ -420,6 +427,14 @@ def pareto_units_vivax_published(spark, sf_dir):
     return heterogeneity.pareto_units(published, cb.PV, strata=[])
 
 
+@query
+def pareto_units_vivax_published_2020(spark, sf_dir):
+    """The published 2020 filter, bound in the same way."""
+    line = inputs.line_list(spark, sf_dir)
+    published = line.filter(((F.col("year_dx") == 2020) & (F.col("sp") == cb.PV)) | F.col("sp").isin(cb.PF, cb.MIXED))
+    return heterogeneity.pareto_units(published, cb.PV, strata=[])
+
+
 @query
 def top_units(spark, sf_dir):
     return concentration.top_units(inputs.line_list(spark, sf_dir), "health_unit", 10)
@@ -515,22 +530,40 @@ def line_fit_of_gini(spark, sf_dir):
     return plain(smoothing.line_fit(_per_district(spark, sf_dir, True), ["year_dx"], "api", "g"), 5)
 
 
-@query
-def region_rate_class(spark, sf_dir):
+def _rate_map(spark, sf_dir, year):
     rates = incidence.district_api(inputs.line_list(spark, sf_dir), inputs.population(spark, sf_dir))
     return heterogeneity.region_rate_class(
-        rates, inputs.map_regions(spark, sf_dir), inputs.vertices(spark, sf_dir), 2020
+        rates, inputs.map_regions(spark, sf_dir), inputs.vertices(spark, sf_dir), year
     )
 
 
-@query
-def region_gini_class(spark, sf_dir):
+def _gini_map(spark, sf_dir, year):
     index = _per_district(spark, sf_dir, origin=False)
     return heterogeneity.region_gini_class(
-        index, inputs.map_regions(spark, sf_dir), inputs.vertices(spark, sf_dir), 2019
+        index, inputs.map_regions(spark, sf_dir), inputs.vertices(spark, sf_dir), year
     )
 
 
+@query
+def region_rate_class_2019(spark, sf_dir):
+    return _rate_map(spark, sf_dir, 2019)
+
+
+@query
+def region_rate_class(spark, sf_dir):
+    return _rate_map(spark, sf_dir, 2020)
+
+
+@query
+def region_gini_class(spark, sf_dir):
+    return _gini_map(spark, sf_dir, 2019)
+
+
+@query
+def region_gini_class_2020(spark, sf_dir):
+    return _gini_map(spark, sf_dir, 2020)
+
+
 @query
 def region_names_unmatched(spark, sf_dir):
     rates = incidence.district_api(inputs.line_list(spark, sf_dir), inputs.population(spark, sf_dir))
@@ -543,17 +576,19 @@ def region_names_unmatched(spark, sf_dir):
 
 @query
 def grid_check(spark, sf_dir):
-    """Cells of (year, district) × month × sex without a case of another species."""
-    line = inputs.line_list(spark, sf_dir).filter(F.col("sp") == cb.OTHER)
-    return checks.missing_cells(
-        line, line.select("year_dx", "city"), {"month_dx": list(range(1, 13)), "sex": cb.SEXES}
-    )
+    """Cells of district and year × month × sex × species without a case; the districts come from the population table."""
+    line = inputs.line_list(spark, sf_dir)
+    districts = inputs.population(spark, sf_dir).select(*DISTRICT)
+    levels = {"month_dx": list(range(1, 13)), "sex": cb.SEXES, "sp": [cb.PF, cb.PV, cb.OTHER]}
+    return checks.missing_cells(line, districts, levels)
 
 
 @query
 def group_constant_check(spark, sf_dir):
-    line = inputs.line_list(spark, sf_dir)
-    return checks.varying_attributes(line, ["health_unit"], "city")
+    """Districts and years whose population differs between rows; one row in some districts is made to."""
+    line = cleaning.attach_population(inputs.line_list(spark, sf_dir), inputs.population(spark, sf_dir))
+    odd = F.col("city").like("T%") & F.col("id").like("%1-2")
+    return checks.varying_attributes(line.withColumn("n", F.col("n") + odd.cast("int")), DISTRICT, "n")
 
 
 @query

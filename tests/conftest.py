@@ -10,5 +10,8 @@ from caseweave.session import local_session
 
 
 @pytest.fixture(scope="session")
-def spark():
-    return local_session("tests", 8, 4)
+def spark(tmp_path_factory):
+    session = local_session("tests", 8, 4)
+    if not session.conf.get("spark.checkpoint.dir", None):
+        session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("shared")))
+    return session

@@ -226,3 +226,18 @@ def test_line_fit_and_band(spark):
 def test_t_quantile(spark, degrees, expected):
     out = spark.createDataFrame([(float(degrees),)], "d double").select(smoothing.t_975(F.col("d")).alias("t")).first().t
     assert out == pytest.approx(expected, abs=1e-4)
+
+
+def test_blocks_of_unknown_values_equal_one_window(spark):
+    """NULLs at the start, whole blocks of NULLs, ties and a NULL stratum: the block path gives the window's totals."""
+    rows = [("a", i, None if i < 9 or 20 <= i < 31 else float(i % 4)) for i in range(40)]
+    rows += [(None, i, None if i % 3 else 1.0) for i in range(15)] + [("b", i, None) for i in range(10)]
+    df = spark.createDataFrame(rows, "s string, u int, v double")
+    order = [F.col("u").asc()]
+    one, blocked = (
+        {(r.s, r.u): (r.run, r.whole) for r in running_totals(
+            df, ["s"], order, {"run": F.col("v")}, {"whole": F.col("v")}, block_rows=size).collect()}
+        for size in (1000, 4)
+    )
+    assert len(one) == len(rows) and one == blocked
+    assert one["a", 8] == (None, sum(v for s, _, v in rows if s == "a" and v is not None))

@@ -129,3 +129,10 @@ def test_zero_cells_are_kept_on_request(spark):
 def test_pinned_rows_do_not_change(spark):
     df = pin(spark.range(50).withColumn("r", F.rand()))
     assert df.agg(F.sum("r")).first() == df.agg(F.sum("r")).first()
+
+
+def test_known_district_with_a_blank_year_keeps_the_other(spark):
+    known = spark.createDataFrame([("Biak",)], "city string")
+    papua = spark.createDataFrame([("Biak", "1", "2", " "), ("Total", "1", "2", "3")], schemas.POPULATION_PAPUA)
+    body = tables.rows_of_known(papua, "city", known, ["year_19", "year_20"])
+    assert [(r.city, r.year_19, r.year_20) for r in body.collect()] == [("Biak", 2.0, None)]
