@@ -128,7 +128,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = REV
     found = found.withColumn("copy", copy).withColumn(
         "refers_to", F.when((F.col("response") != F.col("page_id")) | (F.col("copy") > 1), F.col("response"))
     )
-    found = found.repartition(partitions(spark), F.xxhash64("page_id", "copy")).select("page_id", "url", "html", "refers_to", "copy")
+    found = found.select("page_id", "url", "html", "refers_to", "copy")
 
     def write(batches):
         name = f"pages-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.warc.gz"
