@@ -25,32 +25,22 @@ def density(
     value: str,
     limits: tuple[float, float] = (0.0, 1.0),
     points: int = 512,
-    digits: int = 5,
+    bins: int = 2048,
 ) -> DataFrame:
     """Gaussian kernel density on a grid over ``limits``; values outside are dropped first.
 
-    The width is 0.9 * min(sd, IQR / 1.34) * n^(-1/5). Values are rounded to
-    ``digits`` and counted, so a stratum meets the grid with at most
-    (high - low) * 10^digits + 1 distinct values, however many rows it has.
+    The width is 0.9 * min(sd, IQR / 1.34) * n^(-1/5), of the values as they are. Each value
+    is then shared linearly between the two of ``bins`` evenly spaced places beside it, so a
+    stratum meets the grid with ``bins`` rows at most, however many values it has. That adds
+    less than a quarter of the squared spacing to the squared width.
     """
     low, high = limits
-    kept = df.select(*strata, F.round(F.col(value), digits).alias("_v")).filter(F.col("_v").between(low, high))
-    counted = kept.groupBy(*strata, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    moments = counted.groupBy(*strata).agg(
-        F.sum("_n").alias("n"),
-        F.sum(F.col("_v") * F.col("_n")).alias("_s1"),
+    kept = df.select(*strata, F.col(value).cast("double").alias("_v")).filter(F.col("_v").between(low, high))
+    stats = kept.groupBy(*strata).agg(
+        F.count(F.lit(1)).alias("n"),
         F.min("_v").alias("_least"),
-        F.percentile("_v", F.array(F.lit(0.25), F.lit(0.75)), F.col("_n")).alias("_q"),
-    )
-    mean = F.col("_s1") / F.col("n")
-    spread = lookup(counted, moments.withColumn("_mean", mean).select(*strata, "n", "_mean", "_q", "_least"), strata)
-    stats = spread.groupBy(*strata).agg(
-        F.max("n").alias("n"),
-        F.max("_q").alias("_q"),
-        F.max("_least").alias("_least"),
-        F.sqrt(
-            F.try_divide(F.sum(F.col("_n") * F.pow(F.col("_v") - F.col("_mean"), 2)), F.max("n") - 1)
-        ).alias("_sd"),
+        F.stddev_samp("_v").alias("_sd"),
+        F.percentile("_v", F.array(F.lit(0.25), F.lit(0.75))).alias("_q"),
     )
     iqr = (F.col("_q")[1] - F.col("_q")[0]) / 1.34
     narrow = F.least(F.col("_sd"), iqr)
@@ -62,12 +52,21 @@ def density(
         F.lit(1.0),
     )
     stats = stats.select(*strata, "n", (usable * 0.9 * F.pow(F.col("n"), F.lit(-0.2))).alias("bw"))
-    spots = lookup(counted, stats, strata).select(
-        *strata, "_v", "_n", "n", "bw", F.inline(_grid(points, F.lit(low), F.lit(high)))
+    step = (high - low) / (bins - 1)
+    place = (F.col("_v") - low) / step
+    below = F.least(F.floor(place), F.lit(bins - 2))
+    shares = F.array(
+        F.struct(below.alias("_bin"), (below + 1 - place).alias("_w")),
+        F.struct((below + 1).alias("_bin"), (place - below).alias("_w")),
+    )
+    binned = kept.select(*strata, F.inline(shares)).groupBy(*strata, "_bin").agg(F.sum("_w").alias("_w"))
+    spots = lookup(binned, stats, strata).select(
+        *strata, (low + F.col("_bin") * step).alias("_v"), "_w", "n", "bw",
+        F.inline(_grid(points, F.lit(low), F.lit(high))),
     )
     z = (F.col("x") - F.col("_v")) / F.col("bw")
     kernel = F.exp(-0.5 * z * z) / (F.col("n") * F.col("bw") * math.sqrt(2 * math.pi))
-    return spots.groupBy(*strata, "i", "x").agg(F.sum(F.col("_n") * kernel).alias("density")).drop("i")
+    return spots.groupBy(*strata, "i", "x").agg(F.sum(F.col("_w") * kernel).alias("density")).drop("i")
 
 
 def local_fit(

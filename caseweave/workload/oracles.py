@@ -559,12 +559,15 @@ ORACLES: dict[str, str] = {
         SELECT city, round(quantile_cont(api, 0.5), 6) AS score, row_number() OVER (ORDER BY quantile_cont(api, 0.5), city) AS ord
         FROM line JOIN api USING ({DISTRICT}) GROUP BY city""", API),
     "density_of_replicates": _sql(f"""
-        SELECT {STRATA}, round(x, 6) AS x, round(sum(exp(-0.5 * ((x - v) / bw) ** 2)) / (any_value(n) * any_value(bw) * sqrt(2 * pi())), 6) AS density
-        FROM (SELECT *, i / 511 AS x FROM kept JOIN width USING ({STRATA}), {_grid_points(512)}) GROUP BY {STRATA}, x""",
+        SELECT {STRATA}, round(x, 6) AS x, round(sum(w * exp(-0.5 * ((x - v) / bw) ** 2)) / (any_value(n) * any_value(bw) * sqrt(2 * pi())), 6) AS density
+        FROM (SELECT *, i / 511 AS x FROM binned JOIN width USING ({STRATA}), {_grid_points(512)}) GROUP BY {STRATA}, x""",
         RATES, DISTRICT_BOOT,
-        f"kept AS (SELECT {STRATA}, round(g, 3) AS v FROM replicates WHERE round(g, 3) BETWEEN 0 AND 1)",
+        f"kept AS (SELECT {STRATA}, g AS v FROM replicates WHERE g BETWEEN 0 AND 1)",
         f"""width AS (SELECT {STRATA}, count(*) AS n, 0.9 * least(stddev_samp(v),
-              (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.34) * count(*) ** (-0.2) AS bw FROM kept GROUP BY {STRATA})"""),
+              (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.34) * count(*) ** (-0.2) AS bw FROM kept GROUP BY {STRATA})""",
+        f"""binned AS (SELECT {STRATA}, b / 2047 AS v, sum(w) AS w FROM (
+              SELECT {STRATA}, floor(v * 2047) AS b, 1 - (v * 2047 - floor(v * 2047)) AS w FROM kept
+              UNION ALL SELECT {STRATA}, floor(v * 2047) + 1, v * 2047 - floor(v * 2047) FROM kept) GROUP BY ALL)"""),
     "local_fit_of_profile": _sql(
         " UNION ALL ".join(_loess(m) for m in ("male_prop", "adult_prop", "vivax_prop")), PROFILE),
     "line_fit_of_gini": _sql(f"""

@@ -21,7 +21,7 @@ from caseweave.workload import inputs
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 DISTRICT = heterogeneity.DISTRICT
-CHECK_REPLICATES = 200
+CHECK_REPLICATES = 10_000
 CHECK_SEED = 13
 
 
@@ -515,7 +515,7 @@ def category_order_by_median(spark, sf_dir):
 
 @query
 def density_of_replicates(spark, sf_dir):
-    return smoothing.density(_district_replicates(spark, sf_dir, True), heterogeneity.STRATA, "g", digits=3)
+    return smoothing.density(_district_replicates(spark, sf_dir, True), heterogeneity.STRATA, "g")
 
 
 @query

@@ -188,13 +188,18 @@ def test_density_integrates_to_about_one(spark):
     rng = np.random.default_rng(9)
     values = [float(v) for v in rng.normal(0.5, 0.05, 500)] + [1.7, -0.2]
     df = spark.createDataFrame([("s", v) for v in values], "s string, v double")
-    out = smoothing.density(df, ["s"], "v", digits=6).orderBy("x").collect()
+    out = smoothing.density(df, ["s"], "v").orderBy("x").collect()
     assert len(out) == 512
-    kept = np.round([v for v in values if 0 <= v <= 1], 6)
+    kept = np.array([v for v in values if 0 <= v <= 1])
     bw = 0.9 * min(np.std(kept, ddof=1), (np.quantile(kept, 0.75) - np.quantile(kept, 0.25)) / 1.34) * len(kept) ** -0.2
-    x = out[200].x
-    expected = np.mean(np.exp(-0.5 * ((x - kept) / bw) ** 2)) / (bw * np.sqrt(2 * np.pi))
-    assert out[200].density == pytest.approx(expected, rel=1e-9)
+    below = np.floor(kept * 2047)
+    share = kept * 2047 - below
+    for row in out[150:350:20]:
+        def kernel(v):
+            return np.exp(-0.5 * ((row.x - v) / bw) ** 2) / (bw * np.sqrt(2 * np.pi))
+        binned = np.mean((1 - share) * kernel(below / 2047) + share * kernel((below + 1) / 2047))
+        assert row.density == pytest.approx(binned, rel=1e-9)
+        assert row.density == pytest.approx(np.mean(kernel(kept)), rel=1e-3, abs=1e-3)
     assert sum(r.density for r in out) / 511 == pytest.approx(1, abs=0.01)
 
 
@@ -241,3 +246,13 @@ def test_blocks_of_unknown_values_equal_one_window(spark):
     )
     assert len(one) == len(rows) and one == blocked
     assert one["a", 8] == (None, sum(v for s, _, v in rows if s == "a" and v is not None))
+
+
+def test_density_width_comes_from_values_as_they_are(spark):
+    values = [0.5 + 1e-7 * k for k in range(20)]
+    df = spark.createDataFrame([("s", v) for v in values], "s string, v double")
+    peak = max(r.density for r in smoothing.density(df, ["s"], "v", limits=(0.499999, 0.500003)).collect())
+    bw = 0.9 * min(np.std(values, ddof=1), (np.quantile(values, 0.75) - np.quantile(values, 0.25)) / 1.34) * 20**-0.2
+    grid = np.linspace(0.499999, 0.500003, 512)
+    exact = np.exp(-0.5 * ((grid[:, None] - values) / bw) ** 2).mean(axis=1) / (bw * np.sqrt(2 * np.pi))
+    assert peak == pytest.approx(exact.max(), rel=1e-2)
