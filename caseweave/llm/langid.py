@@ -18,6 +18,7 @@ BUCKETS = 1 << 15
 ROWS_PER_LANGUAGE = 400
 LANDMARKS_PER_LANGUAGE = 40
 RIDGE = 1e-3
+PART_GROUPS = 64
 UNKNOWN = "und"
 _BATCH = 128
 
@@ -122,8 +123,12 @@ def train(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> Model | None:
     driver gets ``rows`` times 4 kB for each language. Null for a table without labelled, lettered texts.
     """
     usable = docs.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    order = W.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
-    chosen = usable.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= rows)
+    order = [F.xxhash64(F.col("doc_id").cast("string")), F.col("doc_id")]
+    # The smallest of each group of input parts first, so that a hot language is no single task.
+    chosen = usable.select("doc_id", "lang", (F.spark_partition_id() % PART_GROUPS).alias("parts"))
+    chosen = chosen.withColumn("place", F.row_number().over(W.partitionBy("lang", "parts").orderBy(*order)))
+    chosen = chosen.filter(F.col("place") <= rows)
+    chosen = chosen.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy(*order))).filter(F.col("place") <= rows)
     texts = usable.select("doc_id", "text", "lang").join(F.broadcast(chosen.select("doc_id", "place").distinct()), "doc_id")
 
     def bits(batches):
