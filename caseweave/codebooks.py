@@ -72,9 +72,10 @@ OCCUPATION_CODES = {
     "Wiraswasta": "Other",
 }
 
-# Level orders. Health-unit types are scored alphabetically when districts are reordered.
+# Level orders. Health-unit types are scored alphabetically when districts are reordered.
 UNIT_TYPES = ["Clinic", "Health centre", "Hospital", "Other"]
 UNIT_TYPES_DISPLAY = ["Hospital", "Health centre", "Clinic", "Other"]
+SPECIES_LEVELS = [PF, PV, MIXED, OTHER]
 SEX_SPECIES = {
     (MALE, PV): "P. vivax in males",
     (FEMALE, PV): "P. vivax in females",

@@ -11,7 +11,7 @@ from caseweave import codebooks as cb
 from caseweave.functions import dates, recode
 from caseweave.operators.checks import rejects
 from caseweave.operators.running import lookup
-from caseweave.session import pin
+from caseweave.sources.sizing import broadcast_if_few
 from caseweave.sources.tables import with_labels
 
 LINE_LIST_COLUMNS = [
@@ -19,9 +19,6 @@ LINE_LIST_COLUMNS = [
     "health_unit", "hu_type", "severe", "adm_stat", "lab", "death", "occupation",
 ]
 
-# Rows of a counted dimension up to which it is broadcast.
-BROADCAST_ROWS = 100_000
-
 
 def recoded(
     raw: DataFrame,
@@ -91,14 +88,11 @@ def rejected_rows(raw: DataFrame, provinces: Sequence[str] = cb.PROVINCES, years
 def attach_population(line: DataFrame, population: DataFrame) -> DataFrame:
     """Cleaned line list with the population ``n`` of its (year, province, city), NULL if unknown.
 
-    The population table is run once and counted: up to ``BROADCAST_ROWS`` rows go to every task, so the
+    The population table is run once and counted: a small one goes to every task, so the
     line list is not shuffled on its few district keys. A larger one is joined by a shuffle, in which
     adaptive execution splits a district that holds much of the rows.
     """
-    people = pin(population)
-    if people.count() <= BROADCAST_ROWS:
-        people = F.broadcast(people)
-    joined = lookup(line, people, ["year_dx", "province", "city"])
+    joined = lookup(line, broadcast_if_few(population), ["year_dx", "province", "city"])
     return joined.select("id", "province", "city", "n", *LINE_LIST_COLUMNS[3:])
 
 

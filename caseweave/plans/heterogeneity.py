@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from caseweave import codebooks as cb
 from caseweave.functions.missing import rate
-from caseweave.functions.recode import bin_by
+from caseweave.functions.recode import bin_by, level_of
 from caseweave.operators import concentration, regions, resample, units
 from caseweave.operators.allocate import allocate_mixed
 from caseweave.operators.counting import count_by
 from caseweave.operators.running import lookup
 from caseweave.plans.incidence import PARTS
 from caseweave.session import pin
+from caseweave.sources.sizing import broadcast_if_few
 
 STRATA = ["year_dx", "province", "sp"]
 DISTRICT = ["year_dx", "province", "city"]
@@ -38,19 +39,22 @@ def unit_counts(line: DataFrame) -> DataFrame:
 
 
 def unit_estimate(counts: DataFrame, official: DataFrame) -> DataFrame:
-    """Units per (province, city): the largest of the counts observed in each year and the official one (``n_hu_web``)."""
+    """Units per (province, city): the largest of the counts observed in each year and the official one (``n_hu_web``).
+
+    Run once and broadcast where its rows are few, as the two keys would deal unit rows unevenly.
+    """
     place = ["province", "city"]
     observed = units.distinct_units_of(
         counts, place, "health_unit", "year_dx", {2020: "n_hu_obs20", 2019: "n_hu_obs19"}
     )
-    return units.estimate_units(observed, official, place, ["n_hu_obs20", "n_hu_web", "n_hu_obs19"])
+    return broadcast_if_few(units.estimate_units(observed, official, place, ["n_hu_obs20", "n_hu_web", "n_hu_obs19"]))
 
 
 def unit_rates(counts: DataFrame, population: DataFrame, estimate: DataFrame) -> DataFrame:
     """Cases and rate per (year, province, city, unit, species) with the population shared equally among units."""
     keys = [*DISTRICT, "health_unit"]
     spread = allocate_mixed(counts, keys, "sp", PARTS, cb.MIXED, missing="zero", value="case_hu", count="n_case")
-    joined = lookup(spread, population, DISTRICT).withColumnRenamed("n", "pop_city")
+    joined = lookup(spread, broadcast_if_few(population), DISTRICT).withColumnRenamed("n", "pop_city")
     joined = units.split_population(
         joined, estimate.select("province", "city", "n_hu"), ["province", "city"], "pop_city", "n_hu", "pop_hu"
     )
@@ -100,6 +104,7 @@ def gini_per_district(
 
     ``origin=False`` leaves out the piece before the first unit, as the published figures do.
     """
+    population = broadcast_if_few(population)
     totals = counts.groupBy(*DISTRICT, "health_unit").agg(F.sum("n_case").cast("double").alias("case"))
     joined = lookup(totals, population, DISTRICT).withColumnRenamed("n", "pop_city")
     shared = units.split_population(
@@ -119,17 +124,22 @@ def pareto_units(line: DataFrame, species: str, strata: Sequence[str] = ("year_d
     return concentration.pareto(rows, "health_unit", strata)
 
 
-def region_rate_class(rates: DataFrame, map_regions: DataFrame, vertices: DataFrame, year: int) -> DataFrame:
-    """Outline vertices with the rate class of their region in one year."""
+def region_rate_class(
+    rates: DataFrame, map_regions: DataFrame, vertices: DataFrame, year: int, highest_first: bool = False
+) -> DataFrame:
+    """Outline vertices with the rate class of their region in one year and the position of the class (``api_ord``)."""
+    levels = cb.MAP_RATE_CLASSES[::-1] if highest_first else cb.MAP_RATE_CLASSES
     values = rates.filter(F.col("year_dx") == year).select(F.col("city").alias("NAME_2"), "api")
     attributes = regions.attach_to_regions(values, map_regions, "NAME_2")
     drawn = regions.attach_to_outlines(vertices, attributes, "id")
-    return regions.with_class(drawn, bin_by("api", cb.MAP_RATE_BREAKS, cb.MAP_RATE_CLASSES), "api_cat")
+    drawn = regions.with_class(drawn, bin_by("api", cb.MAP_RATE_BREAKS, cb.MAP_RATE_CLASSES), "api_cat")
+    return drawn.withColumn("api_ord", level_of("api_cat", levels))
 
 
 def region_gini_class(index: DataFrame, map_regions: DataFrame, vertices: DataFrame, year: int) -> DataFrame:
-    """Outline vertices with the Gini class of their region in one year."""
+    """Outline vertices with the Gini class of their region in one year and its position, highest first (``gini_ord``)."""
     values = index.filter(F.col("year_dx") == year).select(F.col("city").alias("NAME_2"), "g")
     attributes = regions.attach_to_regions(values, map_regions, "NAME_2")
     drawn = regions.attach_to_outlines(vertices, attributes, "id")
-    return regions.with_class(drawn, bin_by("g", cb.GINI_BREAKS, cb.GINI_CLASSES), "gini_cat")
+    drawn = regions.with_class(drawn, bin_by("g", cb.GINI_BREAKS, cb.GINI_CLASSES), "gini_cat")
+    return drawn.withColumn("gini_ord", level_of("gini_cat", cb.GINI_CLASSES[::-1]))

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseweave import codebooks as cb
-from caseweave.functions.dates import month_start
+from caseweave.functions.dates import month_axis, month_label, month_start
 from caseweave.functions.missing import rate, strict_sum
-from caseweave.functions.recode import bin_by, pair_label, recode, recode_or, title_case
+from caseweave.functions.recode import bin_by, level_of, pair_label, recode, recode_or, title_case
 from caseweave.operators.allocate import allocate_mixed, category_counts, split_mixed, to_long
 from caseweave.operators.counting import count_by, shares_by
 from caseweave.operators.running import lookup
@@ -28,6 +28,22 @@ def weekly_vivax_share(line: DataFrame) -> DataFrame:
     return split.select(*keys, F.try_divide("pv", everything).alias("prop_pv"))
 
 
+def with_month_ticks(weekly: DataFrame, year: int = 2020) -> DataFrame:
+    """Weekly rows with the month that begins in their week of a 52-week axis and its exact position, NULL elsewhere."""
+    ticks = weekly.sparkSession.range(1).select(F.inline(month_axis(year))).select(
+        F.floor("week_position").cast("int").alias("week_dx"), month_label("month").alias("month_label"), "week_position"
+    )
+    return weekly.join(F.broadcast(ticks), "week_dx", "left")
+
+
+def species_levels(line: DataFrame) -> DataFrame:
+    """Cases by species and sex with the positions of the species and of the pair in their display orders."""
+    named = count_by(line, ["sp", "sex"]).withColumn("cat", pair_label("sex", "sp", cb.SEX_SPECIES))
+    return named.withColumns({
+        "sp_ord": level_of("sp", cb.SPECIES_LEVELS), "cat_ord": level_of("cat", list(cb.SEX_SPECIES.values())),
+    })
+
+
 def two_species_series(line: DataFrame) -> DataFrame:
     """Monthly counts of the two species by (province, sex), mixed cases split strictly, rows with gaps dropped."""
     keys = ["province", "year_dx", "month_dx", "sex"]

@@ -4,10 +4,17 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
 def local_session(app: str = "caseweave", cpus: str | int = "*", partitions: int = 8) -> SparkSession:
     """Local session for tests and benchmarks; a cluster brings its own."""
     spark = (
@@ -25,7 +32,7 @@ def local_session(app: str = "caseweave", cpus: str | int = "*", partitions: int
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``; a session without one is refused."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = _scratch.get() or spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     folder = spark.sparkContext.getCheckpointDir()
@@ -34,6 +41,27 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Keep what operators write inside the block in a new folder of its own, and remove that folder at its end.
+
+    Results must be written or collected inside the block.
+    """
+    context, before = spark.sparkContext, spark.sparkContext.getCheckpointDir()
+    folder = new_table_path(spark, "scratch")
+    token = _scratch.set(folder)
+    context.setCheckpointDir(folder)
+    try:
+        yield folder
+    finally:
+        _scratch.reset(token)
+        # The folder of a context already has a name of its own, and a new one is made below it.
+        context.setCheckpointDir(before or shared_folder(spark))
+        system, path = fs.FileSystem.from_uri(folder)
+        if system.get_file_info(path).type == fs.FileType.Directory:
+            system.delete_dir(path)
+
+
 def pin(df: DataFrame) -> DataFrame:
     """Run ``df`` once and keep the rows in the shared folder, so every later use sees the same ones."""
     spark = df.sparkSession

@@ -346,9 +346,11 @@ vertex AS (
          s_nationkey::VARCHAR || '.1' AS "group", s_nationkey::VARCHAR AS id FROM supplier)"""
 
 
-def _region(values: str, column: str, breaks, labels, name: str) -> str:
+def _region(values: str, column: str, breaks, labels, name: str, highest_first: bool = True) -> str:
+    places = range(len(labels), 0, -1) if highest_first else range(1, len(labels) + 1)
     return f"""
-    SELECT id, long, lat, "group", NAME_2, round({column}, 6) AS {column}, NAME_1, {_bands(column, breaks, labels)} AS {name}
+    SELECT id, long, lat, "group", NAME_2, round({column}, 6) AS {column}, NAME_1, {_bands(column, breaks, labels)} AS {name},
+           {_bands(column, breaks, places)} AS {name.removesuffix("_cat")}_ord
     FROM vertex FULL JOIN (SELECT * FROM ({values}) FULL JOIN map_region USING (NAME_2)) USING (id)"""
 
 
@@ -413,6 +415,9 @@ ORACLES: dict[str, str] = {
     "cleaned_line_list": _sql(f"""
         SELECT id, province, city, n, date_dx, week_dx, month_dx, year_dx, sp, age, age_cat, sex, health_unit, hu_type,
                severe, adm_stat, lab, death, occupation FROM line LEFT JOIN population USING ({DISTRICT})"""),
+    "labelled_columns": _sql(" UNION ALL ".join(
+        f"SELECT {_lit(column)} AS \"column\", {_lit(label)} AS label, count({column}) AS known FROM line LEFT JOIN population USING ({DISTRICT})"
+        for column, label in cb.LINE_LIST_LABELS.items())),
     "rejects_by_reason": _sql("""
         SELECT reason, year_dx, count(*) AS rows FROM (
           SELECT year_dx, CASE WHEN province NOT IN ('Papua', 'Papua Barat') THEN 'other province'
@@ -466,6 +471,20 @@ ORACLES: dict[str, str] = {
         SELECT year_dx, province, week_dx,
                round((pv + coalesce(mixed, 0) / 2) / (pf + pv + coalesce(mixed, 0) + coalesce(other, 0)), 6) AS prop_pv
         FROM wide""", f"wide AS ({_wide('year_dx, province, week_dx')})"),
+    "weekly_vivax_share_axis": _sql("""
+        SELECT year_dx, province, week_dx,
+               round((pv + coalesce(mixed, 0) / 2) / (pf + pv + coalesce(mixed, 0) + coalesce(other, 0)), 6) AS prop_pv,
+               month_label, round(place, 6) AS week_position
+        FROM wide LEFT JOIN (
+          SELECT strftime(d, '%b') AS month_label, 1 + 52 * dayofyear(d)::DOUBLE / 365 AS place
+          FROM (SELECT unnest(generate_series(DATE '2020-01-01', DATE '2020-12-01', INTERVAL 1 MONTH)) AS d)
+        ) ON week_dx = floor(place)""", f"wide AS ({_wide('year_dx, province, week_dx')})"),
+    "species_levels": _sql(f"""
+        SELECT sp, sex, count(*) AS "case", {SEX_SPECIES} AS cat,
+               CASE sp WHEN {PF} THEN 1 WHEN {PV} THEN 2 WHEN {MIXED} THEN 3 WHEN {OTHER} THEN 4 END AS sp_ord,
+               CASE WHEN sp = {PV} AND sex = 'Male' THEN 1 WHEN sp = {PV} AND sex = 'Female' THEN 2
+                    WHEN sp = {PF} AND sex = 'Male' THEN 3 WHEN sp = {PF} AND sex = 'Female' THEN 4 END AS cat_ord
+        FROM line GROUP BY sp, sex"""),
     "incidence_month_sex": _sql(f"""
         SELECT province, year_dx, make_date(year_dx, month_dx, 1) AS date, sex, sp, n_case, {SEX_SPECIES} AS cat,
                round(n_case / pop * 1000, 6) AS monthly_perk
@@ -583,7 +602,7 @@ ORACLES: dict[str, str] = {
               FROM (SELECT year_dx, g, log10(api) AS lx FROM api JOIN gini USING ({DISTRICT})
                     WHERE api BETWEEN 0.1 AND 1000 AND g BETWEEN 0 AND 1) GROUP BY year_dx)"""),
     "region_rate_class": _sql(
-        _region("SELECT city AS NAME_2, api FROM api WHERE year_dx = 2020", "api", cb.MAP_RATE_BREAKS, cb.MAP_RATE_CLASSES, "api_cat"),
+        _region("SELECT city AS NAME_2, api FROM api WHERE year_dx = 2020", "api", cb.MAP_RATE_BREAKS, cb.MAP_RATE_CLASSES, "api_cat", False),
         API, REGIONS),
     "region_rate_class_2019": _sql(
         _region("SELECT city AS NAME_2, api FROM api WHERE year_dx = 2019", "api", cb.MAP_RATE_BREAKS, cb.MAP_RATE_CLASSES, "api_cat"),

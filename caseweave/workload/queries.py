@@ -35,7 +35,7 @@ def plain(df: DataFrame, digits: int = 6) -> DataFrame:
         elif isinstance(field.dataType, (T.DoubleType, T.FloatType)):
             # Adding 0 turns a rounded -0.0 into 0.0.
             column = F.round(column.cast("double"), digits) + F.lit(0.0)
-        columns.append(column.alias(field.name))
+        columns.append(column.alias(field.name, metadata=field.metadata))
     return df.select(*columns)
 
 
@@ -44,6 +44,14 @@ def query(function: Query) -> Query:
     return function
 
 
+def sorted_query(*order: str) -> Callable[[Query], Query]:
+    """Register a result table that comes sorted; the sort is by ranges, so no task holds the table."""
+    def register(function: Query) -> Query:
+        REGISTRY[function.__name__] = lambda spark, sf_dir: plain(function(spark, sf_dir).orderBy(*order))
+        return function
+    return register
+
+
 # --- Cleaning -----------------------------------------------------------------
 
 
@@ -53,6 +61,15 @@ def cleaned_line_list(spark, sf_dir):
     return cleaning.labelled(cleaning.attach_population(line, people))
 
 
+@query
+def labelled_columns(spark, sf_dir):
+    """Every column with its label, as the schema of the cleaned table carries it, and in how many rows it is known."""
+    line = plain(cleaned_line_list(spark, sf_dir))
+    labels = tables.labels_of(line)
+    known = line.agg(*[F.count(column).alias(column) for column in labels])
+    return known.unpivot([], list(labels), "column", "known").withColumn("label", recode.recode("column", labels))
+
+
 @query
 def rejects_by_reason(spark, sf_dir):
     return counting.count_by(cleaning.rejected_rows(inputs.raw_line_list(spark, sf_dir)), ["reason", "year_dx"], "rows")
@@ -146,7 +163,7 @@ def month_parts_by_file(spark, sf_dir):
     )
 
 
-@query
+@sorted_query("year_dx", "province", "city")
 def population_from_sheets(spark, sf_dir):
     """District population from two wide text tables with heading and total rows."""
     papua, west_papua = inputs.population_sheets(spark, sf_dir)
@@ -215,7 +232,7 @@ def union_by_name(spark, sf_dir):
 # --- Incidence ------------------------------------------------------------------
 
 
-@query
+@sorted_query("province", "date")
 def api_monthly(spark, sf_dir):
     merged = _harmonised(spark, sf_dir)
     return series.monthly_rate(merged, harmonise.province_population(spark), exclude_years=[2010])
@@ -226,6 +243,16 @@ def weekly_vivax_share(spark, sf_dir):
     return incidence.weekly_vivax_share(inputs.line_list(spark, sf_dir))
 
 
+@sorted_query("year_dx", "province", "week_dx")
+def weekly_vivax_share_axis(spark, sf_dir):
+    return incidence.with_month_ticks(incidence.weekly_vivax_share(inputs.line_list(spark, sf_dir)))
+
+
+@query
+def species_levels(spark, sf_dir):
+    return incidence.species_levels(inputs.line_list(spark, sf_dir))
+
+
 @query
 def incidence_month_sex(spark, sf_dir):
     counts = incidence.two_species_series(inputs.line_list(spark, sf_dir))
@@ -359,12 +386,12 @@ def rates_district(spark, sf_dir):
     return _district_rates(spark, sf_dir)
 
 
-@query
+@sorted_query("year_dx", "province", "sp", "p_i", "c_i")
 def lorenz_district(spark, sf_dir):
     return heterogeneity.lorenz_districts(_district_rates(spark, sf_dir))
 
 
-@query
+@sorted_query("year_dx", "province", "sp", "p_i", "c_i")
 def lorenz_unit(spark, sf_dir):
     return heterogeneity.lorenz_units(heterogeneity.padded_unit_rates(_unit_rates(spark, sf_dir)))
 
@@ -403,23 +430,23 @@ def gini_per_district_no_origin(spark, sf_dir):
     return _per_district(spark, sf_dir, origin=False)
 
 
-@query
+@sorted_query("year_dx", "cumsum")
 def pareto_units_falciparum(spark, sf_dir):
     return heterogeneity.pareto_units(inputs.line_list(spark, sf_dir), cb.PF)
 
 
-@query
+@sorted_query("year_dx", "cumsum")
 def pareto_units_vivax(spark, sf_dir):
     return heterogeneity.pareto_units(inputs.line_list(spark, sf_dir), cb.PV)
 
 
-@query
+@sorted_query("cumsum")
 def pareto_units_both_years(spark, sf_dir):
     """One table over both years, as the published filter has it for falciparum."""
     return heterogeneity.pareto_units(inputs.line_list(spark, sf_dir), cb.PF, strata=[])
 
 
-@query
+@sorted_query("cumsum")
 def pareto_units_vivax_published(spark, sf_dir):
     """The published 2019 filter: the year binds to pure vivax only, so mixed cases come from both years."""
     line = inputs.line_list(spark, sf_dir)
@@ -427,7 +454,7 @@ def pareto_units_vivax_published(spark, sf_dir):
     return heterogeneity.pareto_units(published, cb.PV, strata=[])
 
 
-@query
+@sorted_query("cumsum")
 def pareto_units_vivax_published_2020(spark, sf_dir):
     """The published 2020 filter, bound in the same way."""
     line = inputs.line_list(spark, sf_dir)
@@ -533,7 +560,7 @@ def line_fit_of_gini(spark, sf_dir):
 def _rate_map(spark, sf_dir, year):
     rates = incidence.district_api(inputs.line_list(spark, sf_dir), inputs.population(spark, sf_dir))
     return heterogeneity.region_rate_class(
-        rates, inputs.map_regions(spark, sf_dir), inputs.vertices(spark, sf_dir), year
+        rates, inputs.map_regions(spark, sf_dir), inputs.vertices(spark, sf_dir), year, highest_first=year == 2019
     )
 
 

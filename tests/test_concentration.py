@@ -256,3 +256,11 @@ def test_density_width_comes_from_values_as_they_are(spark):
     grid = np.linspace(0.499999, 0.500003, 512)
     exact = np.exp(-0.5 * ((grid[:, None] - values) / bw) ** 2).mean(axis=1) / (bw * np.sqrt(2 * np.pi))
     assert peak == pytest.approx(exact.max(), rel=1e-2)
+
+
+def test_t_quantile_where_the_expansion_takes_over(spark):
+    rows = spark.range(190, 230).select("id", smoothing.t_975(F.col("id").cast("double")).alias("t")).collect()
+    # The expansion is within 1e-8 of the exact quantile from 200 degrees on.
+    assert all(abs(r.t - smoothing.t_quantile(r.id)) < 1e-8 for r in rows)
+    # Published table values.
+    assert [round(smoothing.t_quantile(d), 3) for d in (1, 5, 10, 30, 120)] == [12.706, 2.571, 2.228, 2.042, 1.980]

@@ -21,6 +21,15 @@ def test_contract(spark):
     assert contract.entry(spark).count() > 0
 
 
+@pytest.mark.parametrize("name, keys", [
+    ("pareto_units_falciparum", ("year_dx", "cumsum")), ("api_monthly", ("province", "date")),
+    ("lorenz_district", ("year_dx", "province", "sp", "p_i")),
+])
+def test_result_tables_come_sorted(spark, name, keys):
+    rows = [tuple(r[k] for k in keys) for r in registered.queries()[name](spark, FOLDER).collect()]
+    assert len(rows) > 1 and rows == sorted(rows)
+
+
 @pytest.mark.parametrize("name", sorted(registered.queries()))
 def test_query_equals_sql(spark, connection, name):
     df = contract.queries()[name](spark, FOLDER)

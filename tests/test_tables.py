@@ -1,13 +1,14 @@
 """Sources, sinks, cleaning, series, regions and checks."""
 
 import datetime as dt
+import os
 
 from pyspark.sql import functions as F
 
 from caseweave import codebooks as cb
 from caseweave.operators import checks, regions, series
 from caseweave.plans import cleaning, harmonise, incidence
-from caseweave.session import new_table_path, pin
+from caseweave.session import new_table_path, pin, scratch
 from caseweave.sources import schemas, tables
 
 
@@ -136,3 +137,12 @@ def test_known_district_with_a_blank_year_keeps_the_other(spark):
     papua = spark.createDataFrame([("Biak", "1", "2", " "), ("Total", "1", "2", "3")], schemas.POPULATION_PAPUA)
     body = tables.rows_of_known(papua, "city", known, ["year_19", "year_20"])
     assert [(r.city, r.year_19, r.year_20) for r in body.collect()] == [("Biak", 2.0, None)]
+
+
+def test_scratch_is_removed(spark, tmp_path):
+    with scratch(spark) as folder:
+        pinned = pin(spark.range(20))
+        tables.write_table(spark.range(5), new_table_path(spark, "t"))
+        assert pinned.count() == 20 and len(os.listdir(folder)) == 2
+    assert not os.path.exists(folder)
+    assert pin(spark.range(3)).count() == 3
