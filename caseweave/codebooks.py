@@ -106,6 +106,11 @@ MAP_RATE_CLASSES = ["[0-10)", "[10-100)", "[100-1000)", "[1000-∞)"]
 GINI_BREAKS = [0.2, 0.4, 0.6, 0.8]
 GINI_CLASSES = ["[0-20)", "[20-40)", "[40-60)", "[60-80)", "[80-100]"]
 
+# Rows that published tables have (months × sexes × species; districts; years × provinces).
+DISTRICT_MONTH_ROWS = 48
+OFFICIAL_DISTRICTS = {"Papua": 29, "West Papua": 13}
+YEAR_PROVINCE_ROWS = {"Papua": 11, "West Papua": 11}
+
 # Study area and years.
 PROVINCES = ["Papua", "Papua Barat"]
 PROVINCE_RENAMES = {"Papua Barat": "West Papua"}

@@ -48,3 +48,12 @@ def missing_population(df: DataFrame, keys: Sequence[str], population: str) -> D
     return (
         df.filter(F.col(population).isNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
     )
+
+
+def row_counts(df: DataFrame, expected: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Row count of every key combination of ``expected`` (keys, expected), 0 where there is no row, and whether it is right."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
+    rows = F.coalesce("rows", F.lit(0).cast("long"))
+    return expected.join(counts, list(keys), "left").select(
+        *keys, rows.alias("rows"), "expected", (rows == F.col("expected")).alias("complete")
+    )

@@ -72,7 +72,7 @@ def gini(
     Rows of equal rate lie on one straight piece of the curve, so they are added up
     before anything is sorted. What is left is cut into blocks by a fixed rule on the
     rate; each block yields its sums and its own area, and the blocks of a stratum are
-    put together by their totals. No task holds a stratum.
+    put together by their totals. A task holds the distinct rates of one block.
 
     Without ``origin`` the piece from (0, 0) to the first row is left out; ``tie``
     decides which row is first, and a stratum of one row gets NULL. So does a stratum

@@ -78,6 +78,16 @@ def population_by_year(papua: DataFrame, west_papua: DataFrame, known: DataFrame
     return long.select(F.when(F.col("_year") == "year_19", 2019).otherwise(2020).alias("year_dx"), "province", "city", "n")
 
 
+def official_units(parts: Mapping[str, DataFrame], known: DataFrame) -> DataFrame:
+    """(province, city, n_hu_web) from the unit tables of the provinces as they come, totals and notes left out."""
+    named = {
+        province: part.select(F.col("`Nama Kab/Kota`").alias("city"), F.col("`Jumlah Unit`").alias("n_hu_web"))
+        for province, part in parts.items()
+    }
+    body = rows_of_known(union_parts(named, "province"), "city", known, ["n_hu_web"])
+    return body.select("province", "city", "n_hu_web")
+
+
 def with_labels(df: DataFrame, labels: Mapping[str, str]) -> DataFrame:
     """Column labels stored as field metadata."""
     columns: list[Column] = []

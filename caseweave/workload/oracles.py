@@ -444,6 +444,8 @@ ORACLES: dict[str, str] = {
         'SELECT year_dx, province, sp, count(*) AS "case" FROM line WHERE year_dx = 2020 GROUP BY ALL'),
     "month_parts_by_file": _sql('SELECT month, prov AS province, city, "case" FROM month_tables'),
     "population_from_sheets": _sql("SELECT year_dx, province, city, n FROM population"),
+    "population_from_files": _sql("SELECT year_dx, province, city, n FROM population"),
+    "official_units_from_file": _sql("SELECT province, city, n_hu_web FROM official"),
     "strict_sum_by_year": _sql("""
         SELECT yr AS YEAR, raw_district AS ADMIN2, CASE WHEN bool_and(by_sex IS NOT NULL) THEN sum(by_sex) END AS strict_total,
                sum(by_sex) AS known_total FROM reported GROUP BY 1, 2"""),
@@ -635,5 +637,18 @@ ORACLES: dict[str, str] = {
 }
 
 
+def _row_count(part: str, table: str, key: str, rows: list[tuple]) -> str:
+    return f"""SELECT '{part}' AS part, key, coalesce(rows, 0) AS rows, expected, coalesce(rows, 0) = expected AS complete
+        FROM (VALUES {", ".join(f"({_lit(k)}, {n}::BIGINT)" for k, n in rows)}) e(key, expected)
+        LEFT JOIN (SELECT {key} AS key, count(*) AS rows FROM ({table}) GROUP BY 1) USING (key)"""
+
+
+ORACLES["row_count_check"] = " UNION ALL ".join([
+    _row_count("district months", ORACLES["incidence_focus_districts"], "city", [(d, 48) for d in cb.FOCUS_DISTRICTS]),
+    _row_count("official districts", _sql("SELECT province FROM official"), "province", [("Papua", 29), ("West Papua", 13)]),
+    _row_count("years", ORACLES["series_grid_fill"], "province", [("Papua", 11), ("West Papua", 11)]),
+])
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)

@@ -15,7 +15,7 @@ from caseweave.operators.running import lookup
 from caseweave.plans import cleaning, harmonise, heterogeneity, incidence, profile
 from caseweave.session import new_table_path
 from caseweave.sources import tables
-from caseweave.sources.schemas import MONTH_PART
+from caseweave.sources.schemas import MONTH_PART, POPULATION_PAPUA, POPULATION_WEST_PAPUA, UNIT_TABLE
 from caseweave.workload import inputs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -170,6 +170,34 @@ def population_from_sheets(spark, sf_dir):
     return tables.population_by_year(papua, west_papua, inputs.study_cities(spark, sf_dir))
 
 
+def _through_csv(spark, df, name, schema):
+    """Write a table as CSV files and read them back with a fixed schema."""
+    path = new_table_path(spark, name)
+    df.write.option("header", True).csv(path)
+    return tables.read_csv(spark, path, schema)
+
+
+@sorted_query("year_dx", "province", "city")
+def population_from_files(spark, sf_dir):
+    """The same from CSV files."""
+    papua, west_papua = inputs.population_sheets(spark, sf_dir)
+    papua = _through_csv(spark, papua, "population_a", POPULATION_PAPUA)
+    west_papua = _through_csv(spark, west_papua, "population_b", POPULATION_WEST_PAPUA)
+    return tables.population_by_year(papua, west_papua, inputs.study_cities(spark, sf_dir))
+
+
+@query
+def official_units_from_file(spark, sf_dir):
+    """Official unit counts from one CSV table for each province, which end in a total."""
+    official, parts = inputs.official_units(spark, sf_dir), {}
+    for i, province in enumerate(cb.OFFICIAL_DISTRICTS):
+        body = official.filter(F.col("province") == province)
+        total = body.agg(F.lit("Jumlah").alias("city"), F.sum("n_hu_web").alias("n_hu_web"))
+        sheet = body.select("city", "n_hu_web").unionByName(total)
+        parts[province] = _through_csv(spark, sheet.toDF("Nama Kab/Kota", "Jumlah Unit"), f"units_{i}", UNIT_TABLE)
+    return tables.official_units(parts, inputs.study_cities(spark, sf_dir))
+
+
 # --- Missing values, reshaping, allocation --------------------------------------
 
 
@@ -610,6 +638,22 @@ def grid_check(spark, sf_dir):
     return checks.missing_cells(line, districts, levels)
 
 
+@query
+def row_count_check(spark, sf_dir):
+    """Tables with a fixed number of rows: months of the focus districts, official districts, years by province."""
+    def check(df, key, expected):
+        fixed = tables.fixed_table(spark, list(expected.items()), f"{key} STRING, expected BIGINT")
+        return checks.row_counts(df, fixed, [key]).withColumnRenamed(key, "key")
+
+    return tables.union_parts({
+        "district months": check(
+            incidence_focus_districts(spark, sf_dir), "city", dict.fromkeys(cb.FOCUS_DISTRICTS, cb.DISTRICT_MONTH_ROWS)
+        ),
+        "official districts": check(inputs.official_units(spark, sf_dir), "province", cb.OFFICIAL_DISTRICTS),
+        "years": check(series_grid_fill(spark, sf_dir), "province", cb.YEAR_PROVINCE_ROWS),
+    }, "part")
+
+
 @query
 def group_constant_check(spark, sf_dir):
     """Districts and years whose population differs between rows; one row in some districts is made to."""
