@@ -22,9 +22,9 @@ BLOCK = PARAGRAPH | frozenset(
 ENDS_PARAGRAPH = BLOCK - frozenset("body caption dd dt html legend li option optgroup summary tbody td tfoot th thead tr".split())
 # A start tag closes these open elements, as far up as the boundary.
 IMPLIED = {
-    "li": ({"li"}, {"ul", "ol", "menu"}),
-    "dt": ({"dt", "dd"}, {"dl"}),
-    "dd": ({"dt", "dd"}, {"dl"}),
+    "li": ({"li"}, {"ul", "ol", "menu", "table", "td", "th", "caption"}),
+    "dt": ({"dt", "dd"}, {"dl", "table", "td", "th", "caption"}),
+    "dd": ({"dt", "dd"}, {"dl", "table", "td", "th", "caption"}),
     "option": ({"option"}, {"select", "datalist"}),
     "optgroup": ({"option", "optgroup"}, {"select"}),
     "tr": ({"tr", "td", "th", "caption", "colgroup"}, {"table"}),
@@ -35,6 +35,14 @@ IMPLIED = {
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
     "body": ({"head"}, set()),
 }
+_SECTIONS = frozenset({"thead", "tbody", "tfoot"})
+# A part of an open table goes back to the table, as far down as these.
+TABLE_PARTS = {
+    **dict.fromkeys(("caption", "colgroup", *_SECTIONS), frozenset()),
+    "col": frozenset({"colgroup"}), "tr": _SECTIONS, "td": _SECTIONS | {"tr"}, "th": _SECTIONS | {"tr"},
+}
+# What these hold besides their parts stands before the table.
+NO_CONTENT = frozenset({"table", "tr", "colgroup"}) | _SECTIONS
 _INVISIBLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 
@@ -47,7 +55,10 @@ class Node:
 
 
 class TreeBuilder(HTMLParser):
-    """Open elements as a stack; start tags close what they imply, unmatched end tags are passed over."""
+    """Open elements as a stack; start tags close what they imply, unmatched end tags are passed over.
+
+    Text and elements between the parts of a table stand before it, as in a browser.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -57,20 +68,55 @@ class TreeBuilder(HTMLParser):
     def _close(self, tags: set[str], boundary: set[str]) -> None:
         at = len(self.open) - 1
         last = None
-        while at > 0 and self.open[at].tag not in boundary:
+        while at > 0 and self.open[at].tag not in boundary and self.open[at].tag != "template":
             if self.open[at].tag in tags:
                 last = at
             at -= 1
         if last is not None:
             del self.open[last:]
 
+    def _table(self, stops: tuple[str, ...] = ()) -> int:
+        """Place of the innermost open table, 0 for none on this side of a template or of ``stops``."""
+        for at in range(len(self.open) - 1, 0, -1):
+            if self.open[at].tag == "table":
+                return at
+            if self.open[at].tag == "template" or self.open[at].tag in stops:
+                return 0
+        return 0
+
+    def _append(self, child: Node | str) -> None:
+        at = self._table() if self.open[-1].tag in NO_CONTENT else 0
+        if at:
+            # An open table is the last child of the element below it on the stack.
+            self.open[at - 1].children.insert(-1, child)
+        else:
+            self.open[-1].children.append(child)
+
+    def _table_part(self, tag: str, node: Node, at: int) -> None:
+        keep = at + 1
+        while keep < len(self.open) and self.open[keep].tag in TABLE_PARTS[tag]:
+            keep += 1
+        del self.open[keep:]
+        if tag in ("td", "th") and self.open[-1].tag != "tr":
+            row = Node("tr", {})
+            self.open[-1].children.append(row)
+            self.open.append(row)
+        self.open[-1].children.append(node)
+
     def handle_starttag(self, tag, attrs):
-        if tag in ENDS_PARAGRAPH and any(n.tag == "p" for n in self.open):
-            self._close({"p"}, {"table", "td", "th", "li", "button", "object", "caption"})
-        if tag in IMPLIED:
-            self._close(*IMPLIED[tag])
         node = Node(tag, dict(attrs))
-        self.open[-1].children.append(node)
+        if tag in TABLE_PARTS and (at := self._table()):
+            self._table_part(tag, node, at)
+        else:
+            if tag == "form" and self.open[-1].tag in NO_CONTENT and self._table():
+                return  # a form between the parts of a table holds nothing
+            if tag == "table" and (at := self._table(("td", "th", "caption"))):
+                del self.open[at:]
+            if tag in ENDS_PARAGRAPH and any(n.tag == "p" for n in self.open):
+                self._close({"p"}, {"table", "td", "th", "li", "button", "object", "caption"})
+            if tag in IMPLIED:
+                self._close(*IMPLIED[tag])
+            self._append(node)
         if tag not in VOID:
             self.open.append(node)
 
@@ -84,12 +130,17 @@ class TreeBuilder(HTMLParser):
             if self.open[at].tag == tag:
                 del self.open[at:]
                 return
-            # An inline end tag does not reach out of a cell or a table.
-            if self.open[at].tag in ("td", "th", "table") and tag not in BLOCK:
+            if tag == "template":
+                continue
+            # The end tag of a part does not reach out of its table, any other but the table's own not out of a cell.
+            if self.open[at].tag in ("table", "template") or (self.open[at].tag in ("td", "th", "caption") and tag not in TABLE_PARTS and tag != "table"):
                 return
 
     def handle_data(self, data):
-        self.open[-1].children.append(data)
+        if data.strip(" \t\n\r\f"):
+            self._append(data)
+        else:
+            self.open[-1].children.append(data)
 
 
 def visible(node: Node) -> bool:
@@ -161,50 +212,74 @@ class Page:
         self.gap = True
 
 
-def _cells(table: Node) -> tuple[list[Node], list[list[Node]]]:
-    """Captions and rows of cells; rows of nested tables belong to them."""
-    captions, rows, todo = [], [], [*reversed(table.children)]
+def _cells(table: Node) -> tuple[list[Node], list[tuple[int, list[Node]]]]:
+    """Captions, and rows of cells with the number of their section; rows of nested tables belong to them."""
+    captions, rows, section = [], [], 0
+    todo = [*reversed(table.children)]
     while todo:
         node = todo.pop()
-        if isinstance(node, str) or not visible(node):
+        if node is None:
+            section += 1
+        elif isinstance(node, str) or not visible(node):
             continue
-        if node.tag == "caption":
+        elif node.tag == "caption":
             captions.append(node)
         elif node.tag == "tr":
-            rows.append([c for c in node.children if isinstance(c, Node) and c.tag in ("td", "th") and visible(c)])
-        elif node.tag in ("td", "th"):
-            rows.append([node])
-        elif node.tag != "table":
+            rows.append((section, [c for c in node.children if isinstance(c, Node) and c.tag in ("td", "th") and visible(c)]))
+        elif node.tag in _SECTIONS:
+            section += 1
+            todo.append(None)
             todo.extend(reversed(node.children))
-    return captions, [r for r in rows if r]
-
-
-def _span(cell: Node) -> int:
-    value = cell.attrs.get("colspan") or ""
-    return min(max(int(value), 1), 1000) if value.isascii() and value.isdigit() and len(value) < 5 else 1
+    return captions, rows
+
+
+def _span(cell: Node, name: str = "colspan", most: int = 1000) -> int:
+    value = cell.attrs.get(name) or ""
+    return min(max(int(value), 1), most) if value.isascii() and value.isdigit() and len(value) < 6 else 1
+
+
+def _places(rows: list[tuple[int, list[Node]]]) -> list[list[int]]:
+    """Column of every cell: the first one that no cell of a row above reaches down to, in the same section."""
+    out, taken, last = [], {}, None
+    for section, cells in rows:
+        if section != last:
+            taken, last = {}, section
+        row, at = [], 0
+        below = {k: n - 1 for k, n in taken.items() if n > 1}
+        for cell in cells:
+            while at in taken:
+                at += 1
+            row.append(at)
+            down = 1 << 30 if (cell.attrs.get("rowspan") or "").strip("0") == "" and cell.attrs.get("rowspan") else _span(cell, "rowspan", 65534)
+            for k in range(at, at + _span(cell)):
+                if down > 1:
+                    below[k] = max(below.get(k, 0), down - 1)
+            at += _span(cell)
+        out.append(row)
+        taken = below
+    return out
 
 
-def _table_lines(rows: list[list[list[str]]], spans: list[list[int]]) -> list[str]:
+def _table_lines(rows: list[list[list[str]]], spans: list[list[int]], places: list[list[int]]) -> list[str]:
     """Cells as columns of equal width, two spaces between; a cell of several lines makes its row as high.
 
-    A cell over several columns widens none of them.
+    A cell over several columns widens none of them. A cell over several rows stands in its first.
     """
     widths: dict[int, int] = {}
-    for cells, span in zip(rows, spans):
-        at = 0
-        for lines, n in zip(cells, span):
+    for cells, span, place in zip(rows, spans, places):
+        for lines, n, at in zip(cells, span, place):
             if n == 1:
                 widths[at] = max([widths.get(at, 0), *map(width, lines)])
-            at += n
     out = []
-    for cells, span in zip(rows, spans):
-        for i in range(max([1, *map(len, cells)])):
+    for cells, span, place in zip(rows, spans, places):
+        for i in range(max([0, *map(len, cells)])):
             line, at, column = "", 0, 0
-            for lines, n in zip(cells, span):
+            for lines, n, start in zip(cells, span, place):
+                column += sum(widths.get(k, 0) + 2 for k in range(at, start))
                 line += " " * max(0, column - width(line))
                 line += lines[i] if i < len(lines) else ""
-                column = max(column + sum(widths.get(k, 0) + 2 for k in range(at, at + n)), width(line) + 2 if n > 1 else 0)
-                at += n
+                column = max(column + sum(widths.get(k, 0) + 2 for k in range(start, start + n)), width(line) + 2 if n > 1 else 0)
+                at = start + n
             out.append(line.rstrip())
     return out
 
@@ -306,18 +381,19 @@ def _render_table(table: Node, page: Page, depth: int = 0) -> None:
         for line in inner.lines:
             page.whole(line)
     texts, spans = [], []
-    for row in rows:
+    for _, row in rows:
         cells = []
         for cell in row:
             inner = Page()
             _render(_content(cell), inner)
-            cells.append(inner.lines)
+            # Blank lines stay between others only.
+            full = [i for i, line in enumerate(inner.lines) if line]
+            cells.append(inner.lines[full[0] : full[-1] + 1] if full else [])
         texts.append(cells)
         spans.append([_span(cell) for cell in row])
     # A table of one column is layout: its cells follow each other as blocks.
-    for line in _table_lines(texts, spans):
-        if line:
-            page.whole(line)
+    for line in _table_lines(texts, spans, _places(rows)):
+        page.whole(line)
 
 
 def _content(node: Node) -> Node:

@@ -356,3 +356,19 @@ def test_pages(spark):
     found = {r.page_id: (r.text, r.n_chars, r.n_lines) for r in html_text.page_texts(pages).collect()}
     assert found == {1: ("", 0, 0), None: ("x", 1, 1), 2: ("y", 1, 1), 3: ("z", 1, 1)}
     assert html_text.page_texts(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("html,text", [
+    ("<table><tr><form><td>x</td></form></tr></table>", "x"), ("<table>text<tr><td>x</table>", "text\n\nx"), ("<table><div>text</div><tr><td>x</table>", "text\n\nx"),
+    ("<table><tr><a>text</a><td>x</table>", "text\n\nx"), ("<table><tr><td>x</td>text</tr><b>b</b></table>y", "textb\n\nx\n\ny"), ("<table><tr><td>a<td>b</tr><table><tr><td>c</table>", "a  b\n\nc"),
+    ("<table><div>a<tr><td>x<td>y</div>z</table>", "a\n\nx  yz"), ("<table><td>a<td>b</table>", "a  b"), ("<form><table><tr><td>a</form><td>b</table></form>c", "a  b\n\nc"),
+    ("<table><tr><td><table>t<tr><td>x</table><td>y</table>", "t  y\n\nx"), ("<table><caption>c<p>p</caption>t<colgroup>u<col><tr><td>x</table>", "tu\n\nc\n\np\nx"),
+    ("<table><tr><td>x<template><tr><td>no</template><td>y</table>", "x  y"), ("<ul><li>a<table><tr><li>b</li><td>x</table></ul>", None),
+    ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a  b\n   c\nd  e"), ("<table><tr><td>a<td rowspan=0>b<td>c<tr><td>d<td>e<tbody><tr><td>f<td>g</table>", "a  b  c\nd     e\nf  g"),
+    ("<table><tr><td>a<p>b</p><td>c<tr><td>d</table>", "a  c\n\nb\nd"), ("<table><tr><td><br><tr><td>x</table>", "x"),
+])
+def test_no_text_of_a_table_is_lost(html, text):
+    found = html_text.html_text(html)
+    assert found == text or text is None
+    shown = re.sub(r"<template>.*</template>", "", html)
+    assert sorted(re.sub(r"<[^>]*>|\s", "", shown)) == sorted(re.sub(r"[\s-]", "", found))
