@@ -35,6 +35,8 @@ IMPLIED = {
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
     "body": ({"head"}, set()),
 }
+# Any other start tag, or text, ends an open head.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 _SECTIONS = frozenset({"thead", "tbody", "tfoot"})
 # A part of an open table goes back to the table, as far down as these.
 TABLE_PARTS = {
@@ -104,6 +106,8 @@ class TreeBuilder(HTMLParser):
         self.open[-1].children.append(node)
 
     def handle_starttag(self, tag, attrs):
+        if self.open[-1].tag == "head" and tag not in IN_HEAD:
+            self.open.pop()
         node = Node(tag, dict(attrs))
         if tag in TABLE_PARTS and (at := self._table()):
             self._table_part(tag, node, at)
@@ -138,6 +142,8 @@ class TreeBuilder(HTMLParser):
 
     def handle_data(self, data):
         if data.strip(" \t\n\r\f"):
+            if self.open[-1].tag == "head":
+                self.open.pop()
             self._append(data)
         else:
             self.open[-1].children.append(data)

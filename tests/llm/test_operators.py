@@ -372,3 +372,13 @@ def test_no_text_of_a_table_is_lost(html, text):
     assert found == text or text is None
     shown = re.sub(r"<template>.*</template>", "", html)
     assert sorted(re.sub(r"<[^>]*>|\s", "", shown)) == sorted(re.sub(r"[\s-]", "", found))
+
+
+@pytest.mark.parametrize("html,text", [
+    ("<html><head><title>T</title><p>Hello <b>x</b>", "Hello x"), ("<head><meta charset=utf-8><style>s</style> text <p>p", "text\n\np"), ("<head><script>s</script>text", "text"),
+    ("<head><title>T</title><h1>a</h1><body><p>b</body>", "a\n\nb"), ("<head>\n<title>T</title>\n</head><p>a", "a"), ("<head><title>T</title><body>a", "a"),
+    ("<head><noscript><link></noscript><template><p>no</template><link><div>a</div>", "a"), ("<head><title>T</title><br>a<title>U</title>", "a"),
+    ("<head><noscript><link><body>a", "a"),
+])
+def test_an_open_head_ends_where_text_begins(html, text):
+    assert html_text.html_text(html) == text
