@@ -13,7 +13,18 @@ from pyspark.sql import types as T
 
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("area base datalist embed head link meta noembed noframes noscript param script source style template title track object audio video canvas svg math iframe".split())
+HIDDEN = frozenset("area base datalist embed head link meta noembed noframes noscript param script source style template title track object audio video canvas iframe".split())
+# Inside svg and math: what is not shown, where text is shown, what holds HTML, and the HTML tags that end them.
+FOREIGN_HIDDEN = {
+    "svg": frozenset("title desc defs metadata symbol clippath mask marker pattern lineargradient radialgradient filter style script".split()),
+    "math": frozenset("annotation annotation-xml mphantom style script".split()),
+}
+SVG_TEXT = frozenset("text tspan textpath tref a foreignobject".split())
+HOLDS_HTML = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+ENDS_FOREIGN = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span "
+    "strong strike sub sup table tt u ul var".split()
+)
 PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 blockquote ul ol dl menu pre table fieldset figure hr".split())
 BLOCK = PARAGRAPH | frozenset(
     "address article aside body caption center dd details dialog div dt fieldset figcaption footer form header hgroup html legend li main nav "
@@ -50,10 +61,12 @@ _SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    """``space``: svg or math for these elements and the elements of theirs inside, empty for HTML."""
 
-    def __init__(self, tag: str, attrs: dict[str, str | None]):
-        self.tag, self.attrs, self.children = tag, attrs, []
+    __slots__ = ("tag", "attrs", "children", "space")
+
+    def __init__(self, tag: str, attrs: dict[str, str | None], space: str = ""):
+        self.tag, self.attrs, self.children, self.space = tag, attrs, [], space
 
 
 class TreeBuilder(HTMLParser):
@@ -105,10 +118,22 @@ class TreeBuilder(HTMLParser):
             self.open.append(row)
         self.open[-1].children.append(node)
 
+    def _space(self) -> str:
+        """Whose elements the innermost open one holds."""
+        return "" if self.open[-1].tag in HOLDS_HTML else self.open[-1].space
+
     def handle_starttag(self, tag, attrs):
+        if tag in ENDS_FOREIGN or (tag == "font" and not {"color", "face", "size"}.isdisjoint(dict(attrs))):
+            while self._space():
+                self.open.pop()
+        space = tag if tag in ("svg", "math") else self._space()
+        if space and space != tag:
+            self.open.append(Node(tag, dict(attrs), space))
+            self.open[-2].children.append(self.open[-1])
+            return
         if self.open[-1].tag == "head" and tag not in IN_HEAD:
             self.open.pop()
-        node = Node(tag, dict(attrs))
+        node = Node(tag, dict(attrs), space)
         if tag in TABLE_PARTS and (at := self._table()):
             self._table_part(tag, node, at)
         else:
@@ -126,9 +151,12 @@ class TreeBuilder(HTMLParser):
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
+        # Only elements of svg and math can end in their start tag.
+        if self.open[-1].space and self.open[-1].tag == tag:
+            self.open.pop()
 
     def handle_endtag(self, tag):
-        if tag in VOID:
+        if tag in VOID and not self._space():
             return
         for at in range(len(self.open) - 1, 0, -1):
             if self.open[at].tag == tag:
@@ -151,6 +179,10 @@ class TreeBuilder(HTMLParser):
 
 def visible(node: Node) -> bool:
     attrs = node.attrs
+    if node.space:
+        if node.tag in FOREIGN_HIDDEN[node.space] or attrs.get("display") == "none" or attrs.get("visibility") in ("hidden", "collapse"):
+            return False
+        return not _INVISIBLE.search(attrs.get("style") or "")
     if node.tag in HIDDEN or "hidden" in attrs or (node.tag == "input" and (attrs.get("type") or "").lower() == "hidden"):
         return False
     if node.tag == "dialog" and "open" not in attrs:
@@ -311,6 +343,14 @@ def _render(root: Node, page: Page) -> None:
                 page.text(node)
             continue
         tag = node.tag
+        if node.space:
+            # Labels and cells are set apart by their places.
+            page.space = page.space or tag in ("text", "foreignobject", "mtd")
+            if step == _ENTER and visible(node):
+                shown = node.space == "math" or tag in SVG_TEXT
+                todo.append((_LEAVE, node, pre))
+                todo.extend((_ENTER, child, pre) for child in reversed(node.children) if shown or isinstance(child, Node))
+            continue
         if step == _LEAVE:
             if tag in ("ul", "ol", "menu"):
                 lists.pop()

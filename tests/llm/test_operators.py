@@ -382,3 +382,14 @@ def test_no_text_of_a_table_is_lost(html, text):
 ])
 def test_an_open_head_ends_where_text_begins(html, text):
     assert html_text.html_text(html) == text
+
+
+@pytest.mark.parametrize("html,text", [
+    ("<button><svg class='i'/>Buy</button> now", "Buy now"), ("<svg/>rest<p>of it", "rest\n\nof it"), ("<svg><path d=''/><title>no</title><g/><text>A</text><text>B<tspan>C</tspan></text>x</svg>y", "A BC y"),
+    ("a <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math> b", "a x=2 b"), ("<svg><defs><text>no</text></defs><desc>no</desc><metadata>no</metadata><foreignObject><div/>in</div></foreignObject></svg>", "in"),
+    ("<svg><g><p>out</svg>after", "outafter"), ("<svg><style/><script/><text>t</text></svg>", "t"), ("<math><mtext>a<b/>c</b></mtext><mspace/><mi/>d</math>e", "acde"),
+    ("<table><tr><svg/><td>x<svg><text>l</text></svg></table>", "x l"), ("<svg hidden><text display=none>no</text></svg><desc>d</desc>", "d"), ("<div/>a<p>b", "a\n\nb"),
+    ("<math><mtable><mtr><mtd>1</mtd><mtd>2</mtd></mtr></mtable></math>", "1 2"), ("<svg><a><text><a><a><a>deep", "deep"), ("<svg><title>no<b>no</b></title><text>t</text></svg>", "t"),
+])
+def test_text_of_svg_and_math(html, text):
+    assert html_text.html_text(html) == text
