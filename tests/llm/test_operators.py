@@ -176,6 +176,19 @@ def test_large_buckets_equal_small_ones(spark, monkeypatch):
         assert found == dict(enumerate(root))
 
 
+def test_pairs_alike_by_their_plain_sets_alone(spark):
+    rows = []
+    for i in range(8):
+        line, rest, other = (" ".join(f"{kind}{i}x{k}" for k in range(n)) for kind, n in (("l", 10), ("r", 90), ("o", 4 if i >= 4 else 0)))
+        # The last four repeat unequal lines on both sides.
+        rows += [(2 * i, f"{line} {line} {rest} {f'{other} ' * (12 if other else 0)}"), (2 * i + 1, f"{f'{line} ' * 31}{rest} {f'{other} ' * (2 if other else 0)}")]
+    for (_, a), (_, b) in zip(rows[::2], rows[1::2]):
+        x, y = shingles(a), shingles(b)
+        assert len(set(x) & set(y)) >= 0.95 * len(set(x) | set(y)) and weighted_jaccard(x, y) < 0.45
+    found = minhash.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    same(listed(found.select("doc_id", "class_id", "class_size")), [(i, i // 2 * 2, 2) for i, _ in rows])
+
+
 def test_signatures_estimate_similarity():
     a, b = {1: 3, 2: 1, 3: 1, 4: 2}, {1: 1, 2: 1, 3: 4, 5: 2}
     text = np.repeat([0, 1], [4, 4])
