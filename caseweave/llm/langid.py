@@ -117,19 +117,24 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> Model | None:
-    """Learn from a bounded sample: of every language the ``rows`` documents with the smallest hashes of their ids.
+    """Learn from a bounded sample: of every language the ``rows`` ids with the smallest hashes, one text for each.
 
-    The sample is chosen on (doc_id, lang) alone; the texts become bit rows of 4 kB on the executors, so the
-    driver gets ``rows`` times 4 kB for each language. Null for a table without labelled, lettered texts.
+    The sample is chosen on distinct (doc_id, lang) alone, and of rows that repeat one the text with the least hash
+    is taken, of those that have a letter; the texts become bit rows of 4 kB on the executors, so the driver gets
+    ``rows`` times 4 kB for each language. Null for a table without labelled, lettered texts.
     """
     usable = docs.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     order = [F.xxhash64(F.col("doc_id").cast("string")), F.col("doc_id")]
     # The smallest of each group of input parts first, so that a hot language is no single task.
-    chosen = usable.select("doc_id", "lang", (F.spark_partition_id() % PART_GROUPS).alias("parts"))
+    chosen = usable.select("doc_id", "lang", (F.spark_partition_id() % PART_GROUPS).alias("parts")).distinct()
     chosen = chosen.withColumn("place", F.row_number().over(W.partitionBy("lang", "parts").orderBy(*order)))
-    chosen = chosen.filter(F.col("place") <= rows)
+    chosen = chosen.filter(F.col("place") <= rows).select("doc_id", "lang").distinct()
     chosen = chosen.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy(*order))).filter(F.col("place") <= rows)
-    texts = usable.select("doc_id", "text", "lang").join(F.broadcast(chosen.select("doc_id", "place").distinct()), "doc_id")
+    texts = usable.select("doc_id", "text", "lang").join(F.broadcast(chosen), ["doc_id", "lang"])
+    # Partial minima come before the shuffle, so that a hot id is no single task.
+    lettered = F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}")
+    least = F.min(F.struct((~lettered).alias("none"), F.xxhash64("text").alias("hash"), "text"))
+    texts = texts.groupBy("lang", "place").agg(least["text"].alias("text"))
 
     def bits(batches):
         for batch in batches:

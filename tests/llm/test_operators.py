@@ -294,6 +294,19 @@ def test_languages(spark, no_docs):
     assert langid.identify(no_docs).count() == 0 and langid.identified_only(no_docs, 0.3).count() == 0
 
 
+def test_the_language_sample_is_bounded_with_repeated_ids(spark, monkeypatch):
+    rows = [(7, f"{a} text number {'x' * (i % 17 + 1)}", a) for i in range(150) for a in ("aa", "bb")] + [(7, "12", "aa")] * 3
+    rows += [(i, f"{a} other {'y' * i}", a) for i, a in enumerate(["aa", "bb"] * 10, 100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    seen = []
+    monkeypatch.setattr(langid, "fit", lambda found, languages: seen.append(languages))
+    learned = {a: len({i for i, _, lang in rows if lang == a and zlib.crc32(str(i).encode()) % 5}) for a in ("aa", "bb")}
+    assert zlib.crc32(b"7") % 5 and min(learned.values()) > 4
+    for most in (4, 400):
+        langid.train(docs, most)
+        assert collections.Counter(seen.pop()) == {a: min(n, most) for a, n in learned.items()}
+
+
 def test_tokens(edge_docs, no_docs):
     coder = Tokenizer.from_file(BPE)
     rows = sorted(pairs(edge_docs), key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()))
