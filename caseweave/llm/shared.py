@@ -76,3 +76,19 @@ def with_offsets(df: DataFrame, by: Sequence[str], order: Sequence[str], value:
     local = ranged.withColumn("_local", F.coalesce(F.sum(value).over(inside), F.lit(0)))
     joined = local.join(totals, ["_range", *by])
     return joined.select(*df.columns, (F.col("_local") + F.col("_shift")).alias(name))
+
+
+HOT_KEYS = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """Left join of stored ``rows`` with stored ``groups``, one for each ``key``, of which ``size`` says how many rows it has.
+
+    Keys that hold more than a thousandth of the rows are fewer than ``HOT_KEYS``, so they are broadcast and their rows
+    stay where they are. All others are joined by a shuffle.
+    """
+    hot = rows.count() // HOT_KEYS
+    large = F.broadcast(groups.filter(F.col(size) > hot).withColumn("_hot", F.lit(True)))
+    marked = rows.join(large, key, "left")
+    others = marked.filter("_hot is null").select(*rows.columns).join(groups.filter(F.col(size) <= hot), key, "left")
+    return marked.filter("_hot").select(*others.columns).unionByName(others)
