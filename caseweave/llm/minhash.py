@@ -325,7 +325,7 @@ def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFr
     Of rows repeated with the same id one is kept. Other columns are ignored; an empty table gives no rows.
     """
     rows = docs.select("doc_id", text_key().alias("key"))
-    found = near_duplicates(distinct_texts(docs), least)
+    found = near_duplicates(distinct_texts(docs)[0], least)
     classes = found.classes.withColumnRenamed("node", "key")
     # Rows are summed for each text first, then for each class: no group of copies meets in one task.
     members = rows.groupBy("key", "doc_id").agg(F.count(F.lit(1)).alias("times"))

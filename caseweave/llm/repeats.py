@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from caseweave.llm.shared import partitions, store
+from caseweave.llm.shared import store
 from caseweave.llm.words import blocks
 
 # (rows, text bytes, offsets) -> text number, position and hash of the chosen windows
@@ -33,20 +33,18 @@ def chosen_minima(values: np.ndarray, least: np.ndarray, span: int) -> np.ndarra
     return slide(padded, span, np.maximum) == values
 
 
-def positions(column: pa.Array) -> list[np.ndarray]:
+def positions(column: pa.Array, kind=np.int32) -> list[np.ndarray]:
     """Positions of each row, from a packed column; null has none."""
-    return [np.frombuffer(packed or b"", np.int32) for packed in column.to_pylist()]
+    return [np.frombuffer(packed or b"", kind) for packed in column.to_pylist()]
 
 
-def repeated_windows(source: DataFrame, select: Select) -> DataFrame:
-    """key and the packed int32 positions ``at`` of the chosen windows whose hash occurs again anywhere.
+def packed_windows(source: DataFrame, select: Select, buckets: int, hashed="<u8", place="<i4") -> DataFrame:
+    """The chosen windows of every block of texts by hash bucket, stored: hashes, how often each, texts and places.
 
-    ``source`` has key, text and what else ``select`` reads. A task sends every hash of a block of texts once, with a
-    note if it occurred there twice, so a window that a third of all texts hold costs one entry for each block. Windows
-    and their places are packed by hash bucket; the repeated hashes of a bucket then meet its packs, of which a hot
-    bucket has more, none of them larger. What is found goes back to the block of texts in one row for each pack.
+    ``source`` has key, text and what else ``select`` reads. A task sends every hash of a block of texts once, so a window
+    that a third of all texts hold costs one entry for each block. ``hashed`` is the type of the hashes: ``<u8``, or ``S16``
+    for two such numbers in one. ``place`` is the type of the positions.
     """
-    buckets = partitions(source.sparkSession)
 
     def pack(batches):
         block = TaskContext.get().partitionId() << 32
@@ -56,8 +54,9 @@ def repeated_windows(source: DataFrame, select: Select) -> DataFrame:
             if not len(at):
                 continue
             keys = part.column(0)
-            bucket = ((value >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((value, bucket))
+            bucket = bucket_of(value, buckets)
+            order = np.argsort(value, kind="stable")
+            order = order[np.argsort(bucket[order], kind="stable")]
             text, at, value, bucket = text[order], at[order], value[order], bucket[order]
             edges = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
             rows = []
@@ -68,33 +67,87 @@ def repeated_windows(source: DataFrame, select: Select) -> DataFrame:
                 texts, number = np.unique(text[low:high], return_inverse=True)
                 rows.append((
                     block, int(bucket[low]), own[first].tobytes(), count.astype(np.int32).tobytes(),
-                    b"".join(keys.take(pa.array(texts)).to_pylist()), number.astype(np.int32).tobytes(), at[low:high].astype(np.int32).tobytes(),
+                    b"".join(keys.take(pa.array(texts)).to_pylist()), number.astype(np.int32).tobytes(), at[low:high].astype(place).tobytes(),
                 ))
             names = ["block", "bucket", "hashes", "counts", "keys", "texts", "at"]
             kinds = [pa.int64()] * 2 + [pa.binary()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     packed = source.mapInArrow(pack, "block long, bucket long, hashes binary, counts binary, keys binary, texts binary, at binary")
-    packed = store(packed, "windows")
+    return store(packed, "windows")
+
+
+def bucket_of(value: np.ndarray, buckets: int) -> np.ndarray:
+    if value.dtype.itemsize > 8:
+        value = np.frombuffer(value.tobytes(), "<u8")[:: value.dtype.itemsize // 8]
+    return ((value >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+
+
+def repeated_hashes(packed: DataFrame, hashed="<u8") -> DataFrame:
+    """bucket and the packed, sorted hashes ``again`` of the windows that occur more than once."""
 
     def count(table: pa.Table) -> pa.Table:
-        value = np.frombuffer(b"".join(table.column("hashes").to_pylist()), np.uint64)
+        value = np.frombuffer(b"".join(table.column("hashes").to_pylist()), hashed)
         twice = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.int32) > 1
         alone, inverse, total = np.unique(value, return_inverse=True, return_counts=True)
         again = total > 1
         again[inverse[twice]] = True
         return pa.table({"bucket": table.column("bucket")[:1], "again": pa.array([alone[again].tobytes()], pa.binary())})
 
-    known = packed.select("bucket", "hashes", "counts").groupBy("bucket").applyInArrow(count, "bucket long, again binary")
+    return packed.select("bucket", "hashes", "counts").groupBy("bucket").applyInArrow(count, "bucket long, again binary")
+
+
+def by_bucket(seeds: DataFrame, buckets: int) -> DataFrame:
+    """Distinct (seed, shift) rows packed by bucket: sorted hashes ``again``, how many shifts each has, and these."""
+
+    def place(batches):
+        for batch in batches:
+            bucket = bucket_of(batch.column(0).to_numpy().view(np.uint64), buckets)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), *batch.columns], names=["bucket", "seed", "shift"])
+
+    def pack(table: pa.Table) -> pa.Table:
+        seed, shift = table.column("seed").to_numpy().view(np.uint64), table.column("shift").to_numpy()
+        order = np.argsort(seed, kind="stable")
+        again, numbers = np.unique(seed[order], return_counts=True)
+        packed = [again.tobytes(), numbers.astype(np.int32).tobytes(), shift[order].astype(np.int32).tobytes()]
+        return pa.table({"bucket": table.column("bucket")[:1]} | {n: pa.array([p], pa.binary()) for n, p in zip(("again", "numbers", "shifts"), packed)})
+
+    placed = seeds.select("seed", "shift").distinct().mapInArrow(place, "bucket long, seed long, shift int")
+    return placed.groupBy("bucket").applyInArrow(pack, "bucket long, again binary, numbers binary, shifts binary")
+
+
+def places(packed: DataFrame, known: DataFrame, hashed="<u8", place="<i4", fits: Callable | None = None) -> DataFrame:
+    """key and the packed positions ``at`` of the windows whose hash is in ``known``.
+
+    Does ``known`` name shifts, each position is given once minus every shift for which ``fits(position, shift)`` holds.
+    The hashes of a bucket meet its packs, of which a hot bucket has more, none of them larger. What is found goes back to
+    the block of texts in one row for each pack.
+    """
+    shifted = "shifts" in known.columns
 
     def mark(batches):
         for batch in batches:
             rows = []
-            for block, hashes, counts, keys, texts, at, again in zip(*(c.to_pylist() for c in batch.columns)):
-                hit = np.isin(np.frombuffer(hashes, np.uint64), np.frombuffer(again, np.uint64), assume_unique=True)
-                hit = np.repeat(hit, np.frombuffer(counts, np.int32))
-                if hit.any():
-                    rows.append((block, keys, np.frombuffer(texts, np.int32)[hit].tobytes(), np.frombuffer(at, np.int32)[hit].tobytes()))
+            for block, hashes, counts, keys, texts, at, again, *shifts in zip(*(c.to_pylist() for c in batch.columns)):
+                own, wanted = np.frombuffer(hashes, hashed), np.frombuffer(again, hashed)
+                if not len(wanted):
+                    continue
+                which = np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)
+                counts = np.frombuffer(counts, np.int32)
+                hit = np.repeat(wanted[which] == own, counts)
+                if not hit.any():
+                    continue
+                text, at = np.frombuffer(texts, np.int32)[hit], np.frombuffer(at, place)[hit]
+                if shifts:
+                    numbers, shift = (np.frombuffer(x, np.int32) for x in shifts)
+                    which = np.repeat(which, counts)[hit]
+                    many = numbers[which]
+                    start = np.repeat((np.cumsum(numbers) - numbers)[which], many)
+                    inner = np.arange(len(start)) - np.repeat(np.cumsum(many) - many, many)
+                    text, at, shift = np.repeat(text, many), np.repeat(at, many), shift[start + inner].astype(place)
+                    kept = fits(at, shift)
+                    text, at = text[kept], at[kept] - shift[kept]
+                rows.append((block, keys, text.tobytes(), at.astype(place).tobytes()))
             columns = zip(*rows) if rows else ((), (), (), ())
             kinds = [pa.int64()] + [pa.binary()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["block", "keys", "texts", "at"])
@@ -102,16 +155,22 @@ def repeated_windows(source: DataFrame, select: Select) -> DataFrame:
     def unpack(table: pa.Table) -> pa.Table:
         found: dict[bytes, list[np.ndarray]] = {}
         for keys, texts, at in zip(*(table.column(c).to_pylist() for c in ("keys", "texts", "at"))):
-            text, place = np.frombuffer(texts, np.int32), np.frombuffer(at, np.int32)
+            text, where = np.frombuffer(texts, np.int32), np.frombuffer(at, place)
             order = np.argsort(text, kind="stable")
-            text, place = text[order], place[order]
+            text, where = text[order], where[order]
             edges = np.append(np.flatnonzero(np.append(True, text[1:] != text[:-1])), len(text))
             for low, high in zip(edges[:-1].tolist(), edges[1:].tolist()):
                 start = 16 * int(text[low])
-                found.setdefault(keys[start : start + 16], []).append(place[low:high])
-        packed_at = [np.sort(np.concatenate(parts)).tobytes() for parts in found.values()]
+                found.setdefault(keys[start : start + 16], []).append(where[low:high])
+        packed_at = [np.unique(np.concatenate(parts)).tobytes() for parts in found.values()]
         return pa.table({"key": pa.array(list(found), pa.binary()), "at": pa.array(packed_at, pa.binary())})
 
-    joined = packed.join(known, "bucket").select("block", "hashes", "counts", "keys", "texts", "at", "again")
-    marked = joined.mapInArrow(mark, "block long, keys binary, texts binary, at binary")
+    columns = ["block", "hashes", "counts", "keys", "texts", "at", "again"] + ["numbers", "shifts"] * shifted
+    marked = packed.join(known, "bucket").select(*columns).mapInArrow(mark, "block long, keys binary, texts binary, at binary")
     return marked.groupBy("block").applyInArrow(unpack, "key binary, at binary")
+
+
+def repeated_windows(source: DataFrame, select: Select, buckets: int, hashed="<u8") -> DataFrame:
+    """key and the packed int32 positions ``at`` of the chosen windows whose hash occurs again anywhere."""
+    packed = packed_windows(source, select, buckets, hashed)
+    return places(packed, repeated_hashes(packed, hashed), hashed)

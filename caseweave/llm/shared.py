@@ -26,12 +26,12 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def store_by(df: DataFrame, name: str, key: str) -> DataFrame:
+def store_by(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
     """Like ``store``, in buckets of ``key``: later joins on it move only the other side."""
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd").option("path", shared_path(spark, name))
-    writer.bucketBy(partitions(spark), key).saveAsTable(table)
+    writer.bucketBy(buckets, key).saveAsTable(table)
     return spark.table(table)
 
 
@@ -40,14 +40,21 @@ def text_key() -> Column:
     return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))
 
 
-def distinct_texts(docs: DataFrame) -> DataFrame:
-    """Every text once, stored in buckets of its key: key, text, copies.
+TEXT_BYTES = 128 << 20
+
+
+def distinct_texts(docs: DataFrame) -> tuple[DataFrame, int]:
+    """Every text once, stored in buckets of its key: key, text, copies; and the number of buckets.
 
     Copies meet before the shuffle where a task has several, so a text that a third of all rows repeat is moved
-    once per task. All later joins on the key leave the texts where they are.
+    once per task. All later joins on the key leave the texts where they are. There are as many buckets as shuffle
+    partitions, and more of them where one would hold more than ``TEXT_BYTES`` of the table.
     """
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(partitions(docs.sparkSession), -(-size // TEXT_BYTES))
     rows = docs.select(text_key().alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    return store_by(rows.groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")), "texts", "key")
+    texts = rows.groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    return store_by(texts, "texts", "key", buckets), buckets
 
 
 def partitions(spark: SparkSession) -> int:

@@ -62,14 +62,14 @@ def _seeds(window: int, before: int | None, width: int, part: pa.RecordBatch, da
     return text, at - words.first[text], value[at]
 
 
-def repeated_word_windows(texts: DataFrame, window: int = WINDOW, first: int = FIRST) -> DataFrame:
+def repeated_word_windows(texts: DataFrame, groups: int, window: int = WINDOW, first: int = FIRST) -> DataFrame:
     """key and packed positions of the windows of ``window`` words that occur again among distinct texts or in their own."""
     found, before = None, None
     for width in levels(first, window):
         source = texts.select("key", "text")
         if found is not None:
             source = texts.join(found, "key").select("key", "text", "at")
-        found = store(repeated_windows(source, functools.partial(_seeds, window, before, width)), "level")
+        found = store(repeated_windows(source, functools.partial(_seeds, window, before, width), groups), "level")
         before = width
     return found
 
@@ -84,8 +84,8 @@ def without_repeated_windows(docs: DataFrame, window: int = WINDOW, first: int =
     Null text has no words. Repeated rows are copies. An empty table gives no rows; other columns are ignored.
     Returns doc_id, n_words, n_removed, kept_sha256, kept_text (the kept words, one space between).
     """
-    texts = distinct_texts(docs)
-    found = repeated_word_windows(texts, window, first)
+    texts, groups = distinct_texts(docs)
+    found = repeated_word_windows(texts, groups, window, first)
     source = texts.join(found, "key", "left").select("key", "text", "copies", "at")
 
     def clean(batches):

@@ -101,6 +101,25 @@ def test_strings_whose_matches_lie_with_different_partners(spark):
         assert {r.doc_id: r.n_removed for r in suffixes.without_repeated_strings(docs, length).collect()} == want
 
 
+@pytest.mark.parametrize("alphabet", ["ab", "abcd"])
+def test_strings_with_repeated_seeds(spark, alphabet):
+    """Short words of few letters: large classes, equal seeds in one string, and strings found from two anchors."""
+    rng = np.random.default_rng(11)
+    pool = ["".join(rng.choice(list(alphabet), 14)) for _ in range(5)]
+    texts = ["".join([*(pool[k] for k in rng.integers(0, 5, 5)), *rng.choice(list(alphabet), 8), *(pool[k] for k in rng.integers(0, 5, 4))]) for _ in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    for length in (25, 40):
+        count = collections.Counter(t[k : k + length] for t in texts for k in range(len(t) - length + 1))
+        want = {}
+        for i, t in enumerate(texts):
+            gone = np.zeros(len(t), bool)
+            for k in range(len(t) - length + 1):
+                if count[t[k : k + length]] > 1:
+                    gone[k : k + length] = True
+            want[i] = int(gone.sum())
+        assert {r.doc_id: r.n_removed for r in suffixes.without_repeated_strings(docs, length).collect()} == want
+
+
 def test_loser_tree():
     rng = np.random.default_rng(0)
     runs = [sorted({bytes(rng.integers(97, 99, rng.integers(1, 12)).tolist()) for _ in range(30)}) for _ in range(5)]
