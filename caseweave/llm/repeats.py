@@ -147,6 +147,8 @@ def places(packed: DataFrame, known: DataFrame, hashed="<u8", place="<i4", fits:
                     text, at, shift = np.repeat(text, many), np.repeat(at, many), shift[start + inner].astype(place)
                     kept = fits(at, shift)
                     text, at = text[kept], at[kept] - shift[kept]
+                    if not len(text):
+                        continue
                 rows.append((block, keys, text.tobytes(), at.astype(place).tobytes()))
             columns = zip(*rows) if rows else ((), (), (), ())
             kinds = [pa.int64()] + [pa.binary()] * 3
