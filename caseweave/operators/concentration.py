@@ -44,7 +44,7 @@ def lorenz(
         ranked,
         strata,
         order,
-        {"case_cumsum": case, "pop_cumsum": pop},
+        {"case_cumsum": case, "pop_cumsum": pop, "_place": F.lit(1)},
         {"_cases": case, "_population": pop, "_unknown": (case.isNull() | pop.isNull()).cast("int")},
         block_rows,
     )
@@ -52,11 +52,15 @@ def lorenz(
     curve = summed.withColumns({
         "c_i": F.when(known, F.try_divide("case_cumsum", "_cases")),
         "p_i": F.when(known, F.try_divide("pop_cumsum", "_population")),
-    }).drop("_rate", "_cases", "_population", "_unknown")
+    })
+    columns = [*df.columns, "case_cumsum", "pop_cumsum", "c_i", "p_i"]
     if not origin:
-        return curve
-    start = curve.select(*strata).distinct().withColumns({"c_i": F.lit(0.0), "p_i": F.lit(0.0)})
-    return curve.unionByName(start, allowMissingColumns=True)
+        return curve.select(*columns)
+    # The first row of a stratum brings the origin with it.
+    own = F.struct(*columns)
+    zero = {c: F.col(c) for c in strata} | {"c_i": F.lit(0.0), "p_i": F.lit(0.0)}
+    start = F.struct(*[zero.get(c, F.lit(None).cast(curve.schema[c].dataType)).alias(c) for c in columns])
+    return curve.select(F.inline(F.when(F.col("_place") == 1, F.array(start, own)).otherwise(F.array(own))))
 
 
 def gini(
@@ -66,9 +70,12 @@ def gini(
     population: str,
     tie: Sequence[str] = (),
     origin: bool = True,
+    total: str | None = None,
 ) -> DataFrame:
     """Gini index ``g`` per stratum, positive because the curve runs by descending rate.
 
+    ``total`` names a column for the sum of the cases, which is known here anyway.
+
     Rows of equal rate lie on one straight piece of the curve, so they are added up
     before anything is sorted. What is left is cut into blocks by a fixed rule on the
     rate; each block yields its sums and its own area, and the blocks of a stratum are
@@ -96,7 +103,7 @@ def gini(
         F.count(F.lit(1)).alias("_rows"),
         *first,
     )
-    return gini_of_steps(steps, strata, _rate_block(F.col("_rate")), F.col("_rate"), origin)
+    return gini_of_steps(steps, strata, _rate_block(F.col("_rate")), F.col("_rate"), origin, total)
 
 
 def _rate_block(value: Column) -> Column:
@@ -112,7 +119,7 @@ def _rate_block(value: Column) -> Column:
 
 
 def gini_of_steps(
-    steps: DataFrame, strata: Sequence[str], block: Column, rank: Column, origin: bool = True
+    steps: DataFrame, strata: Sequence[str], block: Column, rank: Column, origin: bool = True, total: str | None = None
 ) -> DataFrame:
     """Gini index from rows (_c, _p, _unknown, _rows, _first) that are one straight piece each.
 
@@ -146,7 +153,8 @@ def gini_of_steps(
         area = area - F.col("_first._fc") * F.col("_first._fp")
         defined = defined & (F.col("_rows") > 1)
     index = F.try_divide(area, F.col("_c") * F.col("_p")) - 1
-    return result.select(*strata, F.when(defined, index).alias("g"))
+    totals = [F.col("_c").alias(total)] if total else []
+    return result.select(*strata, F.when(defined, index).alias("g"), *totals)
 
 
 def as_percent(g: Column | str, digits: int = 3) -> Column:

@@ -5,34 +5,111 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from caseweave.operators.concentration import curve_rate, gini_of_steps
-from caseweave.operators.running import running_totals
+from caseweave.operators.concentration import curve_rate
+from caseweave.operators.running import lookup, running_totals
 from caseweave.session import pin
 
-# A stratum up to this size is resampled where its replicate was made.
-INLINE_UNITS = 20_000
-# Unit tables up to this many rows are broadcast; three 8-byte columns keep that below 10 MB.
+# Units of one block: its cases and populations are two arrays in a row.
+BLOCK_UNITS = 4096
+# Unit tables up to this many rows are broadcast; two 8-byte columns keep that below 4 MB.
 BROADCAST_UNITS = 200_000
-DRAWS_PER_CHUNK = 50_000
-UNITS_PER_BLOCK = 50_000
+# Replicates that share one copy of a block, where blocks are dealt by a shuffle.
+REPLICATES_PER_COPY = 256
 
 Draw = Callable[[int, Sequence[str], Column, Column], Column]
 
 
+def replicate_key(seed: int, strata: Sequence[str], rep: Column) -> Column:
+    """60-bit number of a replicate: the first 15 digits of an MD5 digest of seed, stratum and replicate."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(key).cast("string") for key in strata], rep.cast("string"))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def hashed_draw(seed: int, strata: Sequence[str], rep: Column, draw: Column) -> Column:
-    """Number that depends only on seed, stratum, replicate and draw, so lost tasks repeat it exactly."""
-    return F.xxhash64(F.lit(seed), *[F.col(key) for key in strata], rep, draw)
+    """63-bit number that depends only on seed, stratum, replicate and draw, so lost tasks repeat it exactly.
+
+    ``_key`` is the number of the replicate. The hash is XXH64 of it (seed 42), and of the draw with that as its seed.
+    """
+    return F.shiftrightunsigned(F.xxhash64(F.col("_key"), draw), 1)
 
 
 def digest_draw(seed: int, strata: Sequence[str], rep: Column, draw: Column) -> Column:
-    """Same contract from an MD5 digest, for checks against other engines."""
+    """Same contract from an MD5 digest of every draw: slower, and simple to repeat in other engines."""
     parts = [F.lit(str(seed)), *[F.col(key).cast("string") for key in strata]]
     text = F.concat_ws("|", *parts, rep.cast("string"), draw.cast("string"))
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
+def _fair(count: str, node: str, turn: str) -> str:
+    """How many of ``count`` fair bits are set: random words are counted bit by bit, the last one in part."""
+    word = f"xxhash64(_key, {node}, {turn}, i)"
+    mask = f"if(i < {count} div 64, -1L, ~shiftleft(-1L, cast({count} % 64 AS int)))"
+    return f"aggregate(sequence(0L, {count} div 64), 0L, (sum, i) -> sum + bit_count({word} & {mask}))"
+
+
+def _binomial(count: str, left: str, size: str, node: str) -> str:
+    """How many of ``count`` draws fall into the first ``left`` of ``size`` units.
+
+    A uniform number is compared with ``left / size`` bit by bit, for all draws at once: those that differ at this
+    bit are decided, about half of them, and the others go on. 63 bits leave out a draw with probability 2**-63.
+    """
+    bit = f"2 * z.r >= {size}"
+    more = f"named_struct('u', z.u - k, 's', z.s + k, 'r', 2 * z.r - {size})"
+    less = "named_struct('u', k, 's', z.s, 'r', 2 * z.r)"
+    turn = f"element_at(transform(array({_fair('z.u', node, 'j')}), k -> if({bit}, {more}, {less})), 1)"
+    drawn = f"aggregate(sequence(1L, 63L), named_struct('u', {count}, 's', 0L, 'r', {left}), (z, j) -> {turn}, z -> z.s)"
+    return f"if({left} >= {size}, {count}, if({left} <= 0, 0L, {drawn}))"
+
+
+def block_counts(units: str, blocks: str, block_units: int) -> Column:
+    """How many of ``units`` draws each of ``blocks`` blocks of a replicate gets: an array.
+
+    All draws are split between the two halves of the blocks, then each part again, down to single blocks
+    (recursive binomial splitting), so a replicate costs a few bits a draw and level, and no row for any draw.
+    """
+    depth = f"cast(ceil(log2({blocks})) AS int)"
+    width = f"shiftleft(1L, {depth} - t)"
+
+    def before(block: str) -> str:
+        return f"least({units}, ({block}) * {block_units})"
+
+    low, middle, high = before(f"q * {width}"), before(f"q * {width} + {width} div 2"), before(f"(q + 1) * {width}")
+    node = "shiftleft(1L, t) + q"
+    split = _binomial("c", f"({middle} - {low})", f"({high} - {low})", node)
+    pair = f"if({high} <= {low}, array(0L, 0L), element_at(transform(array({split}), k -> array(k, c - k)), 1))"
+    level = f"flatten(transform(counts, (c, q) -> {pair}))"
+    # Positions of transform are int; all arithmetic is on long.
+    level = level.replace("q * ", "cast(q AS long) * ").replace("(q + 1)", "(cast(q AS long) + 1)")
+    return F.expr(f"if({blocks} = 1, array({units}), aggregate(sequence(0, greatest({depth} - 1, 0)), array({units}), (counts, t) -> {level}))")
+
+
+def _resampled(draw: Draw, seed: int, strata: Sequence[str]) -> Column:
+    """Sums of the units drawn in one block of one replicate, and twice the area below their piece of the curve.
+
+    Draws are sorted numbers of units, which stand in the order of the curve.
+    """
+    def pick(number: Column) -> Column:
+        place = F.shiftleft(F.col("_block"), 32) + number
+        return F.pmod(draw(seed, strata, F.col("rep"), place), F.size("_cs").cast("long")).cast("int")
+
+    picks = F.array_sort(F.transform(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1), pick))
+    zero = F.struct(F.lit(0.0).alias("c"), F.lit(0.0).alias("p"), F.lit(0.0).alias("a"), F.lit(-1).alias("first"))
+
+    def add(state: Column, i: Column) -> Column:
+        case, people = F.get("_cs", i), F.get("_ps", i)
+        return F.struct(
+            (state["c"] + case).alias("c"),
+            (state["p"] + people).alias("p"),
+            (state["a"] + people * (2 * state["c"] + case)).alias("a"),
+            F.when(state["first"] < 0, i).otherwise(state["first"]).alias("first"),
+        )
+
+    return F.aggregate(picks, zero, add)
+
+
 def bootstrap_gini(
     df: DataFrame,
     strata: Sequence[str],
@@ -43,22 +120,20 @@ def bootstrap_gini(
     seed: int = 13,
     origin: bool = True,
     draw: Draw = hashed_draw,
-    inline_units: int | None = None,
-    units_per_block: int | None = None,
-    draws_per_chunk: int | None = None,
+    block_units: int = BLOCK_UNITS,
 ) -> DataFrame:
     """Gini index of each bootstrap replicate: (strata, rep, g), ``rep`` from 0.
 
-    Every replicate draws as many units as its stratum has, with replacement. Units
-    are numbered once, by stratum and descending rate, so a replicate is sorted by the
-    numbers drawn, and evenly sized blocks of numbers take even shares of the draws.
-    A replicate is known by one number too, which keeps rows, sorts and joins narrow.
+    Every replicate draws as many units as its stratum has, with replacement. Units are put in the order of the
+    curve once, ``block_units`` to a block. A replicate first gets its number of draws per block (``block_counts``), then
+    draws inside the block, where they are sorted and summed in place: no draw is a row. What leaves a
+    block is one row of sums for each replicate; a stratum of many blocks is put together from these. The result depends
+    on ``seed`` and ``block_units``, not on partitions.
+
+    A replicate that draws an unknown value has no index (NULL), as has one without cases; without
+    ``origin`` the first piece is left out, and a stratum of one unit has none.
     """
-    inline_units = INLINE_UNITS if inline_units is None else inline_units
-    units_per_block = units_per_block or UNITS_PER_BLOCK
-    draws_per_chunk = draws_per_chunk or DRAWS_PER_CHUNK
     spark = df.sparkSession
-
     ranked = df.select(
         *strata,
         *[t for t in tie if t not in strata],
@@ -66,57 +141,45 @@ def bootstrap_gini(
         F.col(population).cast("double").alias("_p"),
         curve_rate(cases, population).alias("_rate"),
     )
-    order = [
-        *[F.col(key).asc() for key in strata],
-        F.col("_rate").desc_nulls_last(),
-        *[F.col(t).asc_nulls_last() for t in tie],
-    ]
-    numbered = pin(running_totals(ranked, [], order, {"_unit": F.lit(1)}).select(*strata, "_unit", "_c", "_p"))
-    units = numbered.select("_unit", "_c", "_p")
-    # The numbers of a stratum follow each other from its first one.
-    sizes = pin(numbered.groupBy(*strata).agg(F.min("_unit").alias("_base"), F.count(F.lit(1)).alias("_n")))
-    n_units, largest = sizes.agg(F.sum("_n"), F.max("_n")).first()
-    small = (n_units or 0) <= BROADCAST_UNITS
-    inline = (largest or 0) <= inline_units
-
-    # Replicates are few, narrow rows that turn into many: spread them by an explicit number of partitions.
-    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    order = [F.col("_rate").desc_nulls_last(), *[F.col(t).asc_nulls_last() for t in tie]]
+    numbered = running_totals(ranked, strata, order, {"_unit": F.lit(1)})
+    numbered = numbered.withColumn("_block", F.expr(f"(_unit - 1) div {block_units}"))
+    packed = numbered.groupBy(*strata, "_block").agg(F.array_sort(F.collect_list(F.struct("_unit", "_c", "_p"))).alias("_units"))
+    packed = pin(packed.select(*strata, "_block", F.col("_units._c").alias("_cs"), F.col("_units._p").alias("_ps")))
+    sizes = packed.groupBy(*strata).agg(F.sum(F.size("_cs")).cast("long").alias("_n"), F.count(F.lit(1)).alias("_b"))
+    units = packed.agg(F.sum(F.size("_cs"))).first()[0] or 0
+
+    # Replicates are few, narrow rows with much work each: spread them by an explicit number of partitions.
+    width = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     reps = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    reps = reps.withColumn("_group", F.col("_base") * replicates + F.col("rep"))
-    if inline:
-        # Rows of a replicate stay together, so the later sort and sums need no further shuffle.
-        reps = reps.repartition(width, "_group")
-        draws = reps.withColumn("_d", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    reps = reps.withColumn("_key", replicate_key(seed, strata, F.col("rep"))).repartition(width, "_key")
+    counted = reps.select(*strata, "rep", "_key", F.posexplode(block_counts("_n", "_b", block_units)).alias("_place", "_m"))
+    counted = counted.select(*strata, "rep", "_key", F.col("_place").cast("long").alias("_block"), "_m").filter("_m > 0")
+    keys = [*strata, "_block"]
+    if units <= BROADCAST_UNITS:
+        drawn = lookup(counted, F.broadcast(packed), keys, "inner")
     else:
-        chunk = F.lit(draws_per_chunk).cast("long")
-        chunks = reps.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / chunk))))
-        chunks = chunks.repartition(width * 4, "_group", "_chunk")
-        start = F.col("_chunk") * chunk
-        last = F.least(start + chunk, F.col("_n")) - 1
-        draws = chunks.withColumn("_d", F.explode(F.sequence(start, last)))
-
-    pick = F.col("_base") + F.pmod(draw(seed, strata, F.col("rep"), F.col("_d")), F.col("_n"))
-    # A pick is never NULL; saying so spares a test that would compute it twice.
-    picked = draws.select("_group", F.coalesce(pick, F.lit(0)).alias("_unit"))
-    steps = picked.join(F.broadcast(units) if small else units, "_unit").select(
-        "_group",
-        "_unit",
-        "_c",
-        "_p",
-        (F.col("_c").isNull() | F.col("_p").isNull()).cast("long").alias("_unknown"),
-        F.lit(1).alias("_rows"),
-        F.struct(F.col("_c").alias("_fc"), F.col("_p").alias("_fp")).alias("_first"),
-    )
-    rank = -F.col("_unit")
-    block = F.lit(0) if inline else -F.floor(F.col("_unit") / F.lit(units_per_block))
-    index = gini_of_steps(steps, ["_group"], block, rank, origin)
-    index = index.select(
-        F.expr(f"_group div {int(replicates)}").alias("_base"),
-        (F.col("_group") % replicates).cast("int").alias("rep"),
-        "g",
+        copies = F.sequence(F.lit(0), F.lit((replicates - 1) // REPLICATES_PER_COPY))
+        counted = counted.withColumn("_copy", F.expr(f"rep div {REPLICATES_PER_COPY}").cast("int"))
+        drawn = lookup(counted, packed.withColumn("_copy", F.explode(copies)), [*keys, "_copy"], "inner")
+    sums = drawn.withColumn("_sums", _resampled(draw, seed, strata))
+    first = [F.get(array, F.col("_sums.first")).alias(name) for array, name in (("_cs", "_fc"), ("_ps", "_fp"))]
+    sums = sums.select(*strata, "rep", "_block", "_m", *[F.col(f"_sums.{c}").alias(f"_{c}") for c in "cpa"], *first)
+
+    # A sum of blocks is unknown if one of them is.
+    before = W.partitionBy(*strata, "rep").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.withColumn("_a", F.col("_a") + 2 * F.coalesce(F.sum("_c").over(before), F.lit(0.0)) * F.col("_p"))
+    unknown = F.count_if(F.col("_c").isNull() | F.col("_p").isNull()) > 0
+    result = sums.groupBy(*strata, "rep").agg(
+        *[F.sum(c).alias(c) for c in ("_c", "_p", "_a", "_m")], unknown.alias("_unknown"),
+        F.min_by(F.struct("_fc", "_fp"), "_block").alias("_first"),
     )
-    names = sizes.select("_base", *strata)
-    return index.join(F.broadcast(names) if small else names, "_base").select(*strata, "rep", "g")
+    area, defined = F.col("_a"), ~F.col("_unknown")
+    if not origin:
+        area = area - F.col("_first._fc") * F.col("_first._fp")
+        defined = defined & (F.col("_m") > 1)
+    index = F.try_divide(area, F.col("_c") * F.col("_p")) - 1
+    return result.select(*strata, "rep", F.when(defined, index).alias("g"))
 
 
 def percentile_interval(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from caseweave.session import pin
+from caseweave.session import stored
 
 BLOCK_ROWS = 500_000
 _BLOCK = "_block"
@@ -24,10 +24,11 @@ def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "l
     return left.join(renamed, condition, how).drop(*[f"_r_{key}" for key in keys])
 
 
-def largest_stratum(df: DataFrame, strata: Sequence[str]) -> int:
-    """Row count of the largest stratum: one number, counted by the executors."""
+def stratum_rows(df: DataFrame, strata: Sequence[str]) -> tuple[int, int]:
+    """Rows of all strata and of the largest: two numbers, counted by the executors over the key columns."""
     sizes = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("rows"))
-    return sizes.agg(F.max("rows")).first()[0] or 0
+    total, largest = sizes.agg(F.sum("rows"), F.max("rows")).first()
+    return total or 0, largest or 0
 
 
 def running_totals(
@@ -41,44 +42,44 @@ def running_totals(
     """Add running sums within ``strata`` in the given order, ties row by row.
 
     ``running`` holds the sums to run, ``whole`` sums over the complete stratum that
-    every row gets as well. The input is kept in the shared folder once, so that its
-    size can be checked. Strata that fit a task use one window. Otherwise the rows are
-    range-partitioned by (strata, order) into even blocks, whatever the size of a single
-    stratum; sums run inside each block and are shifted by the totals of the blocks
-    before it. ``order`` should be unique within a stratum.
+    every row gets as well. Rows are summed inside blocks, and blocks are shifted by the totals of those
+    before them. A stratum of up to ``block_rows`` rows is one block, for which its own rows are enough: nothing is
+    written, and only the rows are counted beforehand. If some stratum is larger, rows are cut by ranges of
+    (strata, order) and written once with their block, so that the totals, which read three columns of
+    that table, and the rows see the same blocks. ``order`` should be unique within a stratum.
     """
     whole = whole or {}
     block_rows = block_rows or BLOCK_ROWS
     inputs = {f"_in_{name}": value for name, value in {**running, **whole}.items()}
-    rows = pin(df.withColumns(inputs))
-    largest = largest_stratum(rows, strata)
-    if largest <= block_rows:
-        ordered = W.partitionBy(*strata).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-        complete = W.partitionBy(*strata)
-        sums = {name: F.sum(f"_in_{name}").over(ordered) for name in running}
-        sums |= {name: F.sum(f"_in_{name}").over(complete) for name in whole}
-        return rows.withColumns(sums).drop(*inputs)
-
-    blocks = -(-rows.count() // block_rows)
-    keys = [F.col(key).asc() for key in strata]
-    ranged = rows.repartitionByRange(blocks, *keys, *order)
-    # The block of a row must not change between the two uses below.
-    ranged = pin(ranged.withColumn(_BLOCK, F.spark_partition_id()))
+    rows = df.withColumns(inputs)
     # One struct key: equal when its NULL parts are, and shared by the window and the join.
-    ranged = ranged.withColumn(_KEY, F.struct(*strata) if strata else F.lit(0))
+    key = F.struct(*strata) if strata else F.lit(0)
+    total, largest = stratum_rows(df, strata)
+    cut = largest > block_rows
+    if cut:
+        keys = [F.col(name).asc() for name in strata]
+        ranged = rows.repartitionByRange(-(-total // block_rows), *keys, *order)
+        rows = stored(ranged.withColumn(_BLOCK, F.spark_partition_id()))
+    else:
+        rows = rows.withColumn(_BLOCK, F.lit(0))
+    rows = rows.withColumn(_KEY, key)
+    block = W.partitionBy(_KEY, _BLOCK)
+    inside = block.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    sums = {name: F.sum(f"_in_{name}").over(inside) for name in running}
+    if not cut:
+        sums |= {name: F.sum(f"_in_{name}").over(block) for name in whole}
+        return rows.withColumns(sums).select(*df.columns, *running, *whole)
+
     before = W.partitionBy(_KEY).orderBy(_BLOCK).rowsBetween(W.unboundedPreceding, -1)
     complete = W.partitionBy(_KEY)
-    shifts = ranged.groupBy(_KEY, _BLOCK).agg(*[F.sum(name).alias(name) for name in inputs])
+    shifts = rows.groupBy(_KEY, _BLOCK).agg(*[F.sum(name).alias(name) for name in inputs])
     shifts = shifts.select(
         _KEY,
         _BLOCK,
         *[F.sum(f"_in_{name}").over(before).alias(f"_shift_{name}") for name in running],
         *[F.sum(f"_in_{name}").over(complete).alias(name) for name in whole],
     )
-    inside = W.partitionBy(_KEY, _BLOCK).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    local = ranged.withColumns({name: F.sum(f"_in_{name}").over(inside) for name in running})
-    shifted = local.join(shifts, [_KEY, _BLOCK])
+    shifted = rows.withColumns(sums).join(shifts, [_KEY, _BLOCK])
     # As in one window, a total is NULL only while nothing known has been seen in this block or before it.
     totals = {name: F.coalesce(F.col(name) + F.col(f"_shift_{name}"), name, f"_shift_{name}") for name in running}
-    shifted = shifted.withColumns(totals)
-    return shifted.select(*df.columns, *running, *whole)
+    return shifted.withColumns(totals).select(*df.columns, *running, *whole)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from caseweave.operators.running import lookup
@@ -54,18 +55,31 @@ def split_population(df: DataFrame, estimate: DataFrame, keys: Sequence[str], po
     return joined.withColumn(name, F.try_divide(F.col(population).cast("double"), F.col(units)))
 
 
-def missing_units(df: DataFrame, keys: Sequence[str], units: str, inherit: Sequence[str] = ()) -> DataFrame:
-    """Per key, how many units of the estimate have no row (only where some are missing).
+def _with_gap(df: DataFrame, keys: Sequence[str], unit: str, units: str, inherit: Sequence[str]) -> DataFrame:
+    """Add ``_gap``, on one row of each key: how many units of the estimate have no row there; 0 on the others.
 
-    ``inherit`` names columns that are constant per key and carried along.
+    ``_m_<name>`` holds the value of ``units`` and of each ``inherit`` column, which are constant per key. Rows are dealt by
+    key once, and read once.
     """
-    per_key = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_observed"),
-        F.max(units).alias(units),
-        *[F.max(column).alias(column) for column in inherit],
-    )
-    gap = F.ceil(F.col(units) - F.col("_observed"))
-    return per_key.withColumn("n_missing", gap.cast("long")).filter("n_missing > 0").drop("_observed")
+    order = W.partitionBy(*keys).orderBy(F.col(unit).asc_nulls_first())
+    every = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    counted = df.withColumns({
+        **{f"_m_{name}": F.max(name).over(every) for name in dict.fromkeys([units, *inherit])},
+        "_observed": F.count(F.lit(1)).over(every),
+        "_place": F.row_number().over(order),
+    })
+    gap = F.ceil(F.col(f"_m_{units}") - F.col("_observed")).cast("long")
+    gap = F.when((F.col("_place") == 1) & (gap > 0), gap).otherwise(F.lit(0).cast("long"))
+    return counted.withColumn("_gap", gap).drop("_observed", "_place")
+
+
+def _silent(df: DataFrame, counted: DataFrame, own: Column, keys: Sequence[str], values: Mapping[str, Column]) -> list[Column]:
+    """The columns of ``df`` for its own rows, and those of a silent unit for the others."""
+    out = []
+    for name in df.columns:
+        value = values.get(name, F.lit(None).cast(counted.schema[name].dataType))
+        out.append((F.col(name) if name in keys else F.when(own, F.col(name)).otherwise(value)).alias(name))
+    return out
 
 
 def pad_units(
@@ -78,24 +92,17 @@ def pad_units(
 ) -> DataFrame:
     """Append a zero-case row with no unit name for every unit that did not report.
 
-    Adds ``pad``: 0 on observed rows, 1, 2, … on appended ones. Large gaps are
-    spread over tasks in chunks.
+    Adds ``pad``: 0 on observed rows, 1, 2, … on appended ones. One row of a key brings the
+    appended ones with it, in chunks of ``ROWS_PER_CHUNK``, so the table is neither read twice nor joined with itself.
     """
-    gaps = missing_units(df, keys, units, inherit)
+    counted = _with_gap(df, keys, unit, units, inherit)
     chunk = F.lit(ROWS_PER_CHUNK).cast("long")
-    chunks = gaps.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_missing") - 1) / chunk))))
-    chunks = chunks.repartition(*keys, "_chunk")
+    chunks = counted.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_gap") / chunk))))
     start = F.col("_chunk") * chunk
-    last = F.least(start + chunk, F.col("n_missing"))
-    rows = chunks.withColumn("pad", F.explode(F.sequence(start + 1, last))).select(
-        *keys,
-        F.lit(None).cast(df.schema[unit].dataType).alias(unit),
-        F.lit(0.0).alias(cases),
-        units,
-        *inherit,
-        "pad",
-    )
-    return df.withColumn("pad", F.lit(0).cast("long")).unionByName(rows, allowMissingColumns=True)
+    last = F.least(start + chunk - 1, F.col("_gap"))
+    rows = chunks.withColumn("pad", F.explode(F.sequence(start, last)))
+    values = {cases: F.lit(0.0), **{name: F.col(f"_m_{name}") for name in (units, *inherit)}}
+    return rows.select(*_silent(df, counted, F.col("pad") == 0, keys, values), "pad")
 
 
 def weigh_missing_units(
@@ -111,11 +118,9 @@ def weigh_missing_units(
     Rows of equal rate lie on one straight piece of the curve, so a Gini index with
     its origin is the same as over single zero rows.
     """
-    gaps = missing_units(df, keys, units, [unit_population])
-    rows = gaps.select(
-        *keys,
-        F.lit(None).cast(df.schema[unit].dataType).alias(unit),
-        F.lit(0.0).alias(cases),
-        (F.col(unit_population) * F.col("n_missing")).alias(unit_population),
-    )
-    return df.select(*keys, unit, cases, unit_population).unionByName(rows)
+    narrow = df.select(*keys, unit, cases, units, unit_population)
+    counted = _with_gap(narrow, keys, unit, units, [unit_population])
+    kinds = F.when(F.col("_gap") > 0, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))
+    rows = counted.withColumn("_own", F.explode(kinds))
+    values = {cases: F.lit(0.0), unit_population: F.col(f"_m_{unit_population}") * F.col("_gap")}
+    return rows.select(*_silent(narrow, counted, F.col("_own"), keys, values)).drop(units)

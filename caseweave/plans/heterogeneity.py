@@ -112,10 +112,10 @@ def gini_per_district(
     )
     # Units of a district share its population equally, so silent ones can only come last on the curve.
     weighed = units.weigh_missing_units(shared, DISTRICT, "health_unit", "n_hu", "case", "pop")
-    index = concentration.gini(weighed, DISTRICT, "case", "pop", ["health_unit"], origin=origin)
-    api = lookup(counts.groupBy(*DISTRICT).agg(F.sum("n_case").alias("case")), population, DISTRICT)
-    api = api.withColumn("api", rate("case", "n"))
-    return lookup(api, index, DISTRICT).select(*DISTRICT, "g", "case", "api")
+    index = concentration.gini(weighed, DISTRICT, "case", "pop", ["health_unit"], origin=origin, total="case")
+    index = index.withColumn("case", F.col("case").cast("long"))
+    rated = lookup(index, population, DISTRICT).withColumn("api", rate("case", "n"))
+    return rated.select(*DISTRICT, "g", "case", "api")
 
 
 def pareto_units(line: DataFrame, species: str, strata: Sequence[str] = ("year_dx",)) -> DataFrame:

@@ -74,3 +74,10 @@ def pin(df: DataFrame) -> DataFrame:
 def new_table_path(spark: SparkSession, name: str) -> str:
     """Fresh path below the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it from there: later uses see the same rows and only the columns they need."""
+    path = new_table_path(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -135,7 +135,7 @@ official AS (
   FROM supplier JOIN study ON s_nationkey = n_nationkey GROUP BY province, city, n_nationkey
 ),
 monthly_orders AS (
-  SELECT n_nationkey, raw_province, raw_district, year(o_orderdate) + 18 AS yr, month(o_orderdate) AS mon,
+  SELECT n_nationkey, raw_province, raw_district, CASE WHEN o_orderdate >= '1995-01-01' AND o_orderdate < '1995-04-01' THEN 2010 ELSE year(o_orderdate) + 18 END AS yr, month(o_orderdate) AS mon,
          (count(*) FILTER (o_orderstatus <> 'P'))::DOUBLE AS by_sex,
          (count(*) FILTER (o_orderpriority <> '5-LOW'))::DOUBLE AS by_species
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN place ON c_nationkey = n_nationkey GROUP BY ALL
@@ -265,8 +265,42 @@ all_units AS (
 {_curve("all_units", '"case"', "pop", "health_unit NULLS LAST, pad", DISTRICT)}"""
 
 
-def _bootstrap(source: str, cases: str, pop: str, tie: str, origin: bool) -> str:
+# The five primes of XXH64.
+XX_PRIMES = [11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261]
+
+
+def _xxh64(source: str, value: str, seed: str) -> str:
+    """Subquery that adds ``_x``: XXH64 of an 8-byte number with a seed, in unsigned steps that do not overflow."""
+    def times(factor: int) -> str:
+        low, high = factor % 2**32, factor // 2**32
+        return f"""((((_x % 4294967296) * {high} % 4294967296) + ((_x // 4294967296) * {low} % 4294967296) + ((_x % 4294967296) * {low} // 4294967296))
+                   % 4294967296 * 4294967296 + (_x % 4294967296) * {low} % 4294967296)"""
+
+    def turned(by: int) -> str:
+        return f"((_x % {2 ** (64 - by)}) * {2**by} + (_x >> {64 - by}))"
+
+    def plus(x: str, more: int) -> str:
+        return f"(CASE WHEN {x} >= {2**64 - more} THEN {x} - {2**64 - more} ELSE {x} + {more} END)"
+
+    steps = [
+        times(XX_PRIMES[1]), turned(31), times(XX_PRIMES[0]), f"xor(_x, {plus(f'({seed})::UBIGINT', XX_PRIMES[4] + 8)})",
+        turned(27), times(XX_PRIMES[0]), plus("_x", XX_PRIMES[3]), "xor(_x, _x >> 33)", times(XX_PRIMES[1]),
+        "xor(_x, _x >> 29)", times(XX_PRIMES[2]), "xor(_x, _x >> 32)",
+    ]
+    sql = f"(SELECT *, ({value})::UBIGINT AS _x FROM {source})"
+    for step in steps:
+        sql = f"(SELECT * REPLACE (({step})::UBIGINT AS _x) FROM {sql})"
+    return sql
+
+
+def _bootstrap(source: str, cases: str, pop: str, tie: str, origin: bool, hashed: bool = False) -> str:
     key = f"concat_ws('|', '{CHECK_SEED}', year_dx, province, sp, rep, d)"
+    picked = f"SELECT {STRATA}, rep, d, ('0x' || substr(md5({key}), 1, 8))::BIGINT % n AS pick FROM draws"
+    if hashed:
+        key = f"('0x' || substr(md5(concat_ws('|', '{CHECK_SEED}', year_dx, province, sp, rep)), 1, 15))::BIGINT"
+        seeded = _xxh64("reps", key, "42")
+        drawn = _xxh64(f"(SELECT * EXCLUDE (_x), _x AS _seed, unnest(range(n)) AS d FROM {seeded})", "d", "_seed")
+        picked = f"SELECT {STRATA}, rep, d, ((_x >> 1)::BIGINT % n)::BIGINT AS pick FROM {drawn}"
     start = "0" if origin else "NULL"
     return f"""numbered AS (
       SELECT {STRATA}, {cases} AS c, {pop} AS p,
@@ -275,7 +309,7 @@ def _bootstrap(source: str, cases: str, pop: str, tie: str, origin: bool) -> str
     sizes AS (SELECT {STRATA}, count(*) AS n FROM numbered GROUP BY {STRATA}),
     reps AS (SELECT *, unnest(range({CHECK_REPLICATES})) AS rep FROM sizes),
     draws AS (SELECT *, unnest(range(n)) AS d FROM reps),
-    picked AS (SELECT {STRATA}, rep, d, ('0x' || substr(md5({key}), 1, 8))::BIGINT % n AS pick FROM draws),
+    picked AS ({picked}),
     drawn AS (
       SELECT {STRATA}, rep, pick, d,
              sum(c) OVER w / nullif(sum(c) OVER t, 0) AS c_i, sum(p) OVER w / nullif(sum(p) OVER t, 0) AS p_i
@@ -295,6 +329,9 @@ DISTRICT_BOOT = _bootstrap("rates", '"case"', "pop", "city", True)
 DISTRICT_BOOT_PARITY = _bootstrap("rates", '"case"', "pop", "city", False)
 UNIT_TIE = "city, health_unit NULLS LAST, pad"
 UNIT_BOOT = _bootstrap("padded", "case_hu", "pop_hu", UNIT_TIE, True)
+DISTRICT_BOOT_HASHED = _bootstrap("rates", '"case"', "pop", "city", True, True)
+UNIT_BOOT_HASHED = _bootstrap("padded", "case_hu", "pop_hu", UNIT_TIE, True, True)
+UNIT_BOOT_PARITY_HASHED = _bootstrap("padded", "case_hu", "pop_hu", UNIT_TIE, False, True)
 UNIT_BOOT_PARITY = _bootstrap("padded", "case_hu", "pop_hu", UNIT_TIE, False)
 
 PEOPLE = f"""admin AS (
@@ -561,6 +598,9 @@ ORACLES: dict[str, str] = {
     "bootstrap_ci_district_no_origin": _sql(INTERVAL, RATES, DISTRICT_BOOT_PARITY),
     "bootstrap_ci_unit": _sql(INTERVAL, UNITS, UNIT_BOOT),
     "bootstrap_ci_unit_no_origin": _sql(INTERVAL, UNITS, UNIT_BOOT_PARITY),
+    "bootstrap_replicates_district_hashed": _sql(f"SELECT {STRATA}, rep, round(g, 6) AS g FROM replicates", RATES, DISTRICT_BOOT_HASHED),
+    "bootstrap_replicates_unit_hashed": _sql(f"SELECT {STRATA}, rep, round(g, 6) AS g FROM replicates", UNITS, UNIT_BOOT_PARITY_HASHED),
+    "bootstrap_ci_unit_hashed": _sql(INTERVAL, UNITS, UNIT_BOOT_HASHED),
     "unit_type_mix": _sql(f"""
         SELECT year_dx, province, city, hu_type, "case", round("case" / sum("case") OVER (PARTITION BY {DISTRICT}), 6) AS share, ord
         FROM (SELECT {DISTRICT}, hu_type, count(*) AS "case" FROM line GROUP BY ALL) LEFT JOIN (

@@ -498,19 +498,17 @@ def top_units(spark, sf_dir):
 # --- Resampling -----------------------------------------------------------------------
 
 
-def _options(origin):
-    return {
-        "replicates": CHECK_REPLICATES, "seed": CHECK_SEED, "origin": origin, "draw": resample.digest_draw,
-    }
+def _options(origin, draw=resample.digest_draw):
+    return {"replicates": CHECK_REPLICATES, "seed": CHECK_SEED, "origin": origin, "draw": draw}
 
 
-def _district_replicates(spark, sf_dir, origin):
-    return heterogeneity.bootstrap_districts(_district_rates(spark, sf_dir), **_options(origin))
+def _district_replicates(spark, sf_dir, origin, **draw):
+    return heterogeneity.bootstrap_districts(_district_rates(spark, sf_dir), **_options(origin, **draw))
 
 
-def _unit_replicates(spark, sf_dir, origin):
+def _unit_replicates(spark, sf_dir, origin, **draw):
     padded = heterogeneity.padded_unit_rates(_unit_rates(spark, sf_dir))
-    return heterogeneity.bootstrap_units(padded, **_options(origin))
+    return heterogeneity.bootstrap_units(padded, **_options(origin, **draw))
 
 
 @query
@@ -538,6 +536,23 @@ def bootstrap_ci_unit_no_origin(spark, sf_dir):
     return resample.percentile_interval(_unit_replicates(spark, sf_dir, False), heterogeneity.STRATA, "g")
 
 
+@query
+def bootstrap_replicates_district_hashed(spark, sf_dir):
+    """With the generator that is the default."""
+    return _district_replicates(spark, sf_dir, True, draw=resample.hashed_draw)
+
+
+@query
+def bootstrap_replicates_unit_hashed(spark, sf_dir):
+    return _unit_replicates(spark, sf_dir, False, draw=resample.hashed_draw)
+
+
+@query
+def bootstrap_ci_unit_hashed(spark, sf_dir):
+    replicates = _unit_replicates(spark, sf_dir, True, draw=resample.hashed_draw)
+    return resample.percentile_interval(replicates, heterogeneity.STRATA, "g")
+
+
 # --- Profiles, orders, fits, maps ---------------------------------------------------------
 
 

@@ -137,20 +137,89 @@ def boot(spark, rows, **options):
     return resample.bootstrap_gini(df, ["s"], "c", "p", ["u"], replicates=20, **options)
 
 
+def xxh64(value, seed):
+    import struct
+
+    import xxhash
+    return xxhash.xxh64_intdigest(struct.pack("<q", value), seed)
+
+
+def word(*values):
+    h = 42
+    for value in values:
+        h = xxh64(value, h)
+    return h
+
+
+def binomial(key, count, left, size, node):
+    """The splitting of draws as stated: bits of a uniform number against those of left / size."""
+    if left >= size or left <= 0:
+        return count if left >= size else 0
+    u, s, r = count, 0, left
+    for j in range(1, 64):
+        bits = [word(key, node, j, i) & (2**64 - 1 if i < u // 64 else 2 ** (u % 64) - 1) for i in range(u // 64 + 1)]
+        k = sum(b.bit_count() for b in bits)
+        u, s, r = (u - k, s + k, 2 * r - size) if 2 * r >= size else (k, s, 2 * r)
+    return s
+
+
+def drawn_units(stratum, rep, n, block_units, seed=13):
+    """Numbers of the units that a replicate draws."""
+    import hashlib
+    key = int(hashlib.md5(f"{seed}|{stratum}|{rep}".encode()).hexdigest()[:15], 16)
+    blocks = -(-n // block_units)
+    counts, depth = [n], (blocks - 1).bit_length()
+    for t in range(depth):
+        width, out = 1 << (depth - t), []
+        for q, c in enumerate(counts):
+            low, mid, high = (min(n, int(x * block_units)) for x in (q * width, q * width + width // 2, (q + 1) * width))
+            k = binomial(key, c, mid - low, high - low, (1 << t) + q) if high > low else 0
+            out += [k, c - k] if high > low else [0, 0]
+        counts = out
+    picks = []
+    for b, m in enumerate(counts):
+        size = min(block_units, n - b * block_units)
+        picks += [b * block_units + (word(key, (b << 32) + d) >> 1) % size for d in range(m)]
+    return picks
+
+
 @pytest.mark.parametrize("origin", [True, False])
-def test_bootstrap_is_the_same_in_place_in_chunks_and_on_more_partitions(spark, origin):
+@pytest.mark.parametrize("block_units", [4096, 16, 7])
+def test_bootstrap_equals_brute_force_splitting(spark, origin, block_units):
     rows = random_units(4, strata=3, n=30)
-    inline = {(r.s, r.rep): r.g for r in boot(spark, rows, origin=origin).collect()}
-    assert len(inline) == 60
-    chunked = boot(spark, rows, origin=origin, inline_units=5, units_per_block=7, draws_per_chunk=11)
-    for r in chunked.collect():
-        assert r.g == pytest.approx(inline[(r.s, r.rep)], abs=1e-12)
+    got = {(r.s, r.rep): r.g for r in boot(spark, rows, origin=origin, block_units=block_units).collect()}
+    assert len(got) == 60
+    for s, group in by_stratum(rows).items():
+        ranked = sorted(group, key=lambda x: (-(x[1] / x[2]), x[0]))
+        for rep in range(20):
+            picks = drawn_units(s, rep, len(ranked), block_units)
+            assert len(picks) == len(ranked)
+            names = [f"{i:05d}" for i in sorted(picks)]
+            c, p = ([ranked[i][k] for i in sorted(picks)] for k in (1, 2))
+            assert got[(s, rep)] == pytest.approx(brute(c, p, origin, names), abs=1e-12)
     spark.conf.set("spark.sql.shuffle.partitions", "13")
     try:
-        again = {(r.s, r.rep): r.g for r in boot(spark, rows, origin=origin).collect()}
+        again = {(r.s, r.rep): r.g for r in boot(spark, rows, origin=origin, block_units=block_units).collect()}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
-    assert again == pytest.approx(inline, abs=1e-12)
+    assert again == pytest.approx(got, abs=1e-12)
+
+
+def test_split_counts_have_the_shares_of_their_blocks(spark):
+    """Mean and variance of the draws a block gets, against the binomial ones."""
+    rows = spark.range(4000).select(F.xxhash64("id").alias("_key"), F.lit(1000).cast("long").alias("n"), F.lit(7).alias("b"))
+    counts = np.array([r[0] for r in rows.select(resample.block_counts("n", "b", 150)).collect()])
+    assert (counts.sum(1) == 1000).all() and (counts[:, 7:] == 0).all()
+    share = np.array([150] * 6 + [100]) / 1000
+    error = np.sqrt(1000 * share * (1 - share) / 4000)
+    assert (np.abs(counts.mean(0)[:7] - 1000 * share) < 4.5 * error).all()
+    assert np.allclose(counts.var(0)[:7], 1000 * share * (1 - share), rtol=0.12)
+
+
+def test_bootstrap_has_no_row_for_a_draw(spark):
+    rows = random_units(4, strata=2, n=40)
+    plan = boot(spark, rows)._jdf.queryExecution().toString()
+    assert "Cartesian" not in plan and plan.count("Generate explode") <= 2 * 3
 
 
 def test_bootstrap_without_broadcast(spark, monkeypatch):
@@ -160,6 +229,17 @@ def test_bootstrap_without_broadcast(spark, monkeypatch):
     assert {(r.s, r.rep): r.g for r in boot(spark, rows).collect()} == pytest.approx(expected, abs=1e-12)
 
 
+def test_bootstrap_of_unknown_values_and_single_units(spark):
+    rows = [("one", "u", 3.0, 10.0), ("zero", "u", 0.0, 10.0), ("zero", "v", 0.0, 5.0), ("unknown", "u", None, 5.0), (None, "u", 1.0, 5.0), (None, "v", 4.0, 5.0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for origin in (True, False):
+        out = resample.bootstrap_gini(df, ["s"], "c", "p", ["u"], replicates=9, origin=origin).collect()
+        g = {s: [r.g for r in out if r.s == s] for s in ("one", "zero", "unknown", None)}
+        assert all(len(v) == 9 for v in g.values()) and set(g["zero"]) == {None} == set(g["unknown"])
+        assert g["one"] == [pytest.approx(0) if origin else None] * 9
+        assert all(x is not None for x in g[None])
+
+
 def test_bootstrap_equals_brute_force_draws(spark):
     rows = random_units(7, strata=2, n=15)
     out = {(r.s, r.rep): r.g for r in boot(spark, rows, draw=resample.digest_draw).collect()}
