@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import functools
+import pickle
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caseweave.llm.shared import store
+from caseweave.llm.shared import open_folder, shared_path, store
 from caseweave.llm.words import Words, blocks, words_of
 
 WIDTH = 5
@@ -130,8 +132,12 @@ def build_index(ids: list, items: list[tuple[int, np.ndarray]], containment: flo
     return ItemIndex(ids, sizes, least, np.array([need for _, need in plans], np.int64), by_width)
 
 
-def item_blocks(items: DataFrame, limit: int = ITEM_SHINGLES, containment: float = CONTAINMENT) -> list[ItemIndex]:
-    """Indexes of blocks of items with about ``limit`` shingles each (16 MB), the unit that is sent to all tasks."""
+def item_blocks(items: DataFrame, limit: int = ITEM_SHINGLES, containment: float = CONTAINMENT) -> tuple[DataFrame, list[str]]:
+    """item_id, item (stands for its set of shingles) and item_shingles; and files of the indexes of blocks of items.
+
+    Equal sets are one entry, so copies of an item neither fill a block nor repeat its work. Blocks of
+    about ``limit`` shingles (16 MB) are built and written by tasks; only the names of the files come to the driver.
+    """
     source = items.select("item_id", F.col("text").cast("string").alias("text"))
     schema = T.StructType([
         source.schema["item_id"], T.StructField("width", T.IntegerType()),
@@ -146,17 +152,33 @@ def item_blocks(items: DataFrame, limit: int = ITEM_SHINGLES, containment: float
                 pa.array([s.tobytes() for _, s in found], pa.binary()), pa.array([len(s) for _, s in found], pa.int64()),
             ], names=schema.names)
 
-    kept = store(source.mapInArrow(shingle, schema).filter("size > 0"), "items")
-    total = kept.agg(F.sum("size")).first()[0] or 0
-    count = -(-total // limit)
-    out = []
-    for number in range(count):
-        rows = kept.filter(F.pmod(F.xxhash64("shingles"), F.lit(count)) == number).collect()
-        rows.sort(key=lambda r: (r.item_id is None, r.item_id if r.item_id is not None else 0, r.shingles))
-        if rows:
-            pairs = [(r.width, np.frombuffer(r.shingles, np.uint64)) for r in rows]
-            out.append(build_index([r.item_id for r in rows], pairs, containment))
-    return out
+    kept = source.mapInArrow(shingle, schema).filter("size > 0").withColumn("item", F.unhex(F.md5(F.concat("shingles", F.encode(F.col("width").cast("string"), "UTF-8")))))
+    kept = store(kept, "items")
+    sets = kept.groupBy("item").agg(F.first("width").alias("width"), F.first("shingles").alias("shingles"), F.first("size").alias("size"))
+    sets = store(sets, "sets")
+    total = sets.agg(F.sum("size")).first()[0] or 0
+    folder = shared_path(items.sparkSession, "items-index")
+
+    def build(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("item", "width", "shingles"))))
+        index = build_index([r[0] for r in rows], [(r[1], np.frombuffer(r[2], np.uint64)) for r in rows], containment)
+        system, base = open_folder(folder)
+        system.create_dir(base, recursive=True)
+        name = f"{uuid.uuid4().hex}.index"  # a repeated task writes a file of its own
+        with system.open_output_stream(f"{base}/{name}") as out:
+            out.write(pickle.dumps(index))
+        return pa.table({"path": [f"{folder}/{name}"]})
+
+    numbered = sets.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(max(1, -(-total // limit)))))
+    written = store(numbered.groupBy("block").applyInArrow(build, "path string"), "blocks")
+    return kept.select("item_id", "item", F.col("size").alias("item_shingles")), sorted(r.path for r in written.collect())
+
+
+@functools.lru_cache(maxsize=1)
+def _opened(path: str) -> ItemIndex:
+    system, place = open_folder(path)
+    with system.open_input_stream(place) as file:
+        return pickle.loads(file.read())
 
 
 def contained_items(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT, limit: int = ITEM_SHINGLES) -> DataFrame:
@@ -166,37 +188,37 @@ def contained_items(docs: DataFrame, items: DataFrame, containment: float = CONT
     shingle of all its words. A whole-document MinHash signature cannot find an item in a long document (their
     similarity is the ratio of their sizes), so the sketch is the item's: partitioned by size, its smallest
     hashes are looked up among all windows of a document, and the candidates are verified in the same task.
-    Nothing is shuffled; the items go to all tasks in blocks of bounded size, one pass over the documents for each.
+    The documents are not shuffled; every task reads the stored blocks of items one after another, one pass over the
+    documents for each. Hashes have 64 bits.
 
     Texts or items that are null or have no words match nothing. Repeated documents, or items, give a row each
-    (rows equal in both ids and counts appear as often). Other columns are ignored; an empty table gives no rows.
-    Returns doc_id, item_id, item_shingles, shared, containment.
+    (rows equal in both ids and counts appear as often). Other columns are ignored; an empty table gives no rows. Ids may
+    have any type. Returns doc_id, item_id, item_shingles, shared, containment.
     """
     source = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    schema = T.StructType([
-        source.schema["doc_id"], items.schema["item_id"], T.StructField("item_shingles", T.LongType()),
-        T.StructField("shared", T.LongType()), T.StructField("containment", T.DoubleType()),
-    ])
-    arrow_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[items.schema["item_id"].dataType.simpleString()]
+    schema = T.StructType([source.schema["doc_id"], T.StructField("item", T.BinaryType()), T.StructField("shared", T.LongType())])
 
-    def search(index: ItemIndex, batches):
+    def search(path: str, batches):
+        index = _opened(path)
         for rows, data, offsets in blocks(batches):
             text, item, shared = index.matches(data, offsets)
-            sizes = index.sizes[item]
             yield pa.RecordBatch.from_arrays([
-                rows.column(0).take(pa.array(text)), pa.array([index.ids[i] for i in item], arrow_id),
-                pa.array(sizes), pa.array(shared.astype(np.int64)), pa.array(shared / np.maximum(sizes, 1)),
+                rows.column(0).take(pa.array(text)), pa.array([index.ids[i] for i in item], pa.binary()), pa.array(shared.astype(np.int64)),
             ], names=schema.names)
 
-    parts = [source.mapInArrow(functools.partial(search, index), schema) for index in item_blocks(items, limit, containment)]
-    return functools.reduce(DataFrame.unionAll, parts, docs.sparkSession.createDataFrame([], schema))
+    listed, paths = item_blocks(items, limit, containment)
+    parts = [source.mapInArrow(functools.partial(search, path), schema) for path in paths]
+    found = functools.reduce(DataFrame.unionAll, parts, docs.sparkSession.createDataFrame([], schema))
+    share = F.col("shared") / F.col("item_shingles")
+    return found.join(listed, "item").select("doc_id", "item_id", "item_shingles", "shared", share.alias("containment"))
 
 
 def without_items(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT, limit: int = ITEM_SHINGLES) -> DataFrame:
     """Documents that hold no test item, all columns as they came; the search of ``contained_items``."""
     text_at, schema = docs.columns.index("text"), docs.schema
 
-    def clean(index: ItemIndex, batches):
+    def clean(path: str, batches):
+        index = _opened(path)
         for batch in batches:
             for rows, data, offsets in blocks([batch], batch.schema.names[text_at]):
                 text, _, _ = index.matches(data, offsets)
@@ -204,6 +226,6 @@ def without_items(docs: DataFrame, items: DataFrame, containment: float = CONTAI
                 keep[text] = False
                 yield rows.filter(pa.array(keep))
 
-    for index in item_blocks(items, limit, containment):
-        docs = docs.mapInArrow(functools.partial(clean, index), schema)
+    for path in item_blocks(items, limit, containment)[1]:
+        docs = docs.mapInArrow(functools.partial(clean, path), schema)
     return docs

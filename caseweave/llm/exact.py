@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseweave.llm.shared import store
+from caseweave.llm.shared import join_groups, store
 
 SLOTS_PER_ROW = 16
 MAX_SLOTS = 1 << 26
@@ -23,6 +23,7 @@ def exact_duplicates(docs: DataFrame, max_slots: int = MAX_SLOTS) -> DataFrame:
     They are packed into 64-bit words and broadcast: at most ``HASHES * max_slots / 64`` pairs of
     longs (2 million at the default), whatever the input. Pass 2 tests every row. A row with a slot of
     its own is unique and passes straight on; only the others are shuffled, and grouped exactly.
+    The rows of hot groups stay where they are (``join_groups``).
     A fuller filter (more rows than ``max_slots / 16``) lets more unique rows be shuffled and changes no result.
 
     Needs ``doc_id`` and ``text``; other columns are ignored. Null text counts as empty, and equal empty
@@ -58,8 +59,10 @@ def exact_duplicates(docs: DataFrame, max_slots: int = MAX_SLOTS) -> DataFrame:
     )
     # Rows repeated with the same id are counted first, then groups: both with partial sums before the shuffle.
     members = tested.filter("suspect").groupBy("text_sha256", "doc_id").agg(F.count(F.lit(1)).alias("copies"))
-    groups = members.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
-    resolved = members.join(groups, "text_sha256").withColumn("copy", F.explode(F.expr("sequence(1L, copies)")))
+    members = store(members, "members")
+    groups = members.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"), F.count(F.lit(1)).alias("rows"))
+    resolved = join_groups(members, store(groups, "groups"), "text_sha256", "rows")
+    resolved = resolved.withColumn("copy", F.explode(F.expr("sequence(1L, copies)")))
     resolved = resolved.select(
         "doc_id", "keep_id", "group_size",
         (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "text_sha256",

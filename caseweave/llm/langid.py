@@ -17,6 +17,11 @@ ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
 ROWS_PER_LANGUAGE = 400
 LANDMARKS_PER_LANGUAGE = 40
+# The sample and the landmarks of all languages together; with more languages each has fewer.
+SAMPLE_ROWS = 16_000
+LANDMARKS = 2_000
+# Languages that are learned: those with most labelled documents.
+LANGUAGES = 1_000
 RIDGE = 1e-3
 PART_GROUPS = 64
 UNKNOWN = "und"
@@ -79,6 +84,7 @@ def fit(found: np.ndarray, languages: list[str], per_language: int = LANDMARKS_P
     if not len(found):
         return None
     names = sorted(set(languages))
+    per_language = max(1, min(per_language, LANDMARKS // len(names)))
     label = np.array([names.index(x) for x in languages])
     chosen = np.concatenate([np.flatnonzero(label == i)[:per_language] for i in range(len(names))])
     columns = np.flatnonzero(found[chosen].any(0))
@@ -119,11 +125,17 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> Model | None:
     """Learn from a bounded sample: of every language the ``rows`` ids with the smallest hashes, one text for each.
 
+    Many languages share ``SAMPLE_ROWS`` rows and ``LANDMARKS`` landmarks, and of more than ``LANGUAGES`` labels those with most
+    documents are learned (ties: the first in code point order), so junk labels cannot fill the driver.
     The sample is chosen on distinct (doc_id, lang) alone, and of rows that repeat one the text with the least hash
     is taken, of those that have a letter; the texts become bit rows of 4 kB on the executors, so the driver gets
-    ``rows`` times 4 kB for each language. Null for a table without labelled, lettered texts.
+    ``SAMPLE_ROWS`` times 4 kB at most. Null for a table without labelled, lettered texts.
     """
     usable = docs.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+    labels = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES + 1).collect()
+    if len(labels) > LANGUAGES:
+        usable = usable.filter(F.col("lang").isin([r.lang for r in labels[:LANGUAGES]]))
+    rows = max(1, min(rows, SAMPLE_ROWS // max(1, min(len(labels), LANGUAGES))))
     order = [F.xxhash64(F.col("doc_id").cast("string")), F.col("doc_id")]
     # The smallest of each group of input parts first, so that a hot language is no single task.
     chosen = usable.select("doc_id", "lang", (F.spark_partition_id() % PART_GROUPS).alias("parts")).distinct()
@@ -189,14 +201,27 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     return source.mapInArrow(predict, schema)
 
 
-def identified_only(docs: DataFrame, least: float) -> DataFrame:
-    """Documents in one of the learned languages with a score of at least ``least``; columns as they came.
+def score_floor(languages: int, margin: float) -> float:
+    """The score that lies ``margin`` of the way from the least a winner can have to 1.
 
-    If there is nothing to learn from, no document can be judged and all stay.
+    The values of all languages sum to 2 - ``languages``, so the winner's score is never below 1 / ``languages``, and a text
+    that no landmark resembles comes close to that.
+    """
+    floor = 1 / languages
+    return floor + margin * (1 - floor)
+
+
+def identified_only(docs: DataFrame, margin: float) -> DataFrame:
+    """Documents in one of the learned languages with a score of at least ``score_floor``; columns as they came.
+
+    Documents without a letter go. If there is nothing to learn from, no document can be judged and all stay, and with a
+    single language its texts cannot be told from others, so all with a letter stay. Repeated rows are judged alike,
+    an empty table stays empty, and extra columns of any name pass through.
     """
     model = train(docs)
     if model is None:
         return docs
+    least = score_floor(len(model.languages), margin) if len(model.languages) > 1 else 0.0
     names, schema = docs.columns, docs.schema
 
     def keep(batches):

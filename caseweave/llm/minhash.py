@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseweave.llm.components import components
-from caseweave.llm.shared import distinct_texts, store, text_key
+from caseweave.llm.shared import distinct_texts, join_groups, store, text_key, unused
 from caseweave.llm.words import Words, blocks, mix, words_of
 
 WIDTH = 5
@@ -148,8 +148,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     The pairs of one ``a`` are cut into groups of about ``GROUP``, each of which gets the text of ``a`` once, so a
     text with very many partners is no single task. Only texts that are in a pair are moved.
     """
-    many = pairs.groupBy("a").agg((F.count(F.lit(1)) / GROUP).cast("int").alias("more"))
-    pairs = pairs.join(many, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("more") + 1))
+    many = store(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("partners")), "centres")
+    pairs = join_groups(pairs, many, "a", "partners")
+    pairs = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.expr("partners div %d" % GROUP) + 1).cast("int"))
     wanted = pairs.select("a", "part", F.col("b").alias("key")).withColumn("member", F.lit(True))
     wanted = wanted.unionAll(pairs.select("a", "part").distinct().select("a", "part", F.col("a").alias("key"), F.lit(False)))
     rows = wanted.join(texts.select("key", "text"), "key").repartition("a", "part").sortWithinPartitions("a", "part", "member")
@@ -332,18 +333,19 @@ def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFr
     members = members.join(classes, "key", "left")
     members = members.withColumn("component", F.coalesce("component", "key"))
     members = store(members.select("doc_id", "key", "component", "times"), "members")
-    groups = members.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.sum("times").alias("class_size"))
+    groups = members.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.sum("times").alias("class_size"), F.count(F.lit(1)).alias("rows"))
     # A kept row is one of the texts with the least id, should several texts carry it.
     one = members.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("one"))
-    groups = groups.join(one, "component")
-    out = members.join(groups, "component").withColumn("copy", F.explode(F.expr("sequence(1L, times)")))
+    groups = store(groups.join(one, "component"), "groups")
+    out = join_groups(members, groups, "component", "rows").withColumn("copy", F.explode(F.expr("sequence(1L, times)")))
     kept = (F.col("copy") == 1) & F.col("doc_id").eqNullSafe(F.col("one.doc_id")) & (F.col("key") == F.col("one.key"))
     return out.select("doc_id", "class_id", "class_size", kept.alias("kept"), F.col("key"))
 
 
 def without_near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """One document of each class of ``near_duplicate_classes``, columns as they came; of repeated rows one stays."""
-    chosen = near_duplicate_classes(docs, least).filter("kept").select(F.col("doc_id").alias("__id"), F.col("key").alias("__of"))
-    rows = docs.withColumn("__key", text_key())
-    found = rows.join(chosen, (F.col("__key") == F.col("__of")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return found.dropDuplicates(["doc_id", "__key"]).drop("__key")
+    key, own, of = unused(docs, "key"), unused(docs, "id"), unused(docs, "of")
+    chosen = near_duplicate_classes(docs, least).filter("kept").select(F.col("doc_id").alias(own), F.col("key").alias(of))
+    rows = docs.withColumn(key, text_key())
+    found = rows.join(chosen, (F.col(key) == F.col(of)) & F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")
+    return found.dropDuplicates(["doc_id", key]).drop(key)

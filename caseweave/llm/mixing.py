@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caseweave.llm.shared import store, with_offsets
+from caseweave.llm.shared import partitions, store, unused, with_offsets
 from caseweave.llm.words import blocks, words_of
 
 BLOCK_WORDS = 64
@@ -174,6 +174,8 @@ def mix_sources(
 
     schema = "shard long, source_no long, slot long, turn long, block long"
     numbered = counted.filter("slots > 0").select("shard", "source_no", "slots", "first", "n_blocks")
+    # Few, narrow rows that turn into many: dealt by an explicit number, which adaptive execution keeps.
+    numbered = numbered.repartition(partitions(docs.sparkSession), "shard", "source_no")
     numbered = numbered.mapInPandas(number, schema)
     return Mixture(placed, numbered.join(parts, ["source_no", "block"]))
 
@@ -195,12 +197,13 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     ``n_chars``, if there, is counted anew; other columns stay. Documents without words, and those that no pass
     takes, are left out. Options and edge cases are those of ``mix_sources``.
     """
-    rows = store(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    pieces = mix_sources(rows, carry=["__row"], **options).pieces
-    taken = pieces.groupBy("__row", "turn").agg(
-        F.sort_array(F.collect_list(F.struct("word_start", "word_end"))).alias("__taken")
+    row, taken_at = unused(docs, "row"), unused(docs, "taken")
+    rows = store(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    pieces = mix_sources(rows, carry=[row], **options).pieces
+    taken = pieces.groupBy(row, "turn").agg(
+        F.sort_array(F.collect_list(F.struct("word_start", "word_end"))).alias(taken_at)
     )
-    joined = rows.join(taken.drop("turn"), "__row").select(*[F.col(f"`{c}`") for c in docs.columns], "__taken")
+    joined = rows.join(taken.drop("turn"), row).select(*[F.col(f"`{c}`") for c in docs.columns], taken_at)
     names, schema = docs.columns, docs.schema
     text_at = names.index("text")
 

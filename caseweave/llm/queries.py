@@ -3,21 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from pathlib import Path
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from caseweave.llm import audit, decontaminate, exact, html_text, langid, minhash, mixing, spelling, substrings, suffixes, tokens, urls, warc
+from caseweave.llm.shared import ship_package
 
-TOKENIZERS = "/opt/tokenizers"
-ROOT = str(Path(__file__).resolve().parents[2])
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    # Local workers import the package from where the driver did; a cluster gets it with --py-files.
-    spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -58,7 +57,7 @@ def op8_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.token_table(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return tokens.token_table(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

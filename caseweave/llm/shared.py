@@ -2,21 +2,62 @@
 
 from __future__ import annotations
 
+import io
 import uuid
-from collections.abc import Sequence
+import zipfile
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from pathlib import Path
 
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from caseweave import session
+
+_tables: list[str] = []
+_shipped: set[str] = set()
+
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below ``spark.checkpoint.dir``; a session that names no such folder is refused."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return session.new_table_path(spark, name)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Keep what operators write inside the block in a folder of its own; at the end it goes, and its tables leave the catalog.
+
+    Results must be written or collected inside the block.
+    """
+    known = len(_tables)
+    with session.scratch(spark) as folder:
+        try:
+            yield folder
+        finally:
+            for name in _tables[known:]:
+                spark.sql(f"DROP TABLE IF EXISTS {name}")
+            del _tables[known:]
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each application, so that they need no path of the driver."""
+    if spark.sparkContext.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parents[1]
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as file:
+        for path in sorted(root.rglob("*.py")):
+            file.write(path, str(path.relative_to(root.parent)))
+    folder = spark.conf.get("spark.checkpoint.dir", None) or session.shared_folder(spark)
+    uri = f"{folder.rstrip('/')}/{root.name}-{uuid.uuid4().hex}.zip"
+    system, place = open_folder(uri)
+    system.create_dir(place.rsplit("/", 1)[0], recursive=True)
+    with system.open_output_stream(place) as out:
+        out.write(packed.getvalue())
+    spark.sparkContext.addPyFile(uri)
+    _shipped.add(spark.sparkContext.applicationId)
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
@@ -31,6 +72,7 @@ def store_by(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd").option("path", shared_path(spark, name))
+    _tables.append(table)
     writer.bucketBy(buckets, key).saveAsTable(table)
     return spark.table(table)
 
@@ -85,6 +127,14 @@ def with_offsets(df: DataFrame, by: Sequence[str], order: Sequence[str], value:
     return joined.select(*df.columns, (F.col("_local") + F.col("_shift")).alias(name))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {column.lower() for column in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 HOT_KEYS = 1000
 
 

@@ -28,9 +28,9 @@ def levels(first: int, window: int) -> list[int]:
     return out
 
 
-def _hashes(words, hashes: np.ndarray, width: int) -> np.ndarray:
+def _hashes(words, hashes: np.ndarray, width: int, base: int = 0xB5297A4D3F84D5B5) -> np.ndarray:
     """Window hashes at all positions, those across two texts included."""
-    sums, powers = rolling(hashes, 0xB5297A4D3F84D5B5)
+    sums, powers = rolling(hashes, base)
     raw = (sums[width:] - sums[:-width]) * powers.down[: len(hashes) - width + 1]
     raw = (raw ^ (raw >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(width)
     return np.maximum((raw ^ (raw >> np.uint64(29))) * np.uint64(0x9FB21C651E98DF25), 1)
@@ -59,7 +59,12 @@ def _seeds(window: int, before: int | None, width: int, part: pa.RecordBatch, da
     least = np.where(alive, slide(value, span, np.minimum), np.uint64(0))
     at = np.flatnonzero(chosen_minima(value, least, span))
     text = words.text_of[at]
-    return text, at - words.first[text], value[at]
+    found = value[at]
+    if width == window:
+        # What is removed rests on two independent hashes of the words and of the window.
+        other = _hashes(words, words.hashes(seed=1), width, 0xA0761D6478BD642F)[at]
+        found = np.frombuffer(np.stack([found, other], 1).tobytes(), "S16")
+    return text, at - words.first[text], found
 
 
 def repeated_word_windows(texts: DataFrame, groups: int, window: int = WINDOW, first: int = FIRST) -> DataFrame:
@@ -69,7 +74,7 @@ def repeated_word_windows(texts: DataFrame, groups: int, window: int = WINDOW, f
         source = texts.select("key", "text")
         if found is not None:
             source = texts.join(found, "key").select("key", "text", "at")
-        found = store(repeated_windows(source, functools.partial(_seeds, window, before, width), groups), "level")
+        found = store(repeated_windows(source, functools.partial(_seeds, window, before, width), groups, "S16" if width == window else "<u8"), "level")
         before = width
     return found
 
@@ -79,7 +84,7 @@ def without_repeated_windows(docs: DataFrame, window: int = WINDOW, first: int =
 
     Lengths 9, 18 and 35: a text sends the windows of one length that stand for what is left of it, and only what is
     repeated at this length is looked at again at twice that length. Copies of a whole text are one text with a
-    count; if it has a full window, all its words go. Hashes have 64 bits.
+    count; if it has a full window, all its words go. Hashes have 64 bits, those of full windows 128.
 
     Null text has no words. Repeated rows are copies. An empty table gives no rows; other columns are ignored.
     Returns doc_id, n_words, n_removed, kept_sha256, kept_text (the kept words, one space between).

@@ -7,13 +7,14 @@ import re
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from caseweave.llm import components, decontaminate, exact, html_text, langid, minhash, mixing, substrings, suffixes, tokens, warc, words
 
-BPE = "/opt/tokenizers/byte_bpe_50k.json"
+BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def split(text):
