@@ -4,20 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from caseweave.llm import decontaminate, langid, minhash, mixing, tokens
 from caseweave.llm.shared import shared_path
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
-LEAST_SCORE = 0.3
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+# How far from an even guess to certainty a score must be (see langid.score_floor).
+LEAST_MARGIN = 0.15
 # No SQL: learned scores, multinomial draws and token ids cannot be written in it.
 ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are in none of the learned languages go: no letters, or no language's score reaches ``LEAST_SCORE``."""
-    return langid.identified_only(docs, LEAST_SCORE)
+    """Documents that are in none of the learned languages go: no letters, or no language's score is ``LEAST_MARGIN`` above an even guess."""
+    return langid.identified_only(docs, LEAST_MARGIN)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
