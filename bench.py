@@ -5,12 +5,11 @@ from __future__ import annotations
 import json
 import os
 import statistics
-import tempfile
 import time
 
 from caseweave.operators import resample
 from caseweave.plans import heterogeneity
-from caseweave.session import local_session
+from caseweave.session import local_session, scratch
 from caseweave.workload import queries as registered
 
 REPLICATES = 10_000
@@ -37,24 +36,39 @@ def bootstrap_unit(spark, folder):
     return resample.percentile_interval(replicates, heterogeneity.STRATA, "g")
 
 
+def totals(spark) -> dict[str, float]:
+    """Work of the session so far: MB read from files, MB shuffled, tasks."""
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    listed = [executors.apply(i) for i in range(executors.size())]
+    return {
+        "input_mb": sum(e.totalInputBytes() for e in listed) / 1e6,
+        "shuffle_mb": sum(e.totalShuffleWrite() for e in listed) / 1e6,
+        "tasks": sum(e.totalTasks() for e in listed),
+    }
+
+
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = local_session("bench", cpus, int(cpus) if cpus.isdigit() else 8)
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="bench-"))
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        # A run on one machine: the folder that all executors share is a local one.
+        spark.sparkContext.setCheckpointDir(os.path.join(os.environ.get("TMPDIR", "/tmp"), "caseweave-bench"))
     runs = {name: registered.queries()[name] for name in HEADLINE}
     runs["bootstrap_district_10000"] = bootstrap_district
     runs["bootstrap_unit_10000"] = bootstrap_unit
     # The first query of a session pays for starting it.
     runs[HEADLINE[0]](spark, folder).write.format("noop").mode("overwrite").save()
-    seconds = {}
+    seconds, work = {}, {}
     for name, run in runs.items():
         times = []
         for _ in range(PASSES):
-            start = time.perf_counter()
-            run(spark, folder).write.format("noop").mode("overwrite").save()
+            before, start = totals(spark), time.perf_counter()
+            with scratch(spark):
+                run(spark, folder).write.format("noop").mode("overwrite").save()
             times.append(time.perf_counter() - start)
+        after = totals(spark)
+        work[name] = {key: round(after[key] - before[key], 2) for key in after}
         # The last pass runs on a warm JVM.
         seconds[name] = round(statistics.median(times[1:] or times), 3)
     print(json.dumps({
@@ -62,6 +76,7 @@ def main() -> None:
         "value": round(sum(seconds.values()), 3),
         "unit": "sec",
         "queries": seconds,
+        "work_of_last_pass": work,
         "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf"),
     }))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from caseweave.operators.concentration import curve_rate
 from caseweave.operators.running import lookup, running_totals
-from caseweave.session import pin
+from caseweave.session import stored
 
 # Units of one block: its cases and populations are two arrays in a row.
 BLOCK_UNITS = 4096
@@ -95,8 +95,9 @@ def _resampled(draw: Draw, seed: int, strata: Sequence[str]) -> Column:
         place = F.shiftleft(F.col("_block"), 32) + number
         return F.pmod(draw(seed, strata, F.col("rep"), place), F.size("_cs").cast("long")).cast("int")
 
-    picks = F.array_sort(F.transform(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1), pick))
-    zero = F.struct(F.lit(0.0).alias("c"), F.lit(0.0).alias("p"), F.lit(0.0).alias("a"), F.lit(-1).alias("first"))
+    # sort_array sorts the numbers as an array of int, array_sort would call a comparator.
+    picks = F.sort_array(F.transform(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1), pick))
+    zero = F.struct(F.lit(0.0).alias("c"), F.lit(0.0).alias("p"), F.lit(0.0).alias("a"))
 
     def add(state: Column, i: Column) -> Column:
         case, people = F.get("_cs", i), F.get("_ps", i)
@@ -104,10 +105,13 @@ def _resampled(draw: Draw, seed: int, strata: Sequence[str]) -> Column:
             (state["c"] + case).alias("c"),
             (state["p"] + people).alias("p"),
             (state["a"] + people * (2 * state["c"] + case)).alias("a"),
-            F.when(state["first"] < 0, i).otherwise(state["first"]).alias("first"),
         )
 
-    return F.aggregate(picks, zero, add)
+    def summed(drawn: Column) -> Column:
+        return F.struct(F.aggregate(drawn, zero, add).alias("of"), F.get(drawn, F.lit(0)).alias("first"))
+
+    # The lambda names the sorted array, so that it is made once.
+    return F.element_at(F.transform(F.array(picks), summed), 1)
 
 
 def bootstrap_gini(
@@ -145,7 +149,7 @@ def bootstrap_gini(
     numbered = running_totals(ranked, strata, order, {"_unit": F.lit(1)})
     numbered = numbered.withColumn("_block", F.expr(f"(_unit - 1) div {block_units}"))
     packed = numbered.groupBy(*strata, "_block").agg(F.array_sort(F.collect_list(F.struct("_unit", "_c", "_p"))).alias("_units"))
-    packed = pin(packed.select(*strata, "_block", F.col("_units._c").alias("_cs"), F.col("_units._p").alias("_ps")))
+    packed, _ = stored(packed.select(*strata, "_block", F.col("_units._c").alias("_cs"), F.col("_units._p").alias("_ps")))
     sizes = packed.groupBy(*strata).agg(F.sum(F.size("_cs")).cast("long").alias("_n"), F.count(F.lit(1)).alias("_b"))
     units = packed.agg(F.sum(F.size("_cs"))).first()[0] or 0
 
@@ -164,7 +168,7 @@ def bootstrap_gini(
         drawn = lookup(counted, packed.withColumn("_copy", F.explode(copies)), [*keys, "_copy"], "inner")
     sums = drawn.withColumn("_sums", _resampled(draw, seed, strata))
     first = [F.get(array, F.col("_sums.first")).alias(name) for array, name in (("_cs", "_fc"), ("_ps", "_fp"))]
-    sums = sums.select(*strata, "rep", "_block", "_m", *[F.col(f"_sums.{c}").alias(f"_{c}") for c in "cpa"], *first)
+    sums = sums.select(*strata, "rep", "_block", "_m", *[F.col(f"_sums.of.{c}").alias(f"_{c}") for c in "cpa"], *first)
 
     # A sum of blocks is unknown if one of them is.
     before = W.partitionBy(*strata, "rep").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)

@@ -24,11 +24,10 @@ def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "l
     return left.join(renamed, condition, how).drop(*[f"_r_{key}" for key in keys])
 
 
-def stratum_rows(df: DataFrame, strata: Sequence[str]) -> tuple[int, int]:
-    """Rows of all strata and of the largest: two numbers, counted by the executors over the key columns."""
+def largest_stratum(df: DataFrame, strata: Sequence[str]) -> int:
+    """Row count of the largest stratum: one number, counted by the executors over the key columns."""
     sizes = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("rows"))
-    total, largest = sizes.agg(F.sum("rows"), F.max("rows")).first()
-    return total or 0, largest or 0
+    return sizes.agg(F.max("rows")).first()[0] or 0
 
 
 def running_totals(
@@ -42,24 +41,22 @@ def running_totals(
     """Add running sums within ``strata`` in the given order, ties row by row.
 
     ``running`` holds the sums to run, ``whole`` sums over the complete stratum that
-    every row gets as well. Rows are summed inside blocks, and blocks are shifted by the totals of those
-    before them. A stratum of up to ``block_rows`` rows is one block, for which its own rows are enough: nothing is
-    written, and only the rows are counted beforehand. If some stratum is larger, rows are cut by ranges of
-    (strata, order) and written once with their block, so that the totals, which read three columns of
-    that table, and the rows see the same blocks. ``order`` should be unique within a stratum.
+    every row gets as well. The input is written once, and counted by that write. Rows are summed inside blocks, and blocks are
+    shifted by the totals of those before them. A stratum of up to ``block_rows`` rows is one block. If some stratum is
+    larger, rows are cut by ranges of (strata, order) and written with their block, so that the totals,
+    which read three columns of that table, and the rows see the same blocks. ``order`` should be unique within a stratum.
     """
     whole = whole or {}
     block_rows = block_rows or BLOCK_ROWS
     inputs = {f"_in_{name}": value for name, value in {**running, **whole}.items()}
-    rows = df.withColumns(inputs)
+    rows, total = stored(df.withColumns(inputs))
     # One struct key: equal when its NULL parts are, and shared by the window and the join.
     key = F.struct(*strata) if strata else F.lit(0)
-    total, largest = stratum_rows(df, strata)
-    cut = largest > block_rows
+    cut = total > block_rows and largest_stratum(rows, strata) > block_rows
     if cut:
         keys = [F.col(name).asc() for name in strata]
         ranged = rows.repartitionByRange(-(-total // block_rows), *keys, *order)
-        rows = stored(ranged.withColumn(_BLOCK, F.spark_partition_id()))
+        rows, _ = stored(ranged.withColumn(_BLOCK, F.spark_partition_id()))
     else:
         rows = rows.withColumn(_BLOCK, F.lit(0))
     rows = rows.withColumn(_KEY, key)

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from caseweave import codebooks as cb
 from caseweave.functions import dates, recode
-from caseweave.operators.checks import rejects
+from caseweave.operators.checks import first_reason, rejects
 from caseweave.operators.running import lookup
 from caseweave.sources.sizing import broadcast_if_few
 from caseweave.sources.tables import with_labels
@@ -63,9 +63,18 @@ def clean_line_list(
     years: Sequence[int] = cb.STUDY_YEARS,
     species_codes: Mapping[tuple[int, str], str] | None = None,
     sex_codes: Mapping[tuple[int, str], str] | None = None,
+    observed: Observation | None = None,
 ) -> DataFrame:
-    """Rows of the study area and years with the columns of the analysis table."""
+    """Rows of the study area and years with the columns of the analysis table.
+
+    ``observed`` is filled by the first action on the result: the rows that were left out by reason
+    (``rejected_rows``), and those that were kept, counted in the same pass.
+    """
     rows = recoded(raw, species_codes, sex_codes)
+    if observed is not None:
+        reason = first_reason(reject_reasons(provinces, years))
+        counts = [F.count_if(F.coalesce(reason == name, F.lit(False))).alias(name) for name in reject_reasons(provinces, years)]
+        rows = rows.observe(observed, *counts, F.count_if(reason.isNull()).alias("kept"))
     rows = rows.filter(F.col("province").isin(list(provinces)) & F.col("year_dx").isin(list(years)))
     return rows.withColumn("province", rename_province("province"))
 
@@ -75,14 +84,19 @@ def rename_province(column: str):
     return F.coalesce(recode.recode(column, cb.PROVINCE_RENAMES), F.col(column))
 
 
-def rejected_rows(raw: DataFrame, provinces: Sequence[str] = cb.PROVINCES, years: Sequence[int] = cb.STUDY_YEARS) -> DataFrame:
-    """Rows that the cleaning leaves out, with the reason."""
-    rows = recoded(raw).select("id", "province", "year_dx")
-    return rejects(rows, {
+def reject_reasons(provinces: Sequence[str], years: Sequence[int]) -> dict[str, Column]:
+    """Why a row is left out; the first reason that applies counts."""
+    return {
         "other province": ~F.coalesce(F.col("province").isin(list(provinces)), F.lit(False)),
         "year missing": F.col("year_dx").isNull(),
         "other year": ~F.col("year_dx").isin(list(years)),
-    })
+    }
+
+
+def rejected_rows(raw: DataFrame, provinces: Sequence[str] = cb.PROVINCES, years: Sequence[int] = cb.STUDY_YEARS) -> DataFrame:
+    """Rows that the cleaning leaves out, with the reason."""
+    rows = recoded(raw).select("id", "province", "year_dx")
+    return rejects(rows, reject_reasons(provinces, years))
 
 
 def attach_population(line: DataFrame, population: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 _scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
@@ -76,8 +77,11 @@ def new_table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it from there: later uses see the same rows and only the columns they need."""
-    path = new_table_path(df.sparkSession, "stored")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def stored(df: DataFrame) -> tuple[DataFrame, int]:
+    """Write ``df`` once to the shared folder and read it from there, with the number of rows that were written.
+
+    Later uses see the same rows, and read only the columns they need. The rows are counted by the write itself.
+    """
+    path, rows = new_table_path(df.sparkSession, "stored"), Observation()
+    df.observe(rows, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), rows.get["rows"]

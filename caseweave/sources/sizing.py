@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseweave.session import pin
+from caseweave.session import stored
 
 # Stored size up to which a dimension is broadcast.
 BROADCAST_BYTES = 8 * 1024 * 1024
@@ -34,5 +34,5 @@ def broadcast_if_few(df: DataFrame) -> DataFrame:
     The optimizer estimates an aggregate from the scan below it, which can be large where the
     result is not. A larger dimension is joined by a shuffle.
     """
-    kept = pin(df)
-    return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
+    kept, rows = stored(df)
+    return F.broadcast(kept) if rows <= BROADCAST_ROWS else kept

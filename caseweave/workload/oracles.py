@@ -461,6 +461,13 @@ ORACLES: dict[str, str] = {
                                WHEN year_dx IS NULL THEN 'year missing'
                                WHEN year_dx NOT IN (2019, 2020) THEN 'other year' END AS reason FROM recoded)
         WHERE reason IS NOT NULL GROUP BY ALL"""),
+    "rejects_observed": _sql("""
+        SELECT reason, count(n)::BIGINT AS rows
+        FROM (VALUES ('other province'), ('year missing'), ('other year'), ('kept')) AS r(reason) LEFT JOIN (
+          SELECT 1 AS n, coalesce(CASE WHEN province NOT IN ('Papua', 'Papua Barat') THEN 'other province'
+                               WHEN year_dx IS NULL THEN 'year missing'
+                               WHEN year_dx NOT IN (2019, 2020) THEN 'other year' END, 'kept') AS reason FROM recoded) USING (reason)
+        GROUP BY reason"""),
     "date_repair": _sql("""
         SELECT id, date_dx, week(date_dx) AS week, strftime(date_dx, '%b') AS month_label, parsed IS NULL AS repaired FROM dated"""),
     "recode_by_vintage": _sql("SELECT year_dx, sp, sex, count(*) AS \"case\" FROM recoded GROUP BY ALL"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,6 +70,15 @@ def labelled_columns(spark, sf_dir):
     return known.unpivot([], list(labels), "column", "known").withColumn("label", recode.recode("column", labels))
 
 
+@query
+def rejects_observed(spark, sf_dir):
+    """Rows by what the cleaning did with them, counted by the write of the cleaned table itself."""
+    counted = Observation()
+    line = cleaning.clean_line_list(inputs.raw_line_list(spark, sf_dir), observed=counted)
+    line.write.parquet(new_table_path(spark, "line"))
+    return tables.fixed_table(spark, list(counted.get.items()), "reason STRING, rows BIGINT")
+
+
 @query
 def rejects_by_reason(spark, sf_dir):
     return counting.count_by(cleaning.rejected_rows(inputs.raw_line_list(spark, sf_dir)), ["reason", "year_dx"], "rows")

@@ -3,10 +3,13 @@
 import datetime as dt
 import os
 
+import numpy as np
+import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from caseweave import codebooks as cb
-from caseweave.operators import checks, regions, series
+from caseweave.operators import checks, regions, series, units
 from caseweave.plans import cleaning, harmonise, incidence
 from caseweave.session import new_table_path, pin, scratch
 from caseweave.sources import schemas, tables
@@ -116,6 +119,46 @@ def test_checks(spark):
     assert [(r.k, r.rows) for r in checks.missing_population(df, ["k"], "n").collect()] == [("b", 1)]
 
 
+def test_missing_cells_of_a_grid_of_several_words(spark):
+    rng = np.random.default_rng(2)
+    levels = {"m": list(range(1, 13)), "s": ["f", "m"], "q": [7, 8, 9]}
+    rows = [(k, int(m), str(s), int(q)) for k in "ab" for m, s, q in zip(rng.integers(0, 14, 150), rng.choice(["f", "m", "x"], 150), rng.integers(7, 11, 150))]
+    rows += [("a", None, "f", 7), (None, 1, "f", 7)]
+    df = spark.createDataFrame(rows, "k string, m int, s string, q int")
+    base = spark.createDataFrame([("a",), ("b",), ("b",), ("empty",)], "k string")
+    cells = checks.missing_cells(df, base, levels)
+    assert cells.columns == ["k", "m", "s", "q"]
+    want = {(k, m, s, q) for k in ("a", "b", "empty") for m in levels["m"] for s in levels["s"] for q in levels["q"]} - set(rows)
+    got = [tuple(r) for r in cells.collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert "BroadcastNestedLoopJoin" not in cells._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rejects_are_counted_by_the_write_of_the_cleaned_table(spark):
+    counted = Observation()
+    cleaning.clean_line_list(raw_rows(spark), observed=counted).write.parquet(new_table_path(spark, "test"))
+    rejected = cleaning.rejected_rows(raw_rows(spark)).groupBy("reason").count().collect()
+    assert counted.get == {"other province": 0, "year missing": 0, "other year": 0, "kept": 2} | {r.reason: r["count"] for r in rejected}
+
+
+@pytest.mark.parametrize("chunk", [10_000, 3])
+def test_silent_units_come_from_one_pass(spark, monkeypatch, chunk):
+    monkeypatch.setattr(units, "ROWS_PER_CHUNK", chunk)
+    rows = [("a", "u1", 3.0, 9.0, 10.0, "x"), ("a", None, 1.0, 9.0, 10.0, "y"), ("b", "u1", 2.0, 1.0, 5.0, "x"), (None, "u3", 4.0, 2.5, 2.0, "z"), ("d", "u", 1.0, None, None, "w")]
+    df = spark.createDataFrame(rows, "k string, u string, c double, n double, p double, other string")
+    padded = units.pad_units(df, ["k"], "u", "n", "c", ["p"])
+    assert padded.columns == [*df.columns, "pad"]
+    want = {(*r, 0) for r in rows} | {("a", None, 0.0, 9.0, 10.0, None, i) for i in range(1, 8)} | {(None, None, 0.0, 2.5, 2.0, None, i) for i in (1, 2)}
+    got = [tuple(r) for r in padded.collect()]
+    assert set(got) == want and len(got) == len(want)
+    weighed = units.weigh_missing_units(df, ["k"], "u", "n", "c", "p")
+    got = [tuple(r) for r in weighed.collect()]
+    assert set(got) == {(r[0], r[1], r[2], r[4]) for r in rows} | {("a", None, 0.0, 70.0), (None, None, 0.0, 4.0)} and len(got) == 7
+    plan = units.pad_units(df, ["k"], "u", "n", "c", ["p"])._jdf.queryExecution().executedPlan().toString()
+    assert "Union" not in plan and "Join" not in plan and plan.count("Exchange") == 1
+    assert units.pad_units(df.limit(0), ["k"], "u", "n", "c", ["p"]).count() == 0
+
+
 def test_zero_cells_are_kept_on_request(spark):
     raw = raw_rows(spark).withColumn("nama_kabupaten", F.lit("KEEROM"))
     people = spark.createDataFrame(
