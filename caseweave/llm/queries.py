@@ -42,7 +42,7 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = warc.archived_pages(table(spark, sf_dir, "pages"))
+    read = warc.archived_pages(table(spark, sf_dir, "pages"), payloads=False)
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -61,8 +61,8 @@ def _seeds(window: int, before: int | None, width: int, part: pa.RecordBatch, da
     text = words.text_of[at]
     found = value[at]
     if width == window:
-        # What is removed rests on two independent hashes of the words and of the window.
-        other = _hashes(words, words.hashes(seed=1), width, 0xA0761D6478BD642F)[at]
+        # What is removed rests on two independent hashes of the window, over 64-bit hashes of its words.
+        other = _hashes(words, hashes, width, 0xA0761D6478BD642F)[at]
         found = np.frombuffer(np.stack([found, other], 1).tobytes(), "S16")
     return text, at - words.first[text], found
 
@@ -84,7 +84,7 @@ def without_repeated_windows(docs: DataFrame, window: int = WINDOW, first: int =
 
     Lengths 9, 18 and 35: a text sends the windows of one length that stand for what is left of it, and only what is
     repeated at this length is looked at again at twice that length. Copies of a whole text are one text with a
-    count; if it has a full window, all its words go. Hashes have 64 bits, those of full windows 128.
+    count; if it has a full window, all its words go. Hashes have 64 bits, those of full windows 128 (over 64-bit hashes of words).
 
     Null text has no words. Repeated rows are copies. An empty table gives no rows; other columns are ignored.
     Returns doc_id, n_words, n_removed, kept_sha256, kept_text (the kept words, one space between).

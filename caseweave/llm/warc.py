@@ -123,7 +123,9 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = REV
     targets = marks.join(groups.filter("pages > 1"), "digest").select("page_id", "digest", "response").distinct()
     same = [F.col("page_id") == F.col("__page"), F.sha1(payload) == F.col("digest")]
     found = rows.join(targets.withColumnRenamed("page_id", "__page"), same[0] & same[1], "left")
-    turn = W.partitionBy("page_id", F.sha1(payload)).orderBy("url")
+    # Rows without an id are no copies of each other, so they need not meet.
+    found = found.withColumn("apart", F.when(F.col("page_id").isNull(), F.monotonically_increasing_id()))
+    turn = W.partitionBy("page_id", F.sha1(payload), "apart").orderBy("url")
     copy = F.when(F.col("response").isNull(), F.lit(1)).otherwise(F.row_number().over(turn))
     found = found.withColumn("copy", copy).withColumn(
         "refers_to", F.when((F.col("response") != F.col("page_id")) | (F.col("copy") > 1), F.col("response"))
@@ -146,9 +148,12 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = REV
     return store(found.mapInArrow(write, "path string, records long, bytes long"), "manifest")
 
 
-def read_archives(manifest: DataFrame, batch_rows: int = 512) -> DataFrame:
-    """Read archives from start to end: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null for revisits)."""
-    columns = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
+def read_archives(manifest: DataFrame, batch_rows: int = 512, payloads: bool = True) -> DataFrame:
+    """Read archives from start to end: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null for revisits).
+
+    Without ``payloads`` there is no such column: they are verified, and stay where they were read.
+    """
+    columns = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"][: 6 + payloads]
 
     def read(frames):
         for frame in frames:
@@ -163,7 +168,7 @@ def read_archives(manifest: DataFrame, batch_rows: int = 512) -> DataFrame:
                         refers = fields.get("x-refers-to-page-id")
                         rows.append((
                             int(fields["x-page-id"]) if fields["x-page-id"] else None, fields["warc-target-uri"], length, digest, kind,
-                            int(refers) if refers else None, payload if kind == "response" else None,
+                            int(refers) if refers else None, *([payload if kind == "response" else None] if payloads else []),
                         ))
                         if len(rows) == batch_rows:
                             yield pd.DataFrame(rows, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64"})
@@ -171,10 +176,10 @@ def read_archives(manifest: DataFrame, batch_rows: int = 512) -> DataFrame:
                 if rows:
                     yield pd.DataFrame(rows, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
+    schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
     return manifest.select("path").repartition(partitions(manifest.sparkSession), "path").mapInPandas(read, schema)
 
 
-def archived_pages(pages: DataFrame, folder: str | None = None, least: int = REVISIT_BYTES) -> DataFrame:
+def archived_pages(pages: DataFrame, folder: str | None = None, least: int = REVISIT_BYTES, payloads: bool = True) -> DataFrame:
     """Write all pages as archives and read them back."""
-    return read_archives(write_archives(pages, folder, least))
+    return read_archives(write_archives(pages, folder, least), payloads=payloads)
