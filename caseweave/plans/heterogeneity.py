@@ -15,7 +15,7 @@ from caseweave.operators.allocate import allocate_mixed
 from caseweave.operators.counting import count_by
 from caseweave.operators.running import lookup
 from caseweave.plans.incidence import PARTS
-from caseweave.session import pin
+from caseweave.session import stored
 from caseweave.sources.sizing import broadcast_if_few
 
 STRATA = ["year_dx", "province", "sp"]
@@ -29,13 +29,18 @@ def district_rates(line: DataFrame, population: DataFrame) -> DataFrame:
     return joined.withColumn("api", rate("case", "pop"))
 
 
+def count_units(line: DataFrame) -> DataFrame:
+    """Cases ``n_case`` by (year, province, city, unit, species)."""
+    return count_by(line, [*DISTRICT, "health_unit", "sp"], "n_case")
+
+
 def unit_counts(line: DataFrame) -> DataFrame:
     """Cases ``n_case`` by (year, province, city, unit, species).
 
     All unit-level results start from this table. It is kept in the shared folder, so
     that the line list is read once however many of them are wanted.
     """
-    return pin(count_by(line, [*DISTRICT, "health_unit", "sp"], "n_case"))
+    return stored(count_units(line))[0]
 
 
 def unit_estimate(counts: DataFrame, official: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import uuid
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +36,25 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode
     df.write.mode(mode).partitionBy(*partition_by).parquet(path)
 
 
+@contextmanager
+def bucketed_table(
+    df: DataFrame, path: str, bucket_by: Sequence[str], buckets: int, partition_by: Sequence[str] = ()
+) -> Iterator[DataFrame]:
+    """Store a table in buckets of some columns (and folders of others), and read it inside the block.
+
+    Counts and joins on the bucket columns, with or without further ones, then need no exchange. A bucket has
+    one file per folder. The entry in the catalog, which Spark needs to know the buckets, goes at the end of the block; the files stay.
+    """
+    spark, name = df.sparkSession, f"bucketed_{uuid.uuid4().hex}"
+    rows = df.repartition(buckets, *bucket_by)
+    writer = rows.write.partitionBy(*partition_by) if partition_by else rows.write
+    writer.bucketBy(buckets, *bucket_by).option("path", path).saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def read_month_parts(
     spark: SparkSession, paths: Sequence[str], schema: str, names: Sequence[str] = MONTH_PARTS
 ) -> DataFrame:

@@ -564,6 +564,7 @@ ORACLES: dict[str, str] = {
           FROM reported_series GROUP BY ALL) USING (year, province)""", PROVINCE_POPULATION),
     "distinct_units_with_unnamed": _sql(f"SELECT {DISTRICT}, k AS n_units FROM observed", OBSERVED),
     "unit_count_estimate": _sql("SELECT * FROM estimate", OBSERVED),
+    "unit_counts_bucketed": _sql(f"SELECT {DISTRICT}, health_unit, sp, count(*) AS n_case FROM line GROUP BY ALL"),
     "unit_rates": _sql(f"""
         SELECT {DISTRICT}, health_unit, sp, case_hu, pop_city, n_hu, round(pop_hu, 6) AS pop_hu, round(api_hu, 6) AS api_hu
         FROM unit_rates""", UNITS),

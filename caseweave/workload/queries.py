@@ -13,7 +13,7 @@ from caseweave.functions import dates, missing, recode
 from caseweave.operators import allocate, checks, concentration, counting, regions, resample, series, smoothing, units
 from caseweave.operators.running import lookup
 from caseweave.plans import cleaning, harmonise, heterogeneity, incidence, profile
-from caseweave.session import new_table_path
+from caseweave.session import new_table_path, stored
 from caseweave.sources import tables
 from caseweave.sources.schemas import MONTH_PART, POPULATION_PAPUA, POPULATION_WEST_PAPUA, UNIT_TABLE
 from caseweave.workload import inputs
@@ -23,6 +23,7 @@ REGISTRY: dict[str, Query] = {}
 DISTRICT = heterogeneity.DISTRICT
 CHECK_REPLICATES = 10_000
 CHECK_SEED = 13
+UNIT_BUCKETS = ["province", "city", "health_unit"]
 
 
 def plain(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -386,6 +387,16 @@ def _unit_counts(spark, sf_dir):
     return counts, heterogeneity.unit_estimate(counts, inputs.official_units(spark, sf_dir))
 
 
+@query
+def unit_counts_bucketed(spark, sf_dir):
+    """Cases by unit from a line list stored in folders of years and buckets of units: counted without an exchange."""
+    line = inputs.line_list(spark, sf_dir)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with tables.bucketed_table(line, new_table_path(spark, "line"), UNIT_BUCKETS, buckets, ["year_dx"]) as stored_line:
+        counts, _ = stored(heterogeneity.count_units(stored_line))
+    return counts
+
+
 def _unit_rates(spark, sf_dir):
     counts, estimate = _unit_counts(spark, sf_dir)
     return heterogeneity.unit_rates(counts, inputs.population(spark, sf_dir), estimate)

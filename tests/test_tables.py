@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from caseweave import codebooks as cb
 from caseweave.operators import checks, regions, series, units
-from caseweave.plans import cleaning, harmonise, incidence
+from caseweave.plans import cleaning, harmonise, heterogeneity, incidence
 from caseweave.session import new_table_path, pin, scratch
 from caseweave.sources import schemas, tables
 
@@ -53,6 +53,21 @@ def test_partitioned_table_prunes_years(spark):
     assert "PartitionFilters: [isnotnull(year_dx" in plan
 
 
+def test_units_of_a_bucketed_table_are_counted_without_an_exchange(spark):
+    rows = cleaning.clean_line_list(raw_rows(spark))
+    before = {t.name for t in spark.catalog.listTables()}
+    keys = ["province", "city", "health_unit"]
+    with tables.bucketed_table(rows, new_table_path(spark, "test"), keys, 3, ["year_dx"]) as line:
+        counts = heterogeneity.count_units(line)
+        plan = counts._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "SelectedBucketsCount: 3 out of 3" in plan
+        same = heterogeneity.count_units(rows)
+        assert counts.exceptAll(same).count() == same.exceptAll(counts).count() == 0 and counts.count() == 2
+        pruned = line.filter("year_dx = 2019")._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(year_dx" in pruned
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 def test_month_parts_are_tagged_by_file(spark, tmp_path):
     for name, place in (("JAN", "BIAK"), ("DES", "SORONG")):
         (tmp_path / f"{name}.csv").write_text(f"Provinsi,Kabupaten/Kota,Positif\nPapua,{place},\nBali,X,3\n")
