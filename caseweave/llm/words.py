@@ -14,7 +14,7 @@ from functools import cached_property, lru_cache
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 _BASE = {0: (0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93), 1: (0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F)}
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
