@@ -83,7 +83,7 @@ SEX_SPECIES = {
     (FEMALE, PF): "P. falciparum in females",
 }
 
-# Five-year age bands up to an open top, and the coarse bands they fold into.
+# Five-year age bands up to an open top, and the coarse bands they fold into.
 AGE_BREAKS = list(range(5, 80, 5))
 AGE_BANDS = [f"{low}-{low + 4}" for low in range(0, 75, 5)] + ["75+"]
 COARSE_AGE_BREAKS = [5, 10, 15, 65]

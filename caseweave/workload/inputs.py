@@ -138,7 +138,7 @@ def population_sheets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
             F.concat(F.col("n19").cast("string"), F.lit(suffix)).alias("year_19"),
             F.concat(F.col("n20").cast("string"), F.lit(suffix)).alias("year_20"),
         )
-        heading = rows.limit(1).select(
+        heading = spark.range(1).select(
             F.lit(None).cast("string").alias("city"), *[F.lit(f"20{y}").alias(f"year_{y}") for y in (18, 19, 20)]
         )
         sheets.append(heading.unionByName(rows))
