@@ -158,11 +158,13 @@ def official_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("province", "city", (F.col("suppliers") + extra).cast("double").alias("n_hu_web"))
 
 
-def _orders_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _orders_by_month(spark: SparkSession, sf_dir: str, part_2010: bool = True) -> DataFrame:
     orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    # The first quarter of 1995 stands for 2010, a year that one of the published tables leaves out.
-    early = (F.year("o_orderdate") == 1995) & (F.quarter("o_orderdate") == 1)
-    year = F.when(early, 2010).otherwise(F.year("o_orderdate") + 18)
+    year = F.year("o_orderdate") + 18
+    if part_2010:
+        # The first quarter of 1995 stands for 2010.
+        early = (F.year("o_orderdate") == 1995) & (F.quarter("o_orderdate") == 1)
+        year = F.when(early, 2010).otherwise(year)
     # Orders are counted per customer and month before they meet the customer's district.
     monthly = orders.groupBy("o_custkey", year.alias("YEAR"), F.month("o_orderdate").alias("MONTH")).agg(
         F.count_if(F.col("o_orderstatus") != "P").alias("by_sex"),
@@ -176,9 +178,12 @@ def _orders_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(F.broadcast(districts(spark, sf_dir)), F.col("c_nationkey") == F.col("n_nationkey"))
 
 
-def aggregate_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reported monthly totals for 2010 and 2013 to 2019 without 2018; some totals by sex are missing."""
-    rows = _orders_by_month(spark, sf_dir)
+def aggregate_series(spark: SparkSession, sf_dir: str, part_2010: bool = True) -> DataFrame:
+    """Reported monthly totals for 2010 and 2013 to 2019 without 2018; some totals by sex are missing.
+
+    Without ``part_2010`` the months that stand for 2010 are those of 2013.
+    """
+    rows = _orders_by_month(spark, sf_dir, part_2010)
     # As in the source, the reported series covers the two study provinces only.
     rows = rows.filter((F.col("YEAR") != 2018) & F.col("raw_province").isin(cb.SURVEY_PROVINCES))
     missing = (F.col("MONTH") == 7) & (F.col("n_nationkey") % 11 == 3)

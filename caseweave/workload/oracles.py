@@ -54,6 +54,7 @@ SEX_SPECIES = "CASE " + " ".join(
     f"WHEN sex = {_lit(sex)} AND sp = {_lit(sp)} THEN {_lit(label)}" for (sex, sp), label in cb.SEX_SPECIES.items()
 ) + " END"
 
+YEAR_WITH_2010 = "CASE WHEN o_orderdate >= '1995-01-01' AND o_orderdate < '1995-04-01' THEN 2010 ELSE year(o_orderdate) + 18 END"
 INPUTS = f"""
 place AS (
   SELECT n_nationkey,
@@ -135,7 +136,7 @@ official AS (
   FROM supplier JOIN study ON s_nationkey = n_nationkey GROUP BY province, city, n_nationkey
 ),
 monthly_orders AS (
-  SELECT n_nationkey, raw_province, raw_district, CASE WHEN o_orderdate >= '1995-01-01' AND o_orderdate < '1995-04-01' THEN 2010 ELSE year(o_orderdate) + 18 END AS yr, month(o_orderdate) AS mon,
+  SELECT n_nationkey, raw_province, raw_district, {YEAR_WITH_2010} AS yr, month(o_orderdate) AS mon,
          (count(*) FILTER (o_orderstatus <> 'P'))::DOUBLE AS by_sex,
          (count(*) FILTER (o_orderpriority <> '5-LOW'))::DOUBLE AS by_species
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN place ON c_nationkey = n_nationkey GROUP BY ALL
@@ -169,8 +170,12 @@ merged AS (
 """
 
 
-def _sql(body: str, *ctes: str) -> str:
-    return "WITH " + ", ".join([INPUTS, *ctes]) + body
+# A table without 2010 takes the series that has no such part, so that no order is lost to it.
+INPUTS_WITHOUT_2010 = INPUTS.replace(YEAR_WITH_2010, "year(o_orderdate) + 18")
+
+
+def _sql(body: str, *ctes: str, inputs: str = INPUTS) -> str:
+    return "WITH " + ", ".join([inputs, *ctes]) + body
 
 
 PROVINCE_POPULATION = _values(cb.province_population_rows(), "province_pop", "year, province, pop")
@@ -512,7 +517,8 @@ ORACLES: dict[str, str] = {
     "api_monthly": _sql("""
         SELECT date, province, round("case", 6) AS "case", year, pop, round("case" / pop * 1000, 6) AS api
         FROM (SELECT date, province, year, CASE WHEN bool_and("case" IS NOT NULL) THEN sum("case") END AS "case" FROM merged
-              WHERE year <> 2010 GROUP BY ALL) LEFT JOIN province_pop USING (year, province)""", PROVINCE_POPULATION),
+              WHERE year <> 2010 GROUP BY ALL) LEFT JOIN province_pop USING (year, province)""", PROVINCE_POPULATION,
+        inputs=INPUTS_WITHOUT_2010),
     "weekly_vivax_share": _sql("""
         SELECT year_dx, province, week_dx,
                round((pv + coalesce(mixed, 0) / 2) / (pf + pv + coalesce(mixed, 0) + coalesce(other, 0)), 6) AS prop_pv

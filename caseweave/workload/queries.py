@@ -272,7 +272,8 @@ def union_by_name(spark, sf_dir):
 
 @sorted_query("province", "date")
 def api_monthly(spark, sf_dir):
-    merged = _harmonised(spark, sf_dir)
+    # The table leaves 2010 out, so no month may stand for that year.
+    merged = _harmonised(spark, sf_dir, part_2010=False)
     return series.monthly_rate(merged, harmonise.province_population(spark), exclude_years=[2010])
 
 
@@ -357,10 +358,9 @@ def api_age_coarse_all_cells(spark, sf_dir):
 # --- Series -----------------------------------------------------------------------
 
 
-def _harmonised(spark, sf_dir):
-    return harmonise.harmonised_series(
-        inputs.line_list(spark, sf_dir), inputs.aggregate_series(spark, sf_dir), inputs.month_parts(spark, sf_dir)
-    )
+def _harmonised(spark, sf_dir, part_2010=True):
+    reported = inputs.aggregate_series(spark, sf_dir, part_2010)
+    return harmonise.harmonised_series(inputs.line_list(spark, sf_dir), reported, inputs.month_parts(spark, sf_dir))
 
 
 @query

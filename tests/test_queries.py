@@ -30,6 +30,13 @@ def test_result_tables_come_sorted(spark, name, keys):
     assert len(rows) > 1 and rows == sorted(rows)
 
 
+def test_monthly_rate_has_every_month_of_the_orders(spark, connection):
+    """No month of the orders before 2018 is taken out of the table by its year."""
+    months = connection.execute("SELECT DISTINCT year(o_orderdate) + 18, month(o_orderdate) FROM orders WHERE year(o_orderdate) < 2000").fetchall()
+    found = registered.queries()["api_monthly"](spark, FOLDER).collect()
+    assert {(r["date"].year, r["date"].month) for r in found if r["date"].year < 2018} == set(months)
+
+
 @pytest.mark.parametrize("name", sorted(registered.queries()))
 def test_query_equals_sql(spark, connection, name):
     df = contract.queries()[name](spark, FOLDER)
