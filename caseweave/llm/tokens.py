@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import struct
 import uuid
@@ -13,14 +14,16 @@ import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caseweave.llm.shared import open_folder, partitions, shared_path, store, with_offsets
+from caseweave.llm.shared import open_folder, partitions, shared_path, store
 from caseweave.llm.words import blocks
 
 END_ID = 0
 CACHE_WORDS = 1_000_000
+JOINED = 1024
 _HEAD = struct.Struct("<qBBH")  # doc_id, 1 if it is null, bytes of an id, reserved
 _CHUNK = 64
 _MASK = 0xA282EAD8  # fixed value of the record format
@@ -128,7 +131,12 @@ class Encoder:
         added = self.tokenizer.get_added_tokens_decoder().values()
         self.special = [str(token.content).encode() for token in added]
         self.cuttable = self.tokenizer.normalizer is None and "ByteLevel" in repr(self.tokenizer.pre_tokenizer)
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.joinable = not any(b" " in s for s in self.special)
+        vocabulary = self.tokenizer.get_vocab()
+        self.width = 2 if len(vocabulary) <= 1 << 16 else 4
+        # A byte-level token has one character for each of its bytes.
+        self.bytes_of = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        self.bytes_of[list(vocabulary.values())] = [len(token) for token in vocabulary]
         self._clear()
 
     def _clear(self) -> None:
@@ -139,12 +147,29 @@ class Encoder:
     def _batch(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _each(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces, one after another, and how many each has."""
+        found = self._batch([p.decode() for p in pieces])
+        return np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found])
+
+    def _joined(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for pieces that start with a space and a plain character, encoded as one text: each of them starts anew in it."""
+        ids = np.array(self._batch([b"".join(pieces).decode()])[0], np.uint32)
+        at = np.cumsum(self.bytes_of[ids])
+        ends = np.cumsum([len(p) for p in pieces])
+        last = np.minimum(np.searchsorted(at, ends), len(at) - 1)
+        if at[-1] != ends[-1] or (at[last] != ends).any():
+            return self._each(pieces)
+        return ids, np.diff(last + 1, prepend=0)
+
     def _learn(self, pieces: list[bytes]) -> None:
-        for low in range(0, len(pieces), 4096):
-            part = pieces[low : low + 4096]
-            found = self._batch([p.decode() for p in part])
-            lengths = np.array([len(x) for x in found])
-            flat = np.array([i for x in found for i in x], np.uint32)
+        spaced, others = [], []
+        for p in pieces:
+            (spaced if self.joinable and p[0] == 0x20 and len(p) > 1 and _PLAIN[p[1]] else others).append(p)
+        parts = [(self._joined, spaced[low : low + JOINED]) for low in range(0, len(spaced), JOINED)]
+        parts += [(self._each, others[low : low + JOINED]) for low in range(0, len(others), JOINED)]
+        for split, part in parts:
+            flat, lengths = split(part)
             n, m = len(self.known), len(part)
             while n + m > len(self.start):
                 self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
@@ -156,6 +181,10 @@ class Encoder:
             self.used += len(flat)
             self.known.update(zip(part, range(n, n + m)))
 
+    def _numbers(self, pieces: np.ndarray) -> np.ndarray:
+        """Number of each known piece, -1 for others."""
+        return np.fromiter(map(self.known.get, pieces, itertools.repeat(-1)), np.int64, len(pieces))
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a block of texts, and where each text's ids end."""
         raw = data.tobytes()
@@ -167,12 +196,14 @@ class Encoder:
         at = cuts(data, offsets)
         bounds = pa.py_buffer(np.append(at, len(data)).astype(np.int32))
         coded = pa.Array.from_buffers(pa.binary(), len(at), [None, bounds, pa.py_buffer(raw)]).dictionary_encode()
-        pieces = coded.dictionary.to_pylist()
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False)
         if len(self.known) + len(pieces) > CACHE_WORDS:
             self._clear()
-        self._learn([p for p in pieces if p not in self.known])
-        known = self.known
-        number = np.fromiter((known[p] for p in pieces), np.int64, len(pieces))[coded.indices.to_numpy()]
+        number = self._numbers(pieces)
+        new = np.flatnonzero(number < 0)
+        self._learn(pieces[new].tolist())
+        number[new] = self._numbers(pieces[new])
+        number = number[coded.indices.to_numpy()]
         length = self.length[number]
         ends = np.cumsum(length)
         ids = self.ids[np.repeat(self.start[number] - (ends - length), length) + np.arange(ends[-1])]
@@ -296,13 +327,16 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, end
 
 
 def read_tokens(manifest: DataFrame, chunk: int = 8 << 20) -> DataFrame:
-    """Read record files from start to end, checksums verified: shard, record, doc_id, n_tokens, ids_crc32."""
+    """Read record files from start to end, checksums verified: shard, record, doc_id, n_tokens, ids_crc32, before.
+
+    ``before`` counts the ids of all earlier records of the shard.
+    """
 
     def read(frames):
         for frame_ in frames:
             for shard, uri in zip(frame_["shard"], frame_["path"]):
                 system, path = open_folder(f"{uri}.rec")
-                record, rest = 0, b""
+                record, before, rest = 0, 0, b""
                 with system.open_input_stream(path) as file:
                     while more := file.read(max(chunk, len(rest))):
                         payloads, used = unframe(rest + more)
@@ -310,15 +344,15 @@ def read_tokens(manifest: DataFrame, chunk: int = 8 << 20) -> DataFrame:
                         out = []
                         for payload in payloads:
                             doc_id, ids = _parse(payload)
-                            out.append((shard, record, doc_id, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
-                            record += 1
-                        columns = ["shard", "record", "doc_id", "n_tokens", "ids_crc32"]
+                            out.append((shard, record, doc_id, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), before))
+                            record, before = record + 1, before + len(ids)
+                        columns = ["shard", "record", "doc_id", "n_tokens", "ids_crc32", "before"]
                         yield pd.DataFrame(out, columns=columns).astype({"doc_id": "Int64"})
                 if rest:
                     raise ValueError(f"{path} ends within a record")
 
     spark = manifest.sparkSession
-    schema = "shard long, record long, doc_id long, n_tokens long, ids_crc32 long"
+    schema = "shard long, record long, doc_id long, n_tokens long, ids_crc32 long, before long"
     return manifest.select("shard", "path").repartition(partitions(spark), "shard").mapInPandas(read, schema)
 
 
@@ -327,6 +361,10 @@ def token_table(docs: DataFrame, tokenizer: str, folder: str | None = None) -> D
 
     Returns doc_id, start, n_tokens, ids_crc32; ``start`` counts the ids of all documents before it.
     """
-    read = read_tokens(write_tokens(docs, tokenizer, folder))
-    placed = with_offsets(read, [], ["shard", "record"], "n_tokens", "start")
-    return placed.select("doc_id", F.col("start").cast("long"), "n_tokens", "ids_crc32")
+    # Shards are ranges in order, so that only their totals, a row each, are still to be added up.
+    read = store(read_tokens(write_tokens(docs, tokenizer, folder)), "records")
+    earlier = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
+    totals = read.groupBy("shard").agg(F.sum("n_tokens").alias("ids"))
+    shift = totals.select("shard", F.coalesce(F.sum("ids").over(earlier), F.lit(0)).alias("shift"))
+    placed = read.join(F.broadcast(shift), "shard")
+    return placed.select("doc_id", (F.col("before") + F.col("shift")).cast("long").alias("start"), "n_tokens", "ids_crc32")

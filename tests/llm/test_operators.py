@@ -366,6 +366,19 @@ def test_records_are_checked():
         tokens.unframe(framed[:14] + b"b" + framed[15:])
 
 
+def test_new_pieces_are_encoded_as_one_text():
+    """Pieces not seen before go to the tokenizer joined, and come back as if encoded alone."""
+    plain, coder, sent = Tokenizer.from_file(BPE), tokens.Encoder(BPE), []
+    batch = coder._batch
+    coder._batch = lambda texts: sent.append(len(texts)) or batch(texts)
+    pieces = [f" x{i}yé" for i in range(500)] + [f" {i}'s" for i in range(200)] + [f" '{i}" for i in range(50)] + [f' "--{i}\t\u00a0 ' for i in range(50)]
+    texts = [p.encode() for p in ["".join(pieces), "".join(reversed(pieces)) + "  ", "a b\n c\n\nd  e. f"]]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    ids, ends = coder.encode(data, np.append(0, np.cumsum([len(t) for t in texts])))
+    assert [x.tolist() for x in np.split(ids, ends[:-1])] == [plain.encode(t.decode(), add_special_tokens=False).ids for t in texts]
+    assert sum(sent) < 100
+
+
 def test_warc(spark):
     big = "<p>é</p>" * 300
     rows = [(1, "http://a/1", big), (5, "http://a/5", big), (5, "http://a/5", big), (3, None, big), (7, "u v", "small"), (8, "u", "small"), (9, "u", None), (None, "u", big), (10, "", ""), (11, "u", "x" * 300_000)]
