@@ -1,9 +1,12 @@
 """Every operator against a brute-force version on a table of edge cases, and on an empty one."""
 
 import collections
+import functools
 import hashlib
 import itertools
+import operator
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -12,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from caseweave.llm import components, decontaminate, exact, html_text, langid, minhash, mixing, substrings, suffixes, tokens, warc, words
+from caseweave.llm import components, decontaminate, exact, html_text, langid, minhash, mixing, repeats, substrings, suffixes, tokens, warc, words
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -366,6 +369,39 @@ def test_records_are_checked():
         tokens.unframe(framed[:14] + b"b" + framed[15:])
 
 
+def test_word_hashes_take_little_memory():
+    """Sums of a few bytes at a time; a word longer than such a piece is one of its own."""
+    rng = np.random.default_rng(5)
+    texts = [b"a" * 300_000 + b" b", *[bytes(rng.choice(list(b"abcdef  "), 400_000).astype(np.uint8)) for _ in range(4)]]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(t) for t in texts]))
+    found = words.words_of(data, offsets)
+    tracemalloc.start()
+    hashes = found.hashes()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 * len(hashes) + 40 * 300_000
+    alone = [words.words_of(np.frombuffer(t, np.uint8), np.array([0, len(t)])).hashes() for t in texts]
+    assert (hashes == np.concatenate(alone)).all()
+    assert len(set(hashes.tolist())) == len({w for t in texts for w in t.split()})
+
+
+@pytest.mark.parametrize("size", [1, 400, 1 << 20])
+def test_hashes_of_a_bucket_are_not_sent_with_every_pack(spark, monkeypatch, size):
+    """They go once to each slice of its packs, and every slice finds the same."""
+    monkeypatch.setattr(repeats, "SLICE_BYTES", size, raising=False)
+    again = np.arange(10, 2010, 2, dtype="<u8")
+    packs = [(b, b % 2, 56, np.array([5, 10 + b], "<u8").tobytes(), np.array([1, 1], "<i4").tobytes(), bytes([b] * 16), bytes(8), np.array([3, b], "<i4").tobytes()) for b in range(40)]
+    packed = spark.createDataFrame(packs, "block long, bucket long, size long, hashes binary, counts binary, keys binary, texts binary, at binary")
+    known = spark.createDataFrame([(0, again.tobytes()), (1, b"")], "bucket long, again binary")
+    frame, sent = type(packed), []
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, *a, f=frame.mapInArrow, **k: sent.append(self) or f(self, *a, **k))
+    found = {bytes(r["key"])[0]: np.frombuffer(r["at"], "<i4").tolist() for r in repeats.places(packed, known).collect()}
+    assert found == {b: [b] for b in range(0, 40, 2)}
+    binary = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in sent[0].dtypes if kind == "binary"]
+    moved = sent[0].agg(F.sum(functools.reduce(operator.add, binary))).first()[0]
+    assert moved <= 40 * 56 + -(-20 * 56 // size) * again.nbytes
+
+
 def test_new_pieces_are_encoded_as_one_text():
     """Pieces not seen before go to the tokenizer joined, and come back as if encoded alone."""
     plain, coder, sent = Tokenizer.from_file(BPE), tokens.Encoder(BPE), []
