@@ -119,7 +119,8 @@ def mix_sources(
             T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()),
         ]),
     )
-    placed = sized.join(info, F.col("source").eqNullSafe(F.col("name")))
+    # A row for each source is small, but the optimizer does not know its size, and would gather the documents instead.
+    placed = sized.join(F.broadcast(info), F.col("source").eqNullSafe(F.col("name")))
     placed = placed.select("doc_id", "source", *carry, "size", "source_no", "source_size", "target")
     placed = store(with_offsets(placed, ["source_no"], ["doc_id", "size"], "size", "offset"), "placed")
 
@@ -155,7 +156,7 @@ def mix_sources(
         F.greatest(F.lit(0).cast("long"), F.col("wanted") - F.coalesce("drawn", F.lit(0))).alias("slots"),
     )
     counted = with_offsets(drawn.unionByName(settled), ["source_no"], ["shard"], "slots", "first")
-    counted = counted.join(wanted, "source_no").withColumn(
+    counted = counted.join(F.broadcast(wanted), "source_no").withColumn(
         "slots", F.least(F.col("slots"), F.col("wanted") - F.col("first"))
     )
 
@@ -177,7 +178,9 @@ def mix_sources(
     # Few, narrow rows that turn into many: dealt by an explicit number, which adaptive execution keeps.
     numbered = numbered.repartition(partitions(docs.sparkSession), "shard", "source_no")
     numbered = numbered.mapInPandas(number, schema)
-    return Mixture(placed, numbered.join(parts, ["source_no", "block"]))
+    # Both sides hold a row for each block, where the optimizer counts the few rows or small files they come from: left
+    # to itself it would gather one of them on the driver and broadcast it.
+    return Mixture(placed, numbered.join(parts.hint("merge"), ["source_no", "block"]))
 
 
 def taken_words(mixture: Mixture) -> DataFrame:

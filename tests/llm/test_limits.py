@@ -1,6 +1,7 @@
 """Limits that must not change results: languages, hot keys, names of columns, stored tables, and the pipeline on edge cases."""
 
 import collections
+import re
 
 import numpy as np
 import pytest
@@ -96,6 +97,21 @@ def test_mixture_equals_plain_python(spark):
         assert [s for s, _ in sorted(slots)] == list(range(len(slots)))
 
 
+def test_mixture_gathers_neither_blocks_nor_documents_on_the_driver(spark, monkeypatch):
+    """Rows of a source are broadcast to documents, draws and slots, never those to them; slots meet blocks by a shuffle."""
+    docs = spark.createDataFrame([(i, words(i, 200), "ab"[i % 2]) for i in range(60)], "doc_id long, text string, source string")
+    ran, store = [], mixing.store
+    monkeypatch.setattr(mixing, "store", lambda df, name: ran.append(df) or store(df, name))
+    ran.append(mixing.mix_sources(docs, block_words=8, shard_slots=64).pieces)
+    plans = []
+    for df in ran:
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0])
+    # Rows meet the totals of their range by (_range, source_no); of a few rows and totals, either side may be smaller.
+    assert not [line for plan in plans for line in plan.splitlines() if "BuildLeft" in line and "_range#" not in line]
+    assert re.search(r"SortMergeJoin.*\[source_no#\d+L?, block#", plans[-1]) and not re.search(r"HashJoin.*block#", plans[-1])
+
+
 def test_hot_groups_of_exact_copies(spark):
     rows = [(i, "same" if i % 3 == 0 else f"text {i // 2}") for i in range(3000)]
     got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact.exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
