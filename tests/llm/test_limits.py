@@ -112,6 +112,12 @@ def test_mixture_gathers_neither_blocks_nor_documents_on_the_driver(spark, monke
     assert re.search(r"SortMergeJoin.*\[source_no#\d+L?, block#", plans[-1]) and not re.search(r"HashJoin.*block#", plans[-1])
 
 
+def test_mixture_stage_joins_slots_and_blocks_by_a_shuffle(spark):
+    docs = spark.createDataFrame([(i, words(i, 200), "ab"[i % 2]) for i in range(60)], "doc_id long, text string, source string")
+    plan = corpus_pipeline.mixture(spark, docs, "")._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin.*\[source_no#\d+L?, block#", plan) and not re.search(r"HashJoin.*block#", plan)
+
+
 def test_hot_groups_of_exact_copies(spark):
     rows = [(i, "same" if i % 3 == 0 else f"text {i // 2}") for i in range(3000)]
     got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact.exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
