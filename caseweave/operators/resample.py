@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from caseweave.operators.concentration import curve_rate
+from caseweave.operators.draws import Draw, block_sums, digest_draw, hashed_draw  # noqa: F401  (digest_draw is for callers)
 from caseweave.operators.running import lookup, running_totals
 from caseweave.session import stored
 
@@ -16,33 +18,15 @@ from caseweave.session import stored
 BLOCK_UNITS = 4096
 # Unit tables up to this many rows are broadcast; two 8-byte columns keep that below 4 MB.
 BROADCAST_UNITS = 200_000
-# Replicates that share one copy of a block, where blocks are dealt by a shuffle.
+# Replicates that draw in one copy of a block, which is a row of work.
 REPLICATES_PER_COPY = 256
 
-Draw = Callable[[int, Sequence[str], Column, Column], Column]
-
-
 def replicate_key(seed: int, strata: Sequence[str], rep: Column) -> Column:
     """60-bit number of a replicate: the first 15 digits of an MD5 digest of seed, stratum and replicate."""
     text = F.concat_ws("|", F.lit(str(seed)), *[F.col(key).cast("string") for key in strata], rep.cast("string"))
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
-def hashed_draw(seed: int, strata: Sequence[str], rep: Column, draw: Column) -> Column:
-    """63-bit number that depends only on seed, stratum, replicate and draw, so lost tasks repeat it exactly.
-
-    ``_key`` is the number of the replicate. The hash is XXH64 of it (seed 42), and of the draw with that as its seed.
-    """
-    return F.shiftrightunsigned(F.xxhash64(F.col("_key"), draw), 1)
-
-
-def digest_draw(seed: int, strata: Sequence[str], rep: Column, draw: Column) -> Column:
-    """Same contract from an MD5 digest of every draw: slower, and simple to repeat in other engines."""
-    parts = [F.lit(str(seed)), *[F.col(key).cast("string") for key in strata]]
-    text = F.concat_ws("|", *parts, rep.cast("string"), draw.cast("string"))
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
-
-
 def _fair(count: str, node: str, turn: str) -> str:
     """How many of ``count`` fair bits are set: random words are counted bit by bit, the last one in part."""
     word = f"xxhash64(_key, {node}, {turn}, i)"
@@ -86,34 +70,6 @@ def block_counts(units: str, blocks: str, block_units: int) -> Column:
     return F.expr(f"if({blocks} = 1, array({units}), aggregate(sequence(0, greatest({depth} - 1, 0)), array({units}), (counts, t) -> {level}))")
 
 
-def _resampled(draw: Draw, seed: int, strata: Sequence[str]) -> Column:
-    """Sums of the units drawn in one block of one replicate, and twice the area below their piece of the curve.
-
-    Draws are sorted numbers of units, which stand in the order of the curve.
-    """
-    def pick(number: Column) -> Column:
-        place = F.shiftleft(F.col("_block"), 32) + number
-        return F.pmod(draw(seed, strata, F.col("rep"), place), F.size("_cs").cast("long")).cast("int")
-
-    # sort_array sorts the numbers as an array of int, array_sort would call a comparator.
-    picks = F.sort_array(F.transform(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1), pick))
-    zero = F.struct(F.lit(0.0).alias("c"), F.lit(0.0).alias("p"), F.lit(0.0).alias("a"))
-
-    def add(state: Column, i: Column) -> Column:
-        case, people = F.get("_cs", i), F.get("_ps", i)
-        return F.struct(
-            (state["c"] + case).alias("c"),
-            (state["p"] + people).alias("p"),
-            (state["a"] + people * (2 * state["c"] + case)).alias("a"),
-        )
-
-    def summed(drawn: Column) -> Column:
-        return F.struct(F.aggregate(drawn, zero, add).alias("of"), F.get(drawn, F.lit(0)).alias("first"))
-
-    # The lambda names the sorted array, so that it is made once.
-    return F.element_at(F.transform(F.array(picks), summed), 1)
-
-
 def bootstrap_gini(
     df: DataFrame,
     strata: Sequence[str],
@@ -130,7 +86,7 @@ def bootstrap_gini(
 
     Every replicate draws as many units as its stratum has, with replacement. Units are put in the order of the
     curve once, ``block_units`` to a block. A replicate first gets its number of draws per block (``block_counts``), then
-    draws inside the block, where they are sorted and summed in place: no draw is a row. What leaves a
+    draws inside the block, where they are sorted and summed as arrays (``draws.block_sums``): no draw is a row. What leaves a
     block is one row of sums for each replicate; a stratum of many blocks is put together from these. The result depends
     on ``seed`` and ``block_units``, not on partitions.
 
@@ -160,15 +116,24 @@ def bootstrap_gini(
     counted = reps.select(*strata, "rep", "_key", F.posexplode(block_counts("_n", "_b", block_units)).alias("_place", "_m"))
     counted = counted.select(*strata, "rep", "_key", F.col("_place").cast("long").alias("_block"), "_m").filter("_m > 0")
     keys = [*strata, "_block"]
+    counted = counted.withColumn("_copy", F.expr(f"rep div {REPLICATES_PER_COPY}").cast("int"))
+    # One struct key: equal when its NULL parts are. Dealt by an explicit number, which adaptive execution keeps: rows of much work.
+    at = F.struct(*keys, "_copy").alias("_at")
+    dealt = counted.select(at, F.struct("rep", "_key", "_m").alias("_draw")).repartition(width, "_at")
+    dealt = dealt.groupBy("_at").agg(F.collect_list("_draw").alias("_draws"))
     if units <= BROADCAST_UNITS:
-        drawn = lookup(counted, F.broadcast(packed), keys, "inner")
+        dealt = dealt.select(*[F.col("_at")[key].alias(key) for key in keys], "_draws")
+        drawn = lookup(dealt, F.broadcast(packed), keys, "inner")
     else:
         copies = F.sequence(F.lit(0), F.lit((replicates - 1) // REPLICATES_PER_COPY))
-        counted = counted.withColumn("_copy", F.expr(f"rep div {REPLICATES_PER_COPY}").cast("int"))
-        drawn = lookup(counted, packed.withColumn("_copy", F.explode(copies)), [*keys, "_copy"], "inner")
-    sums = drawn.withColumn("_sums", _resampled(draw, seed, strata))
-    first = [F.get(array, F.col("_sums.first")).alias(name) for array, name in (("_cs", "_fc"), ("_ps", "_fp"))]
-    sums = sums.select(*strata, "rep", "_block", "_m", *[F.col(f"_sums.of.{c}").alias(f"_{c}") for c in "cpa"], *first)
+        copied = packed.withColumn("_copy", F.explode(copies)).select(at, "_cs", "_ps").repartition(width, "_at")
+        drawn = dealt.join(copied.hint("merge"), "_at").select(*[F.col("_at")[key].alias(key) for key in keys], "_draws", "_cs", "_ps")
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(key).cast("string") for key in strata])
+    fields = [*[df.schema[key] for key in strata], T.StructField("_block", T.LongType()), T.StructField("rep", T.IntegerType(), False), T.StructField("_m", T.LongType())]
+    fields += [T.StructField(name, T.DoubleType()) for name in ("_c", "_p", "_a", "_fc", "_fp")]
+    drawn = drawn.select(*keys, text.alias("_text"), "_draws", "_cs", "_ps")
+    names = list(strata)
+    sums = drawn.mapInArrow(lambda batches: block_sums(batches, draw, names), T.StructType(fields))
 
     # A sum of blocks is unknown if one of them is.
     before = W.partitionBy(*strata, "rep").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)

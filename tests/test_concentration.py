@@ -252,6 +252,46 @@ def test_bootstrap_equals_brute_force_draws(spark):
             assert out[(s, rep)] == pytest.approx(brute(c, p), abs=1e-12)
 
 
+def test_digests_are_made_for_whole_blocks():
+    """Of texts of any length, with places and replicates of one to eleven digits, in one or two blocks of MD5."""
+    import hashlib
+    rep, place = np.array([0, 9, 10, 255, 1000, 9999]), np.array([*range(120), 9_999, 10_000, 9_999_999_999, (3 << 32) - 1, 3 << 32])
+    for text in ("", "13|2019|Papua|P. falciparum", "é" * 40, *["z" * k for k in range(30, 70)]):
+        got = resample.digest_draw(text.encode(), place)(rep, rep, slice(5, len(place)))
+        want = [[int(hashlib.md5(f"{text}|{r}|{p}".encode()).hexdigest()[:8], 16) for p in place[5:]] for r in rep]
+        assert got.tolist() == want
+
+
+def test_draws_are_arrays_of_a_block_and_many_replicates(spark):
+    """No expression is evaluated for a draw: replicates of a block are one row of work."""
+    rows = random_units(9, strata=2, n=30)
+    for draw in (resample.hashed_draw, resample.digest_draw):
+        plan = boot(spark, rows, draw=draw, block_units=7)._jdf.queryExecution().toString()
+        assert "MapInArrow" in plan and "collect_list" in plan and "sort_array" not in plan
+
+
+@pytest.mark.parametrize("origin", [True, False])
+def test_digest_draws_of_many_blocks_equal_brute_force(spark, monkeypatch, origin):
+    import hashlib
+    rows = [(s, u, None if (s, u) == ("s1", "u0003") else c, p) for s, u, c, p in random_units(9, strata=2, n=8)]
+    monkeypatch.setattr(resample, "REPLICATES_PER_COPY", 6)
+    options = {"draw": resample.digest_draw, "block_units": 7, "origin": origin}
+    got = {(r.s, r.rep): r.g for r in boot(spark, rows, **options).collect()}
+    monkeypatch.setattr(resample, "BROADCAST_UNITS", 0)
+    assert {(r.s, r.rep): r.g for r in boot(spark, rows, **options).collect()} == pytest.approx(got, abs=1e-12)
+    for s, group in by_stratum(rows).items():
+        ranked = sorted(group, key=lambda x: (x[1] is None, -((x[1] or 0) / x[2]), x[0]))
+        for rep in range(20):
+            picks = []
+            for b, m in enumerate(np.bincount([u // 7 for u in drawn_units(s, rep, len(ranked), 7)])):
+                size = min(7, len(ranked) - 7 * b)
+                picks += [7 * b + int(hashlib.md5(f"13|{s}|{rep}|{(b << 32) + d}".encode()).hexdigest()[:8], 16) % size for d in range(m)]
+            c, p = ([ranked[i][k] for i in sorted(picks)] for k in (1, 2))
+            want = None if None in c else brute(c, p, origin, [f"{i:05d}" for i in sorted(picks)])
+            assert got[(s, rep)] == (want if want is None else pytest.approx(want, abs=1e-12))
+    assert len(got) == 40 and None in got.values() and set(map(type, got.values())) == {float, type(None)}
+
+
 def test_interval_brackets_the_median(spark):
     rows = random_units(8, strata=2, n=40)
     reps = boot(spark, rows)
