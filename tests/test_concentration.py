@@ -292,6 +292,35 @@ def test_digest_draws_of_many_blocks_equal_brute_force(spark, monkeypatch, origi
     assert len(got) == 40 and None in got.values() and set(map(type, got.values())) == {float, type(None)}
 
 
+def test_sums_of_a_block_and_its_first_unit_equal_a_loop(monkeypatch):
+    """Replicates with unequal numbers of draws, pieces of a few draws, an unknown unit; the first unit is what is left out without origin."""
+    import pyarrow as pa
+    from caseweave.operators import draws
+    cases, people = [5.0, 3.0, None, 0.0, 1.5], [2.0, 7.0, 4.0, None, 1.0]
+    times = [1, 4, 2, 9, 30, 3]
+    struct = pa.struct([("rep", pa.int32()), ("_key", pa.int64()), ("_m", pa.int64())])
+    work = [{"rep": 8 + i, "_key": 0, "_m": m} for i, m in enumerate(times)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([None, "a"]), pa.array([0, 3]), pa.array(["13", "13|a"]), pa.array([work, work], pa.list_(struct)), pa.array([cases] * 2), pa.array([people] * 2)],
+        ["s", "_block", "_text", "_draws", "_cs", "_ps"],
+    )
+    results = []
+    for chunk in (draws.CHUNK, 4):
+        monkeypatch.setattr(draws, "CHUNK", chunk)
+        results.append([row for out in draws.block_sums([batch], draws.digest_draw, ["s"]) for row in out.to_pylist()])
+    assert results[0] == results[1] and len(results[0]) == 12
+    for row in results[0]:
+        text = "13" if row["s"] is None else "13|a"
+        place = (row["_block"] << 32) + np.arange(row["_m"])
+        picks = np.sort(draws.digest_draw(text.encode(), place)(np.array([row["rep"]]), None, slice(0, row["_m"]))[0] % 5).tolist()
+        c, p = ([values[i] for i in picks] for values in (cases, people))
+        assert (row["_fc"], row["_fp"]) == (c[0], p[0])
+        assert row["_c"] == (None if None in c else sum(c)) and row["_p"] == (None if None in p else sum(p))
+        known = None not in c + p
+        assert row["_a"] == (sum(p[i] * (2 * sum(c[:i]) + c[i]) for i in range(len(c))) if known else None)
+    assert any(row["_a"] is not None and row["_m"] > 1 for row in results[0])
+
+
 def test_interval_brackets_the_median(spark):
     rows = random_units(8, strata=2, n=40)
     reps = boot(spark, rows)
